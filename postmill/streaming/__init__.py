@@ -1,0 +1 @@
+"""Deliberately empty: the workload is batch only, so there is no streaming operator to offer."""
