@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.text import SPACE, WORD, strip
+from postmill.functions.text import SPACE, WORD, once, strip
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -13,7 +13,7 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 _ANGLE = rf"<[{SPACE}]*([^<>]+?)[{SPACE}]*>"
 _TRAILING_COMMENT = rf"(?d)(?<![{SPACE}])[{SPACE}]++\(.*?\)\z"
-_DAY_AND_TIME = rf"(?d)\A.*?([0-9]{{1,2}}) ([{WORD}]{{3}}) ([0-9]{{4}}) ([0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}})"
+_DAY_AND_TIME = rf"(?d)\A.*?([0-9]{{1,2}} [{WORD}]{{3}} [0-9]{{4}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}})"
 _EUROPEAN = r"\A[0-9]{2}\.[0-9]{2}\.[0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}\z"
 
 
@@ -29,19 +29,29 @@ def european_date(c: Column) -> Column:
     The wall clock is kept and the offset is dropped. A date after the start of a trailing comment does not count.
     The calendar day is checked through a date cast, without a detour over a time zone.
     """
-    bare = F.regexp_replace(strip(c), _TRAILING_COMMENT, "")
-    day, month_name, year, clock = (F.regexp_extract(bare, _DAY_AND_TIME, i) for i in range(1, 5))
-    number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(month_name))
-    month = F.lpad(number.cast("string"), 2, "0")
-    dd = F.lpad(day, 2, "0")
-    valid = (number > 0) & (year != "0000") & F.concat_ws("-", year, month, dd).try_cast("date").isNotNull()
-    return F.when(valid, F.concat(dd, F.lit("."), month, F.lit("."), year, F.lit(" "), clock)).otherwise(c)
+
+    def rearranged(parts: Column) -> Column:
+        day, name, year, clock = (F.get(parts, F.lit(i)) for i in range(4))
+        month = F.lpad(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(name)).cast("string"), 2, "0")
+        dd = F.lpad(day, 2, "0")
+        exists = F.concat(year, F.lit("-"), month, F.lit("-"), dd).try_cast("date").isNotNull()
+        european = F.concat(dd, F.lit("."), month, F.lit("."), year, F.lit(" "), clock)
+        return F.when(exists & (year != "0000"), european)
+
+    def reformatted(text: Column) -> Column:
+        bare = F.regexp_replace(strip(text), _TRAILING_COMMENT, "")
+        parts = F.split(F.regexp_extract(bare, _DAY_AND_TIME, 1), " ")
+        return F.coalesce(once(parts, rearranged), text)
+
+    return once(c, reformatted)
 
 
 def parse_european(c: Column) -> Column:
     """``dd.mm.yyyy HH:MM:SS`` as a wall-clock timestamp, null for anything else or for an impossible time."""
-    iso = F.concat(
-        F.substring(c, 7, 4), F.lit("-"), F.substring(c, 4, 2), F.lit("-"), F.substring(c, 1, 2),
-        F.lit(" "), F.substring(c, 12, 8),
-    )
-    return F.when(c.rlike(_EUROPEAN), iso).try_cast("timestamp_ntz")
+
+    def iso(text: Column) -> Column:
+        day, month, year, clock = (F.substring(text, *at) for at in ((1, 2), (4, 2), (7, 4), (12, 8)))
+        value = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), clock)
+        return F.when(text.rlike(_EUROPEAN), value)
+
+    return once(c, iso).try_cast("timestamp_ntz")

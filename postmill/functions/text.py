@@ -6,6 +6,8 @@ out. All of them are written for use *inside* square brackets.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,15 @@ REPLACEMENT = chr(0xFFFD)
 # --- end of fixed values ----------------------------------------------------------------------------------------
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` appearing a single time in the plan.
+
+    A filter that is pushed below a projection receives a copy of the expression for every mention of it. Functions
+    that look at their input several times bind it here, so that copies do not multiply when such functions are nested.
+    """
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Remove whitespace at both ends (``trim`` alone knows only U+0020)."""
     return F.btrim(c, F.lit(SPACE_CHARS))

@@ -24,16 +24,17 @@ STEP_NAMES = (
 )
 # --- end of fixed values ----------------------------------------------------------------------------------------
 
+#: One group per audit name, each a sequence of column functions.
 STEPS = (
-    B.decode_escapes,
-    B.squeeze_spaces,
-    B.drop_controls,
-    lambda c: B.drop_leading_blank_lines(B.strip_line_starts(c)),
-    B.strip_tags,
-    B.repair_mojibake,
-    lambda c: B.drop_empty_bullets(B.drop_quote_marks(B.drop_symbol_lines(c))),
-    B.left_trim_lines,
-    B.squeeze_punctuation,
+    (B.decode_escapes,),
+    (B.squeeze_spaces,),
+    (B.drop_controls,),
+    (B.strip_line_starts, B.drop_leading_blank_lines),
+    (B.strip_tags,),
+    (B.repair_mojibake,),
+    (B.drop_symbol_lines, B.drop_quote_marks, B.drop_empty_bullets),
+    (B.left_trim_lines,),
+    (B.squeeze_punctuation,),
 )
 _LINE_START_STEP = 3
 
@@ -49,18 +50,22 @@ def clean_bodies(df: DataFrame, column: str = "Body", result: str = "cleaned_bod
     """Add the cleaned text of ``column`` as ``result``.
 
     ``audit`` names a struct with ``cleaning_steps`` (a step counts when it changed the length), ``original_length``,
-    ``final_length`` and ``reduction_percent``. Each step is its own column: the audit reads every intermediate twice,
-    and Catalyst then evaluates it once instead of nesting copies. What is not selected later is pruned.
+    ``final_length`` and ``reduction_percent``. Each step is its own column: steps and audit read it several times, so
+    Catalyst keeps the projections apart and evaluates it once instead of nesting copies. What is not selected later is
+    pruned.
     """
-    source = text_or_empty(F.col(quoted(column)))
-    df = df.withColumn("_stage0", source)
-    for number, step in enumerate(STEPS):
-        df = df.withColumn(f"_stage{number + 1}", step(F.col(f"_stage{number}")))
-    stages = [F.col(f"_stage{i}") for i in range(len(STEPS) + 1)]
+    temporary = ["_stage0"]
+    df = df.withColumn("_stage0", text_or_empty(F.col(quoted(column))))
+    stages = [F.col("_stage0")]
+    for group in STEPS:
+        for step in group:
+            temporary.append(f"_stage{len(temporary)}")
+            df = df.withColumn(temporary[-1], step(F.col(temporary[-2])))
+        stages.append(F.col(temporary[-1]))
     df = df.withColumn(result, strip(stages[-1]))
     if audit:
         df = df.withColumn(audit, _audit(stages, F.col(quoted(result))))
-    return df.drop(*[f"_stage{i}" for i in range(len(STEPS) + 1)])
+    return df.drop(*temporary)
 
 
 def _audit(stages: list[Column], final: Column) -> Column:

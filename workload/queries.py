@@ -195,12 +195,15 @@ def european_dates(spark, d):
     return mail(spark, d).select("doc_id", european_date(F.col("Date")).alias("Date"))
 
 
+def _steps(df: DataFrame, column: str, *steps) -> DataFrame:
+    for step in steps:
+        df = df.withColumn(column, step(F.col(column)))
+    return df
+
+
 def _body_step(*steps):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        c = F.col("Body")
-        for step in steps:
-            c = step(c)
-        return mail(spark, d).select("doc_id", c.alias("Body"))
+        return _steps(mail(spark, d).select("doc_id", "Body"), "Body", *steps)
 
     return query
 
@@ -220,7 +223,7 @@ def clean_html_pages(spark, d):
 
 
 def clean_symbol_pages(spark, d):
-    return table(spark, d, "pages").select("page_id", B.drop_symbol_lines(B.strip_tags(F.col("html"))).alias("html"))
+    return _steps(table(spark, d, "pages").select("page_id", "html"), "html", B.strip_tags, B.drop_symbol_lines)
 
 
 def clean_body_full(spark, d):
