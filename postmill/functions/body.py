@@ -1,5 +1,6 @@
 """The body-cleaning steps, one column function per step. Their order is fixed in ``operators.clean``.
 
+A step mentions its input several times, so apply it to a column and not to another step's expression.
 Every pattern is linear in the length of the body. Repetitions are possessive, so a long run of whitespace, an
 unclosed tag or thousands of quote marks neither backtrack nor recurse. Steps that need a rare character are skipped
 for bodies that lack it.
@@ -7,6 +8,10 @@ for bodies that lack it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +32,11 @@ _NUMBERED_PAREN = rf"\(\p{{Nd}}+\)[{INLINE_SPACE}]+[{WORD}]"
 _LINE_PREFIX = rf"(?md)^[{INLINE_SPACE}]*+(?:(?={_NUMBERED_PAREN})|_*+[^{WORD}\n]*+)"
 _CHANGED_LINE = rf"(?md)^(?:[{INLINE_SPACE}_]|(?!{_NUMBERED_PAREN})[^{WORD}\n])"
 # A whitespace run is entered only at its start; group 1 is what precedes its first line start and is put back.
+_QUOTE_LINE = rf"(?md)^[{INLINE_SPACE}]*+>"
 _QUOTE = (
     rf"(?:\A|((?<![{SPACE}])[{INLINE_SPACE}]*+\n))[{SPACE}]*+>++[{SPACE}]*+(?:(?<=\n)>++[{SPACE}]*+)*+"
 )
+_BULLET_LINE = rf"(?md)^[{INLINE_SPACE}]*+[{BULLETS}]"
 _EMPTY_BULLET = (
     rf"(?:\A|(?<=\n)\G|((?:(?<![{SPACE}])|\G)[{INLINE_SPACE}]*+\n))"
     rf"[{SPACE}]*+[{BULLETS}](?:[{SPACE}]*+\z|[{SPACE}]*(?=\n))"
@@ -42,18 +49,21 @@ def _replace_all(c: Column, pairs) -> Column:
     return c
 
 
-def _when_contains(c: Column, needle: str, changed: Column) -> Column:
-    return F.when(F.contains(c, F.lit(needle)), changed).otherwise(c)
+def _when_contains(c: Column, needles: tuple[str, ...], changed: Column) -> Column:
+    """``changed`` for texts that hold any needle. The byte search is far cheaper than a pattern pass."""
+    found = reduce(or_, (F.contains(c, F.lit(needle)) for needle in needles))
+    return F.when(found, changed).otherwise(c)
 
 
 def decode_escapes(c: Column) -> Column:
     """The common quoted-printable escapes, decoded one after the other (``=3D20`` ends as ``=20``)."""
-    return _when_contains(c, "=", _replace_all(c, ESCAPES))
+    return _when_contains(c, ("=",), _replace_all(c, ESCAPES))
 
 
 def squeeze_spaces(c: Column) -> Column:
     """Three or more blanks or tabs become one blank; four or more line ends become three."""
-    return F.regexp_replace(F.regexp_replace(c, r"[ \t]{3,}", " "), rf"\n(?:[{INLINE_SPACE}]*+\n){{3,}}+", "\n\n\n")
+    blanks = _when_contains(c, ("  ", "\t"), F.regexp_replace(c, r"[ \t]{3,}", " "))
+    return F.regexp_replace(blanks, rf"\n(?:[{INLINE_SPACE}]*+\n){{3,}}+", "\n\n\n")
 
 
 def drop_controls(c: Column) -> Column:
@@ -80,16 +90,28 @@ def drop_leading_blank_lines(c: Column) -> Column:
     return F.regexp_replace(c, r"\A\n+", "")
 
 
-def strip_tags(c: Column) -> Column:
-    """Break tags become line ends; document tags go, with their content where they are closed.
+def break_tags(c: Column) -> Column:
+    """``<br>``, ``<p>`` and ``<div>``, plain or self-closing, become line ends."""
+    return _when_contains(c, ("<",), F.regexp_replace(c, r"<(?:br|BR|p|P|div|DIV)/?>", "\n"))
+
 
-    Once an opening tag finds no closing one, no later one can, so the rest of the body is kept in one step (group 1).
+def strip_tag(tag: str) -> Callable[[Column], Column]:
+    """Step that removes a tag with its content, and without it where it is not closed.
+
+    Once an opening tag finds no closing one, no later one can, so the rest of the body is kept in one go (group 1).
     """
-    out = F.regexp_replace(c, r"<(?:br|BR|p|P|div|DIV)/?>", "\n")
-    for tag in REMOVED_TAGS:
-        out = F.regexp_replace(out, rf"(?isu)<{tag}[^>]*+>.*?</{tag}>|(<{tag}.*+)", "$1")
-        out = F.regexp_replace(out, rf"(?isu)<{tag}[^>]*+>|(<{tag}.*+)", "$1")
-    return _when_contains(c, "<", out)
+    opening = rf"<(?iu:{tag})"
+
+    def step(c: Column) -> Column:
+        closed = F.regexp_replace(c, rf"(?s){opening}[^>]*+>.*?</(?iu:{tag})>|({opening}.*+)", "$1")
+        bare = F.regexp_replace(closed, rf"(?s){opening}[^>]*+>|({opening}.*+)", "$1")
+        return _when_contains(c, ("<",), F.when(c.rlike(opening), bare).otherwise(c))
+
+    return step
+
+
+#: Tag removal, to be applied in this order.
+TAG_STEPS = (break_tags, *map(strip_tag, REMOVED_TAGS))
 
 
 def repair_mojibake(c: Column) -> Column:
@@ -116,12 +138,13 @@ def drop_symbol_lines(c: Column) -> Column:
 
 def drop_quote_marks(c: Column) -> Column:
     """``>`` marks at line starts go, with the blanks and blank lines around them."""
-    return _when_contains(c, ">", F.regexp_replace(c, _QUOTE, "$1"))
+    unquoted = F.when(c.rlike(_QUOTE_LINE), F.regexp_replace(c, _QUOTE, "$1")).otherwise(c)
+    return _when_contains(c, (">",), unquoted)
 
 
 def drop_empty_bullets(c: Column) -> Column:
     """Lines that hold only one bullet are emptied."""
-    return F.regexp_replace(c, _EMPTY_BULLET, "$1")
+    return F.when(c.rlike(_BULLET_LINE), F.regexp_replace(c, _EMPTY_BULLET, "$1")).otherwise(c)
 
 
 def left_trim_lines(c: Column) -> Column:
@@ -130,4 +153,5 @@ def left_trim_lines(c: Column) -> Column:
 
 def squeeze_punctuation(c: Column) -> Column:
     """Long runs of dots, dashes and equals signs become ``...``, ``-----`` and ``=====``."""
-    return F.regexp_replace(c, r"(\.{3})\.{2,}|(-{5})-+|(={5})=+", "$1$2$3")
+    squeezed = F.regexp_replace(c, r"(\.{3})\.{2,}|(-{5})-+|(={5})=+", "$1$2$3")
+    return _when_contains(c, (".....", "------", "======"), squeezed)

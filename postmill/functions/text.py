@@ -14,10 +14,7 @@ from pyspark.sql import functions as F
 # --- fixed values -----------------------------------------------------------------------------------------------
 WORD = r"\p{L}\p{N}_"
 ALNUM = r"\p{L}\p{N}"
-INLINE_SPACE = (
-    r"\x{9}\x{b}\x{c}\x{d}\x{1c}-\x{1f}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+INLINE_SPACE = r"\x{9}\x{b}\x{c}\x{d}\x{1c}\x{1d}\x{1e}\x{1f}\x{85}\p{Z}"
 SPACE = r"\x{a}" + INLINE_SPACE
 SPACE_CHARS = "".join(
     map(
@@ -51,12 +48,12 @@ def text_or_empty(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return strip(text_or_empty(c)) == ""
+    return F.ltrim(text_or_empty(c), F.lit(SPACE_CHARS)) == ""
 
 
 def unify_newlines(c: Column) -> Column:
     """CRLF and lone CR become LF."""
-    return F.regexp_replace(c, r"\r\n?", "\n")
+    return F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, r"\r\n?", "\n")).otherwise(c)
 
 
 def unify_line_breaks(c: Column) -> Column:

@@ -30,7 +30,7 @@ STEPS = (
     (B.squeeze_spaces,),
     (B.drop_controls,),
     (B.strip_line_starts, B.drop_leading_blank_lines),
-    (B.strip_tags,),
+    B.TAG_STEPS,
     (B.repair_mojibake,),
     (B.drop_symbol_lines, B.drop_quote_marks, B.drop_empty_bullets),
     (B.left_trim_lines,),
@@ -69,8 +69,9 @@ def clean_bodies(df: DataFrame, column: str = "Body", result: str = "cleaned_bod
 
 
 def _audit(stages: list[Column], final: Column) -> Column:
+    # Whatever a step replaces gets shorter in characters and in bytes alike, and the byte length is stored, not counted.
     names = [
-        F.when(F.length(before) != F.length(after), _step_name(i, before))
+        F.when(F.octet_length(before) != F.octet_length(after), _step_name(i, before))
         for i, (before, after) in enumerate(zip(stages, stages[1:]))
     ]
     before, after = F.length(stages[0]), F.length(final)

@@ -3,27 +3,51 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from postmill.schema import quoted
 from postmill.session import shared_dir
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row in partition below
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash a scan with fewer partitions than there are cores over all cores, ahead of a CPU-bound text stage.
+
+    Parquet splits by row group, so a small file is one task however long its texts are. A table of any size worth a
+    cluster has more partitions than cores and comes back as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
+
+    Unlike a checkpoint the table is columnar: whoever reads it again reads only the columns it needs.
+    """
+    spark = df.sparkSession
+    place = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def with_position(df: DataFrame, order: Sequence[Column | str], name: str, start: int = 0) -> DataFrame:
     """Add the row's place in the global order ``order`` (which must be total), counting from ``start``.
 
     A window without partitions would pull the table into one task. Here the rows are range-sorted and each gets
-    (partition, row in partition). The result is checkpointed so that a lost executor cannot renumber it. One small
+    (partition, row in partition). The result is materialized, so that a lost executor cannot renumber it. One small
     row per partition then carries the offset of that partition; their number is the number of partitions, which
-    bounds the broadcast.
+    bounds both the window and the broadcast.
     """
-    shared_dir(df.sparkSession)
     local = "_local_position"
-    placed = df.orderBy(*order).withColumn(local, F.monotonically_increasing_id()).checkpoint()
+    placed = materialize(df.orderBy(*order).withColumn(local, F.monotonically_increasing_id()), "positions")
     part = F.shiftright(F.col(local), _ROW_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -45,7 +69,9 @@ def attach_group(members: DataFrame, groups: DataFrame, key: str, unique: str, s
     key. At most (number of members / hot) groups can be hot, which bounds the broadcast list of their salt counts.
     """
     salts = F.floor(F.col(size) / F.lit(hot)).cast("int") + 1
-    hot_keys = groups.filter(F.col(size) >= hot).select(key, salts.alias("_salts"))
+    # Asking for every column keeps this branch the same as the joined one, so Spark aggregates the groups once.
+    complete = reduce(and_, (F.col(quoted(name)).isNotNull() for name in groups.columns))
+    hot_keys = groups.filter((F.col(size) >= hot) & complete).select(key, salts.alias("_salts"))
     salted = (
         members.join(F.broadcast(hot_keys), key, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(unique), F.coalesce("_salts", F.lit(1))).cast("int"))

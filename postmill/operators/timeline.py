@@ -94,11 +94,13 @@ def daily_volume(df: DataFrame, time: str = TIME) -> DataFrame:
     """``(day, emails)`` for every day from the first to the last, zero where nothing was sent.
 
     The calendar joins by union and sum: its zero rows meet the daily counts in a second, tiny aggregation, so nothing
-    has to be broadcast. Both branches read the same aggregated days, which Spark computes once.
+    has to be broadcast.
     """
     days = df.groupBy(F.col(time).cast("date").alias("day")).agg(F.count(F.lit(1)).alias("emails"))
     days = days.filter(F.col("day").isNotNull())
-    bounds = days.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).filter(F.col("lo").isNotNull())
+    # The total keeps this branch on the same daily counts, which Spark then computes once for both.
+    bounds = days.agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.sum("emails").alias("total"))
+    bounds = bounds.filter(F.col("total") > 0)
     calendar = bounds.select(F.explode(F.sequence("lo", "hi")).alias("day"), F.lit(0).cast("bigint").alias("emails"))
     return days.unionByName(calendar).groupBy("day").agg(F.sum("emails").alias("emails")).orderBy("day")
 

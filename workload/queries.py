@@ -17,7 +17,7 @@ from postmill.functions.names import base_name, is_mail_file, with_txt_suffix
 from postmill.functions.text import lenient_utf8
 from postmill.operators import dedup, quality, selection, timeline, values, vocabulary
 from postmill.operators.clean import clean_bodies
-from postmill.operators.ordering import with_position
+from postmill.operators.ordering import spread, with_position
 from postmill.operators.parse import parse_messages
 from postmill.plans.corpus import corpus_to_records, natural_order, numbered_records, process_records
 from postmill.schema import HEADER_FIELDS, RECORD, RECORD_FIELDS, quoted
@@ -32,6 +32,14 @@ FROM_DAY, TO_DAY = date(2024, 1, 1), date(2024, 1, 2)
 KEYWORD = "ER|on"
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"), "doc_id")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "pages"), "page_id")
+
+
 def _shown_time(df: DataFrame) -> DataFrame:
     return df.withColumn("DateTime", F.date_format("DateTime", "yyyy-MM-dd HH:mm:ss"))
 
@@ -56,7 +64,7 @@ def conversation_word_freq(spark, d):
 
 
 def document_words(spark, d):
-    return vocabulary.word_counts(table(spark, d, "documents"), "text")
+    return vocabulary.word_counts(_documents(spark, d), "text")
 
 
 def word_cloud_weights(spark, d):
@@ -219,11 +227,11 @@ def changed_lines(spark, d):
 
 
 def clean_html_pages(spark, d):
-    return table(spark, d, "pages").select("page_id", B.strip_tags(F.col("html")).alias("html"))
+    return _steps(_pages(spark, d).select("page_id", "html"), "html", *B.TAG_STEPS)
 
 
 def clean_symbol_pages(spark, d):
-    return _steps(table(spark, d, "pages").select("page_id", "html"), "html", B.strip_tags, B.drop_symbol_lines)
+    return _steps(_pages(spark, d).select("page_id", "html"), "html", *B.TAG_STEPS, B.drop_symbol_lines)
 
 
 def clean_body_full(spark, d):
@@ -231,7 +239,7 @@ def clean_body_full(spark, d):
 
 
 def clean_pages_full(spark, d):
-    return clean_bodies(table(spark, d, "pages"), "html").select("page_id", "cleaned_body")
+    return clean_bodies(_pages(spark, d), "html").select("page_id", "cleaned_body")
 
 
 def clean_conversations_full(spark, d):
@@ -253,7 +261,7 @@ def clean_audit(spark, d):
 
 
 def clean_audit_pages(spark, d):
-    return _audit(table(spark, d, "pages"), "page_id", "html")
+    return _audit(_pages(spark, d), "page_id", "html")
 
 
 # --- validation and reports -------------------------------------------------------------------------------------
@@ -442,7 +450,7 @@ QUERIES |= {
     "clean_whitespace": _body_step(B.squeeze_spaces),
     "clean_control": _body_step(B.drop_controls),
     "clean_leading": _body_step(B.strip_line_starts, B.drop_leading_blank_lines),
-    "clean_html": _body_step(B.strip_tags),
+    "clean_html": _body_step(*B.TAG_STEPS),
     "clean_mojibake": _body_step(B.repair_mojibake),
     "clean_symbol_lines": _body_step(B.drop_symbol_lines, B.drop_quote_marks, B.drop_empty_bullets),
     "clean_final": _body_step(B.left_trim_lines, B.squeeze_punctuation, B.strip),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.operators.ordering import with_position
+from postmill.operators.ordering import spread, with_position
 from postmill.plans.corpus import cleaned_records
 from postmill.schema import RECORD_FIELDS, quoted
 
@@ -19,7 +19,7 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Bodies are decorated by document number so that every cleaning step meets its case.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     df = docs.join(events, docs.doc_id == events.event_id)
     i, text = F.col("doc_id"), F.col("text")
