@@ -1,6 +1,5 @@
 """The body-cleaning steps, one column function per step. Their order is fixed in ``operators.clean``.
 
-A step mentions its input several times, so apply it to a column and not to another step's expression.
 Every pattern is linear in the length of the body. Repetitions are possessive, so a long run of whitespace, an
 unclosed tag or thousands of quote marks neither backtrack nor recurse. Steps that need a rare character are skipped
 for bodies that lack it.
@@ -15,16 +14,19 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.text import ALNUM, INLINE_SPACE, REPLACEMENT, SPACE, SPACE_CHARS, WORD, strip, unify_newlines
+from postmill.functions.text import ALNUM, INLINE_SPACE, REPLACEMENT, SPACE, SPACE_CHARS, WORD, bound, strip, unify_newlines
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 ESCAPES = (("=\n", ""), ("=20", " "), ("=09", "\t"), ("=3D", "="), ("=22", '"'), ("=27", "'"))
 MOJIBAKE = ((REPLACEMENT, ""), ("â€™", "'"), ("â€œ", '"'), ("â€", '"'))
 REMOVED_TAGS = ("html", "head", "body", "meta", "title", "style", "script")
 BULLETS = "-*•·▪▫◦‣⁃"
+CONTROLS = (*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F)
 RULE_CHARS = r"=\-_~*#.>|+"
 # --- end of fixed values ----------------------------------------------------------------------------------------
 
+# Single characters, not ranges: the pattern engine then tests one bit per character.
+_CONTROL = "[" + "".join(rf"\x{code:02x}" for code in CONTROLS) + "]"
 _SYMBOL = f"[^{ALNUM}{SPACE}]"
 _LIST_MARKER = rf"(?:\p{{Nd}}+\.|[a-z]\.|[a-z]\)|\(\p{{Nd}}+\)|\p{{Nd}}+\)|[ivx]+\.)[{SPACE}]+[{WORD}]"
 # Stripping symbols can only hurt the list form that starts with one.
@@ -55,20 +57,22 @@ def _when_contains(c: Column, needles: tuple[str, ...], changed: Column) -> Colu
     return F.when(found, changed).otherwise(c)
 
 
+@bound
 def decode_escapes(c: Column) -> Column:
     """The common quoted-printable escapes, decoded one after the other (``=3D20`` ends as ``=20``)."""
     return _when_contains(c, ("=",), _replace_all(c, ESCAPES))
 
 
+@bound
 def squeeze_spaces(c: Column) -> Column:
     """Three or more blanks or tabs become one blank; four or more line ends become three."""
-    blanks = _when_contains(c, ("  ", "\t"), F.regexp_replace(c, r"[ \t]{3,}", " "))
-    return F.regexp_replace(blanks, rf"\n(?:[{INLINE_SPACE}]*+\n){{3,}}+", "\n\n\n")
+    narrow = _when_contains(c, ("  ", "\t"), F.regexp_replace(c, r"[ \t]{3,}", " "))
+    return F.regexp_replace(narrow, rf"\n(?:[{INLINE_SPACE}]*+\n){{3,}}+", "\n\n\n")
 
 
 def drop_controls(c: Column) -> Column:
     """Control characters go, except tab and line ends; line ends become LF."""
-    return unify_newlines(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
+    return unify_newlines(F.regexp_replace(c, _CONTROL, ""))
 
 
 def is_list_line(line: Column) -> Column:
@@ -90,6 +94,7 @@ def drop_leading_blank_lines(c: Column) -> Column:
     return F.regexp_replace(c, r"\A\n+", "")
 
 
+@bound
 def break_tags(c: Column) -> Column:
     """``<br>``, ``<p>`` and ``<div>``, plain or self-closing, become line ends."""
     return _when_contains(c, ("<",), F.regexp_replace(c, r"<(?:br|BR|p|P|div|DIV)/?>", "\n"))
@@ -102,6 +107,7 @@ def strip_tag(tag: str) -> Callable[[Column], Column]:
     """
     opening = rf"<(?iu:{tag})"
 
+    @bound
     def step(c: Column) -> Column:
         closed = F.regexp_replace(c, rf"(?s){opening}[^>]*+>.*?</(?iu:{tag})>|({opening}.*+)", "$1")
         bare = F.regexp_replace(closed, rf"(?s){opening}[^>]*+>|({opening}.*+)", "$1")
@@ -119,6 +125,7 @@ def repair_mojibake(c: Column) -> Column:
     return _replace_all(c, MOJIBAKE)
 
 
+@bound
 def drop_symbol_lines(c: Column) -> Column:
     """Lines that are more than 70% symbols, or rules such as ``=====``, go.
 
@@ -127,6 +134,7 @@ def drop_symbol_lines(c: Column) -> Column:
     pair = _SYMBOL + "{2}"
     rule = rf"\A[{INLINE_SPACE}]*+[{RULE_CHARS}]{{2,}}[{INLINE_SPACE}]*+\z"
 
+    @bound
     def keep(line: Column) -> Column:
         size = F.length(F.btrim(line, F.lit(SPACE_CHARS)))
         mostly_symbols = (size > 2) & (F.regexp_count(line, F.lit(_SYMBOL)) * 10 > size * 7)
@@ -136,12 +144,14 @@ def drop_symbol_lines(c: Column) -> Column:
     return F.when(c.rlike(pair), kept).otherwise(c)
 
 
+@bound
 def drop_quote_marks(c: Column) -> Column:
     """``>`` marks at line starts go, with the blanks and blank lines around them."""
     unquoted = F.when(c.rlike(_QUOTE_LINE), F.regexp_replace(c, _QUOTE, "$1")).otherwise(c)
     return _when_contains(c, (">",), unquoted)
 
 
+@bound
 def drop_empty_bullets(c: Column) -> Column:
     """Lines that hold only one bullet are emptied."""
     return F.when(c.rlike(_BULLET_LINE), F.regexp_replace(c, _EMPTY_BULLET, "$1")).otherwise(c)
@@ -151,6 +161,7 @@ def left_trim_lines(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?md)^[{INLINE_SPACE}]++", "")
 
 
+@bound
 def squeeze_punctuation(c: Column) -> Column:
     """Long runs of dots, dashes and equals signs become ``...``, ``-----`` and ``=====``."""
     squeezed = F.regexp_replace(c, r"(\.{3})\.{2,}|(-{5})-+|(={5})=+", "$1$2$3")

@@ -7,6 +7,7 @@ out. All of them are written for use *inside* square brackets.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +39,16 @@ def once(c: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
+def bound(use: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Decorator for column functions that mention their input several times, see :func:`once`."""
+
+    @wraps(use)
+    def apply(c: Column) -> Column:
+        return once(c, use)
+
+    return apply
+
+
 def strip(c: Column) -> Column:
     """Remove whitespace at both ends (``trim`` alone knows only U+0020)."""
     return F.btrim(c, F.lit(SPACE_CHARS))
@@ -51,6 +62,7 @@ def is_blank(c: Column) -> Column:
     return F.ltrim(text_or_empty(c), F.lit(SPACE_CHARS)) == ""
 
 
+@bound
 def unify_newlines(c: Column) -> Column:
     """CRLF and lone CR become LF."""
     return F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, r"\r\n?", "\n")).otherwise(c)

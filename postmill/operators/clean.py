@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import body as B
 from postmill.functions.fields import clean_addresses, european_date
-from postmill.functions.text import round_half_even_2, strip, text_or_empty
+from postmill.functions.text import once, round_half_even_2, strip, text_or_empty
 from postmill.schema import ADDRESS_FIELDS, quoted
 
 # --- fixed values: audit names, in order ---------------------------------------------------------------------------
@@ -46,43 +46,58 @@ def _step_name(number: int, before: Column) -> Column:
     return F.concat(F.lit(head), B.count_line_starts(before).cast("string"), F.lit(tail))
 
 
-def clean_bodies(df: DataFrame, column: str = "Body", result: str = "cleaned_body", audit: str | None = None) -> DataFrame:
-    """Add the cleaned text of ``column`` as ``result``.
-
-    ``audit`` names a struct with ``cleaning_steps`` (a step counts when it changed the length), ``original_length``,
-    ``final_length`` and ``reduction_percent``. Each step is its own column: steps and audit read it several times, so
-    Catalyst keeps the projections apart and evaluates it once instead of nesting copies. What is not selected later is
-    pruned.
-    """
-    temporary = ["_stage0"]
-    df = df.withColumn("_stage0", text_or_empty(F.col(quoted(column))))
-    stages = [F.col("_stage0")]
+def clean_text(c: Column) -> Column:
+    """The cleaned body."""
+    c = text_or_empty(c)
     for group in STEPS:
         for step in group:
-            temporary.append(f"_stage{len(temporary)}")
-            df = df.withColumn(temporary[-1], step(F.col(temporary[-2])))
-        stages.append(F.col(temporary[-1]))
-    df = df.withColumn(result, strip(stages[-1]))
-    if audit:
-        df = df.withColumn(audit, _audit(stages, F.col(quoted(result))))
-    return df.drop(*temporary)
-
-
-def _audit(stages: list[Column], final: Column) -> Column:
-    # Whatever a step replaces gets shorter in characters and in bytes alike, and the byte length is stored, not counted.
-    names = [
-        F.when(F.octet_length(before) != F.octet_length(after), _step_name(i, before))
-        for i, (before, after) in enumerate(zip(stages, stages[1:]))
-    ]
-    before, after = F.length(stages[0]), F.length(final)
-    # nullif keeps the empty body away from the division; it counts as no reduction.
-    percent = round_half_even_2((before - after) / F.nullif(before, F.lit(0)) * 100)
-    return F.struct(
-        F.array_compact(F.array(*names)).alias("cleaning_steps"),
-        before.alias("original_length"),
-        after.alias("final_length"),
-        F.coalesce(percent, F.lit(0.0)).alias("reduction_percent"),
-    )
+            c = step(c)
+    return strip(c)
+
+
+def clean_text_audited(c: Column) -> Column:
+    """Struct of ``body``, ``cleaning_steps``, ``original_length``, ``final_length`` and ``reduction_percent``.
+
+    The text and the names so far travel through the steps together, so that the whole chain stays one expression in
+    which every step appears once. A step counts when it changed the length of the text. Whatever a step replaces gets
+    shorter in characters and in bytes alike, and the byte length is stored rather than counted.
+    """
+
+    def take(number: int, state: Column) -> Column:
+        def apply(old: Column) -> Column:
+            new = old["text"]
+            for step in STEPS[number]:
+                new = step(new)
+            return once(F.struct(old.alias("old"), new.alias("new")), note)
+
+        def note(pair: Column) -> Column:
+            before, after = pair["old"]["text"], pair["new"]
+            changed = F.octet_length(before) != F.octet_length(after)
+            name = F.when(changed, F.array(_step_name(number, before))).otherwise(F.array().cast("array<string>"))
+            return F.struct(after.alias("text"), F.concat(pair["old"]["steps"], name).alias("steps"))
+
+        return once(state, apply)
+
+    def chain(original: Column) -> Column:
+        state = F.struct(original.alias("text"), F.array().cast("array<string>").alias("steps"))
+        for number in range(len(STEPS)):
+            state = take(number, state)
+        measured = once(state, lambda s: F.struct(strip(s["text"]).alias("body"), s["steps"].alias("cleaning_steps")))
+        return once(F.struct(F.length(original).alias("before"), measured.alias("done")), result)
+
+    def result(r: Column) -> Column:
+        before, after = r["before"], F.length(r["done"]["body"])
+        # nullif keeps the empty body away from the division; it counts as no reduction.
+        percent = round_half_even_2((before - after) / F.nullif(before, F.lit(0)) * 100)
+        return F.struct(
+            r["done"]["body"].alias("body"),
+            r["done"]["cleaning_steps"].alias("cleaning_steps"),
+            before.alias("original_length"),
+            after.alias("final_length"),
+            F.coalesce(percent, F.lit(0.0)).alias("reduction_percent"),
+        )
+
+    return once(text_or_empty(c), chain)
 
 
 def clean_fields(df: DataFrame, where: Column | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.text import is_blank, round_half_even_2, strip, text_or_empty
+from postmill.functions.text import is_blank, once, round_half_even_2, strip, text_or_empty
 from postmill.schema import SKIP, quoted
 
 # --- fixed values -----------------------------------------------------------------------------------------------
@@ -23,11 +23,17 @@ def with_route(records: DataFrame, subject_only: str = "skip") -> DataFrame:
     """
     if subject_only not in ("skip", "keep"):
         raise ValueError("subject_only must be 'skip' or 'keep'")
-    no_body = text_or_empty(F.col("Body")) == ""
-    route = F.when(is_blank(F.col("Subject")) & is_blank(F.col("Body")), VALIDATION)
-    if subject_only == "skip":
-        route = route.when(no_body, PROCESSING_ERROR)
-    return records.withColumn("route", route.otherwise(CLEANED))
+
+    def choose(r):
+        route = F.when(is_blank(r["subject"]) & is_blank(r["body"]), VALIDATION)
+        if subject_only == "skip":
+            route = route.when(r["body"] == "", PROCESSING_ERROR)
+        return route.otherwise(CLEANED)
+
+    content = F.struct(
+        text_or_empty(F.col("Subject")).alias("subject"), text_or_empty(F.col("Body")).alias("body")
+    )
+    return records.withColumn("route", once(content, choose))
 
 
 def validation_errors(records: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.names import base_name, is_mail_file, natural_key, with_txt_suffix
-from postmill.operators.clean import clean_bodies, clean_fields
+from postmill.operators.clean import clean_fields, clean_text, clean_text_audited
 from postmill.operators.dedup import surviving_paths
 from postmill.operators.ordering import with_position
 from postmill.operators.parse import parse_messages
@@ -52,19 +52,21 @@ def numbered_records(records: DataFrame) -> DataFrame:
 def process_records(records: DataFrame, subject_only: str = "skip", audit: str | None = "audit") -> DataFrame:
     """Route every record and clean the fields and the body of those that pass. One narrow stage, no shuffle.
 
-    Skipped records keep their original values. Columns beyond the record fields are kept.
+    Skipped records keep their original values and get no audit. Columns beyond the record fields are kept.
     """
     passed = F.col("route") == CLEANED
     fields = clean_fields(with_route(records, subject_only), where=passed)
-    cleaned = clean_bodies(fields, "Body", "_body", audit)
-    return cleaned.withColumn("Body", F.when(passed, F.col("_body")).otherwise(F.col("Body"))).drop("_body")
+    if audit is None:
+        return fields.withColumn("Body", F.when(passed, clean_text(F.col("Body"))).otherwise(F.col("Body")))
+    cleaned = fields.withColumn(audit, F.when(passed, clean_text_audited(F.col("Body"))))
+    body = F.coalesce(F.col(audit)["body"], F.col("Body"))
+    return cleaned.withColumns({"Body": body, audit: F.col(audit).dropFields("body")})
 
 
 def cleaned_records(records: DataFrame, subject_only: str = "skip") -> DataFrame:
     """The cleaned records only."""
     passed = with_route(records, subject_only).filter(F.col("route") == CLEANED).drop("route")
-    cleaned = clean_bodies(clean_fields(passed), "Body", "_body")
-    return cleaned.withColumn("Body", F.col("_body")).drop("_body")
+    return clean_fields(passed).withColumn("Body", clean_text(F.col("Body")))
 
 
 @dataclass(frozen=True)
@@ -84,9 +86,10 @@ def run_cleaning(records: DataFrame, output: str, subject_only: str = "skip", js
     """
     spark = records.sparkSession
     staged = output.rstrip("/") + "/records"
-    process_records(records, subject_only).write.mode("overwrite").partitionBy("route").parquet(staged)
+    processed = process_records(records, subject_only)
+    processed.write.mode("overwrite").partitionBy("route").parquet(staged)
 
-    table = spark.read.parquet(staged)
+    table = spark.read.schema(processed.schema).parquet(staged)
     cleaned = table.filter(F.col("route") == CLEANED).drop("route")
     skipped = skipped_report(table)
     write_skips(skipped, report_path(output))

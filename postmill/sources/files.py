@@ -13,7 +13,7 @@ def scan_files(spark: SparkSession, directory: str, eligible_only: bool = True)
     """``(path, file_name, text)`` of the files below ``directory``.
 
     Names are tested on file metadata, so files that do not belong are never opened. Unreadable and vanished files are
-    skipped. Spark itself does not list names that start with ``.`` or ``_``.
+    skipped. Spark itself lists neither names that start with ``.`` or ``_`` nor files without a single byte.
     """
     files = (
         spark.read.format("binaryFile")
@@ -22,7 +22,8 @@ def scan_files(spark: SparkSession, directory: str, eligible_only: bool = True)
         .option("ignoreMissingFiles", "true")
         .load(directory)
     )
-    name = F.col("_metadata.file_name")
+    # The metadata name is URI-encoded; a plus sign stands for itself there.
+    name = F.try_url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     if eligible_only:
         files = files.filter(is_mail_file(name))
     return files.select("path", name.alias("file_name"), lenient_utf8(F.col("content")).alias("text"))

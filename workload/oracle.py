@@ -477,7 +477,8 @@ LEFT JOIN seen ON seen.day_order = g.d AND seen.hour = g.h""",
   {percent("count(*) FILTER (route = 'cleaned')", 'count(*)')} AS success_rate FROM routed""",
     "process_mail": with_(MAIL, f"routed AS (SELECT *, {route()} AS route FROM mail)", chain("routed", "Body"))
     + f"""SELECT doc_id, route, {fixed_columns(('Date', 'From', 'To', 'X-cc', 'X-bcc', 'Subject'), "route = 'cleaned'")},
-  CASE WHEN route = 'cleaned' THEN clean ELSE "Body" END AS "Body", {STEPS_SQL} AS cleaning_steps FROM done""",
+  CASE WHEN route = 'cleaned' THEN clean ELSE "Body" END AS "Body",
+  CASE WHEN route = 'cleaned' THEN {STEPS_SQL} ELSE '-' END AS cleaning_steps FROM done""",
     "content_fingerprint": ON_PRINTS + "SELECT path, hash FROM prints",
     "duplicate_sets": ON_PRINTS
     + "SELECT hash, copies, first_path, path FROM prints JOIN groups USING (hash) WHERE copies > 1",

@@ -16,7 +16,7 @@ from postmill.functions.fields import clean_addresses, european_date
 from postmill.functions.names import base_name, is_mail_file, with_txt_suffix
 from postmill.functions.text import lenient_utf8
 from postmill.operators import dedup, quality, selection, timeline, values, vocabulary
-from postmill.operators.clean import clean_bodies
+from postmill.operators.clean import clean_text, clean_text_audited
 from postmill.operators.ordering import spread, with_position
 from postmill.operators.parse import parse_messages
 from postmill.plans.corpus import corpus_to_records, natural_order, numbered_records, process_records
@@ -234,20 +234,24 @@ def clean_symbol_pages(spark, d):
     return _steps(_pages(spark, d).select("page_id", "html"), "html", *B.TAG_STEPS, B.drop_symbol_lines)
 
 
+def _cleaned(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    return df.select(*keys, clean_text(F.col(column)).alias("cleaned_body"))
+
+
 def clean_body_full(spark, d):
-    return clean_bodies(mail(spark, d)).select("doc_id", "cleaned_body")
+    return _cleaned(mail(spark, d), "Body", "doc_id")
 
 
 def clean_pages_full(spark, d):
-    return clean_bodies(_pages(spark, d), "html").select("page_id", "cleaned_body")
+    return _cleaned(_pages(spark, d), "html", "page_id")
 
 
 def clean_conversations_full(spark, d):
-    return clean_bodies(table(spark, d, "conversations"), "text").select("conv_id", "turn", "cleaned_body")
+    return _cleaned(table(spark, d, "conversations"), "text", "conv_id", "turn")
 
 
 def _audit(df: DataFrame, key: str, column: str) -> DataFrame:
-    return clean_bodies(df, column, audit="audit").select(
+    return df.select(key, clean_text_audited(F.col(column)).alias("audit")).select(
         key,
         F.array_join("audit.cleaning_steps", " | ").alias("cleaning_steps"),
         "audit.original_length",
@@ -309,7 +313,7 @@ def run_summary(spark, d):
 def process_mail(spark, d):
     return process_records(mail(spark, d)).select(
         "doc_id", "route", "Date", "From", "To", "X-cc", "X-bcc", "Subject", "Body",
-        F.array_join("audit.cleaning_steps", " | ").alias("cleaning_steps"),
+        F.coalesce(F.array_join("audit.cleaning_steps", " | "), F.lit("-")).alias("cleaning_steps"),
     )
 
 
