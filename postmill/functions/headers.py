@@ -5,17 +5,16 @@ Only the header block is searched for fields, so the cost of a long body is one
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postmill.functions.text import INLINE_SPACE, WORD, strip, text_or_empty, unify_line_breaks
 
-_BLANK_LINE = rf"(?:\A|\n)[{INLINE_SPACE}]*+(?:\n|(?<=[{INLINE_SPACE}])\z)"
-_JUNK_LINE = rf"(?:\A|\n)(?![ \t]|[{WORD}-]+:)[^\n]*"
-_FOLD = rf"(?<![{INLINE_SPACE}])[{INLINE_SPACE}]*+\n[{INLINE_SPACE}]*+"
-_TRAILING = rf"(?<![{INLINE_SPACE}])[{INLINE_SPACE}]++\z"
+_BLANK_LINE = rf"(?md)^[{INLINE_SPACE}]*+(?:\n|(?<=[{INLINE_SPACE}])\z)"
+_JUNK_LINE = rf"(?md)^(?![ \t]|[{WORD}-]++:)[^\n]*+\n?"
+_AFTER_NAME = rf"(?md)^([{WORD}-]++:)[{INLINE_SPACE}]++"
+_FOLD = rf"(?<![{INLINE_SPACE}])[{INLINE_SPACE}]*+\n[ \t][{INLINE_SPACE}]*+"
+_TRAILING = rf"(?<![{INLINE_SPACE}])[{INLINE_SPACE}]++(?=\n|\z)"
 
 
 def split_message(content: Column) -> Column:
@@ -24,18 +23,21 @@ def split_message(content: Column) -> Column:
 
 
 def header_lines(parts: Column) -> Column:
-    """Header block reduced to field lines and their continuations."""
-    return F.regexp_replace(parts.getItem(0), _JUNK_LINE, "")
+    """The header block as an array of ``name:value`` lines, continuations unfolded and everything else dropped.
 
+    Blanks after the name go before unfolding: an empty first line keeps the joining blank of its continuation.
+    """
+    block = F.regexp_replace(parts.getItem(0), _JUNK_LINE, "")
+    block = F.regexp_replace(block, _AFTER_NAME, "$1")
+    block = F.regexp_replace(F.regexp_replace(block, _FOLD, " "), _TRAILING, "")
+    return F.split(block, "\n", -1)
 
-def header_field(lines: Column, name: str) -> Column:
-    """Value of the last ``name:`` line with its continuations unfolded; ``""`` if the field is absent.
 
-    An empty first line followed by a continuation keeps the joining space in front, as unfolding produces it.
-    """
-    last = rf"(?s)\A(?:.*\n)?{re.escape(name)}:[{INLINE_SPACE}]*+([^\n]*+(?:\n[ \t][^\n]*+)*+)"
-    raw = F.regexp_extract(lines, last, 1)
-    return F.regexp_replace(F.regexp_replace(raw, _FOLD, " "), _TRAILING, "")
+def header_field(lines: Column, name: str) -> Column:
+    """Value of the last ``name:`` line, ``""`` if the field is absent."""
+    start = name + ":"
+    last = F.try_element_at(F.filter(lines, lambda line: line.startswith(start)), F.lit(-1))
+    return F.coalesce(F.substr(last, F.lit(len(start) + 1)), F.lit(""))
 
 
 def message_body(parts: Column) -> Column:

@@ -70,7 +70,8 @@ def unify_newlines(c: Column) -> Column:
 
 def unify_line_breaks(c: Column) -> Column:
     """Every Unicode line boundary becomes LF."""
-    return F.regexp_replace(c, r"\r\n|[\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]", "\n")
+    breaks = r"[\x{b}\x{c}\x{d}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
+    return F.regexp_replace(c, breaks + r"(?:(?<=\r)\n)?+", "\n")
 
 
 def lenient_utf8(binary: Column) -> Column:
