@@ -8,17 +8,15 @@ for bodies that lack it.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.text import ALNUM, INLINE_SPACE, REPLACEMENT, SPACE, SPACE_CHARS, WORD, bound, strip, unify_newlines
+from postmill.functions.text import ALNUM, INLINE_SPACE, REPLACEMENT, SPACE, SPACE_CHARS, WORD, bound, contains_any, lacks, once, strip, unify_newlines
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 ESCAPES = (("=\n", ""), ("=20", " "), ("=09", "\t"), ("=3D", "="), ("=22", '"'), ("=27", "'"))
-MOJIBAKE = ((REPLACEMENT, ""), ("â€™", "'"), ("â€œ", '"'), ("â€", '"'))
+MOJIBAKE = (("â€™", "'"), ("â€œ", '"'), ("â€", '"'))
 REMOVED_TAGS = ("html", "head", "body", "meta", "title", "style", "script")
 BULLETS = "-*•·▪▫◦‣⁃"
 CONTROLS = (*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F)
@@ -26,7 +24,7 @@ RULE_CHARS = r"=\-_~*#.>|+"
 # --- end of fixed values ----------------------------------------------------------------------------------------
 
 # Single characters, not ranges: the pattern engine then tests one bit per character.
-_CONTROL = "[" + "".join(rf"\x{code:02x}" for code in CONTROLS) + "]"
+_CONTROL = "".join(rf"\x{code:02x}" for code in CONTROLS)
 _SYMBOL = f"[^{ALNUM}{SPACE}]"
 _LIST_MARKER = rf"(?:\p{{Nd}}+\.|[a-z]\.|[a-z]\)|\(\p{{Nd}}+\)|\p{{Nd}}+\)|[ivx]+\.)[{SPACE}]+[{WORD}]"
 # Stripping symbols can only hurt the list form that starts with one.
@@ -52,9 +50,8 @@ def _replace_all(c: Column, pairs) -> Column:
 
 
 def _when_contains(c: Column, needles: tuple[str, ...], changed: Column) -> Column:
-    """``changed`` for texts that hold any needle. The byte search is far cheaper than a pattern pass."""
-    found = reduce(or_, (F.contains(c, F.lit(needle)) for needle in needles))
-    return F.when(found, changed).otherwise(c)
+    """``changed`` for texts that hold any needle."""
+    return F.when(contains_any(c, needles), changed).otherwise(c)
 
 
 @bound
@@ -70,9 +67,14 @@ def squeeze_spaces(c: Column) -> Column:
     return F.regexp_replace(narrow, rf"\n(?:[{INLINE_SPACE}]*+\n){{3,}}+", "\n\n\n")
 
 
+@bound
+def _drop_controls(c: Column) -> Column:
+    return F.when(lacks(c, _CONTROL), c).otherwise(F.regexp_replace(c, f"[{_CONTROL}]", ""))
+
+
 def drop_controls(c: Column) -> Column:
     """Control characters go, except tab and line ends; line ends become LF."""
-    return unify_newlines(F.regexp_replace(c, _CONTROL, ""))
+    return unify_newlines(_drop_controls(c))
 
 
 def is_list_line(line: Column) -> Column:
@@ -122,7 +124,8 @@ TAG_STEPS = (break_tags, *map(strip_tag, REMOVED_TAGS))
 
 def repair_mojibake(c: Column) -> Column:
     """Replacement characters go; mis-decoded curly quotes become plain ones."""
-    return _replace_all(c, MOJIBAKE)
+    kept = F.replace(c, F.lit(REPLACEMENT), F.lit(""))
+    return once(kept, lambda t: _when_contains(t, (MOJIBAKE[-1][0],), _replace_all(t, MOJIBAKE)))
 
 
 @bound

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from postmill.functions.text import INLINE_SPACE, WORD, strip, text_or_empty, unify_line_breaks
 
 _BLANK_LINE = rf"(?md)^[{INLINE_SPACE}]*+(?:\n|(?<=[{INLINE_SPACE}])\z)"
-_JUNK_LINE = rf"(?md)^(?![ \t]|[{WORD}-]++:)[^\n]*+\n?"
-_AFTER_NAME = rf"(?md)^([{WORD}-]++:)[{INLINE_SPACE}]++"
-_FOLD = rf"(?<![{INLINE_SPACE}])[{INLINE_SPACE}]*+\n[ \t][{INLINE_SPACE}]*+"
-_TRAILING = rf"(?<![{INLINE_SPACE}])[{INLINE_SPACE}]++(?=\n|\z)"
+# Group 1 and 2: name and value of a field line without the blanks between them. Group 3: a continuation. Junk has no group.
+_LINE = rf"(?md)^(?:([{WORD}-]++:)[{INLINE_SPACE}]*+([^\n]*)|([ \t][^\n]*)|[^\n]+\n?)"
+_TRAILING = rf"(?md)[{INLINE_SPACE}](?<![{INLINE_SPACE}]{{2}})[{INLINE_SPACE}]*+$"
+_FOLD = rf"\n[ \t][{INLINE_SPACE}]*+"
 
 
 def split_message(content: Column) -> Column:
@@ -27,9 +27,8 @@ def header_lines(parts: Column) -> Column:
 
     Blanks after the name go before unfolding: an empty first line keeps the joining blank of its continuation.
     """
-    block = F.regexp_replace(parts.getItem(0), _JUNK_LINE, "")
-    block = F.regexp_replace(block, _AFTER_NAME, "$1")
-    block = F.regexp_replace(F.regexp_replace(block, _FOLD, " "), _TRAILING, "")
+    block = F.regexp_replace(parts.getItem(0), _LINE, "$1$2$3")
+    block = F.regexp_replace(F.regexp_replace(block, _TRAILING, ""), _FOLD, " ")
     return F.split(block, "\n", -1)
 
 
