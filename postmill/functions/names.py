@@ -36,6 +36,11 @@ def with_txt_suffix(name: Column) -> Column:
     return F.when(_lacks_real_extension(name), F.concat(name, F.lit(".txt"))).otherwise(name)
 
 
+def txt_name(path: Column) -> Column:
+    """Base name of a path with its ``.txt`` suffix supplied."""
+    return with_txt_suffix(base_name(path))
+
+
 def natural_key(name: Column) -> Column:
     """String whose plain order is natural order: digit runs of any length compare as integers.
 

@@ -7,22 +7,28 @@ path. Paths decide every tie, so the outcome does not depend on partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.names import base_name
 from postmill.operators.ordering import attach_group
 
+#: File name that stands for a path.
+Naming = Callable[[Column], Column]
+
 #: Copies of one content that a single join task should take.
 HOT_COPIES = 1_000_000
 
 
-def fingerprints(files: DataFrame, text: str = "text") -> DataFrame:
+def fingerprints(files: DataFrame, text: str = "text", name: Naming = base_name) -> DataFrame:
     """``(path, hash)`` of ``.txt`` files; the only columns later steps shuffle.
 
-    A ``hash`` column stored when the corpus was compacted is used as it is, so the text is not read again.
+    ``name`` gives the file name that counts for a path. A ``hash`` column stored when the corpus was compacted is used
+    as it is, so the text is not read again.
     """
-    named = files.filter(F.col("path").endswith(".txt"))
+    named = files.filter(name(F.col("path")).endswith(".txt"))
     value = F.col("hash") if "hash" in files.columns else F.md5(F.col(text))
     return named.select("path", value.alias("hash"))
 
@@ -69,12 +75,14 @@ def last_per_name(paths: DataFrame, name: str = "file_name") -> DataFrame:
     return paths.groupBy(name).agg(F.max("path").alias("path")).select("path")
 
 
-def surviving_paths(files: DataFrame, text: str = "text", collapse: bool = True) -> DataFrame:
-    """Paths left after content dedup of ``.txt`` files and, optionally, the collapse by base name.
+def surviving_paths(
+    files: DataFrame, text: str = "text", collapse: bool = True, name: Naming = base_name
+) -> DataFrame:
+    """Paths left after content dedup of ``.txt`` files and, optionally, the collapse by file name.
 
     Works on keys only, so a corpus needs a single shuffle of its wide rows afterwards.
     """
-    others = files.filter(~F.col("path").endswith(".txt")).select("path")
-    first = content_groups(fingerprints(files, text)).select(F.col("first_path").alias("path"))
+    others = files.filter(~name(F.col("path")).endswith(".txt")).select("path")
+    first = content_groups(fingerprints(files, text, name)).select(F.col("first_path").alias("path"))
     paths = first.unionByName(others)
-    return last_per_name(paths.withColumn("file_name", base_name(F.col("path")))) if collapse else paths
+    return last_per_name(paths.withColumn("file_name", name(F.col("path")))) if collapse else paths

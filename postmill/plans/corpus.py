@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.names import base_name, is_mail_file, natural_key, with_txt_suffix
+from postmill.functions.names import base_name, is_mail_file, natural_key, txt_name
 from postmill.operators.clean import clean_fields, clean_text, clean_text_audited
-from postmill.operators.dedup import surviving_paths
+from postmill.operators.dedup import last_per_name, surviving_paths
 from postmill.operators.ordering import with_position
 from postmill.operators.parse import parse_messages
 from postmill.operators.quality import CLEANED, run_summary, skipped_report, with_route
@@ -18,37 +18,43 @@ from postmill.sources.sinks import report_path, write_records, write_skips
 
 
 def corpus_to_records(
-    files: DataFrame, rename: bool = True, dedup: bool = True, collapse: bool = True, text: str = "text"
+    files: DataFrame,
+    rename: bool = True,
+    dedup: bool = True,
+    collapse: bool = True,
+    number: str | None = None,
+    text: str = "text",
 ) -> DataFrame:
     """Records of a corpus ``(path, text[, hash])`` with the ``path`` they came from.
 
     ``rename`` gives extension-less files their ``.txt`` name, ``dedup`` keeps the first copy of each content,
-    ``collapse`` keeps one file per base name (names repeat across folders, so this loses mail; it is the default
-    because results must match). Survivors are found on keys alone; the texts are shuffled once.
+    ``collapse`` keeps one file per name (names repeat across folders, so this loses mail; it is the default because
+    results must match). ``number`` names a column for the 1-based place in natural order of file names.
+
+    A new name never replaces the path: ``1`` and ``1.txt`` of one folder stay two files. Survivors are found and
+    numbered on keys alone; one join on the unique path then shuffles the texts once.
     """
-    named = files.filter(is_mail_file(base_name(F.col("path"))))
-    if rename:
-        renamed = with_txt_suffix(base_name(F.col("path")))
-        folder = F.regexp_extract("path", r"(?s)\A(.*/)?", 0)
-        named = named.withColumn("path", F.concat(folder, renamed))
+    name = txt_name if rename else base_name
+    files = files.filter(is_mail_file(base_name(F.col("path"))))
+    paths = None
     if dedup:
-        named = named.join(surviving_paths(named, text, collapse), "path", "left_semi")
+        paths = surviving_paths(files, text, collapse, name)
     elif collapse:
-        paths = named.select("path", base_name(F.col("path")).alias("file_name"))
-        named = named.join(paths.groupBy("file_name").agg(F.max("path").alias("path")).select("path"), "path", "left_semi")
-    return parse_messages(named, text, keep=("path",))
-
-
-def natural_order(records: DataFrame):
-    """Ordering of records by source file name with numbers compared as numbers."""
+        paths = last_per_name(files.select("path", name(F.col("path")).alias("file_name")))
+    if number:
+        paths = files.select("path") if paths is None else paths
+        named = paths.withColumn("SourceFile", name(F.col("path")))
+        files = files.join(with_position(named, natural_order(), number, start=1).select("path", number), "path")
+    elif paths is not None:
+        files = files.join(paths, "path", "left_semi")
+    return parse_messages(files, text, ("path", number) if number else ("path",), name)
+
+
+def natural_order() -> list[Column]:
+    """Ordering by source file name with numbers compared as numbers."""
     return [natural_key(F.col("SourceFile")), F.col("SourceFile"), F.col("path")]
 
 
-def numbered_records(records: DataFrame) -> DataFrame:
-    """Add ``email_number``, the 1-based place in natural order."""
-    return with_position(records, natural_order(records), "email_number", start=1)
-
-
 def process_records(records: DataFrame, subject_only: str = "skip", audit: str | None = "audit") -> DataFrame:
     """Route every record and clean the fields and the body of those that pass. One narrow stage, no shuffle.
 

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.plans.corpus import corpus_to_records, numbered_records, process_records, run_cleaning
+from postmill.plans.corpus import corpus_to_records, process_records, run_cleaning
 from postmill.operators.dedup import fingerprints, removed_files
 from postmill.schema import RECORD, RECORD_FIELDS
 from postmill.sources import records as R
@@ -56,10 +56,12 @@ def test_corpus_to_clean_records(spark, corpus, tmp_path):
     assert {r.SourceFile for r in records.collect()} == {"1.txt", "10.txt", "a. 12.txt", "b.TXT", "4.txt", "5.txt", "x+y %41.txt"}
     unmerged = corpus_to_records(files, rename=False, dedup=False, collapse=False)
     assert sorted(r.SourceFile for r in unmerged.collect()) == ["1", "1", "10.txt", "3.txt", "4", "5", "a. 12", "b.TXT", "x+y %41"]
+    plain = corpus_to_records(files, rename=False, dedup=False, collapse=False, number="n")
+    assert sorted(r.n for r in plain.collect()) == list(range(1, 10))
     last = corpus_to_records(files, rename=False, dedup=False).filter("SourceFile = '1'").collect()
     assert len(last) == 1 and last[0].path.endswith("sent/deep/1")
 
-    numbered = numbered_records(records)
+    numbered = corpus_to_records(files, number="email_number")
     order = [r.SourceFile for r in numbered.orderBy("email_number").collect()]
     assert order == ["1.txt", "4.txt", "5.txt", "10.txt", "a. 12.txt", "b.TXT", "x+y %41.txt"]
 
@@ -77,9 +79,16 @@ def test_corpus_to_clean_records(spark, corpus, tmp_path):
     assert exported.columns == list(RECORD_FIELDS) and exported.count() == 5
 
 
+def test_a_new_name_does_not_replace_a_file(spark):
+    files = spark.createDataFrame([("/a/1", "A: 1\n\nx"), ("/a/1.txt", "A: 1\n\ny"), ("/b/1", "A: 1\n\nx")], "path string, text string")
+    both = corpus_to_records(files, collapse=False, number="n").orderBy("n").collect()
+    assert [(r.n, r.path, r.SourceFile, r.Body) for r in both] == [(1, "/a/1", "1.txt", "x"), (2, "/a/1.txt", "1.txt", "y")]
+    assert [r.path for r in corpus_to_records(files).collect()] == ["/a/1.txt"]
+
+
 def test_empty_corpus(spark, tmp_path):
     none = spark.createDataFrame([], "path string, text string")
-    run = run_cleaning(numbered_records(corpus_to_records(none)), str(tmp_path / "out"))
+    run = run_cleaning(corpus_to_records(none, number="email_number"), str(tmp_path / "out"))
     assert run.summary.first().total == 0 and run.cleaned.isEmpty() and run.skipped.isEmpty()
 
 

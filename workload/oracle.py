@@ -326,7 +326,7 @@ NATURAL = (
 BREAKS = r"\r\n|[\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
-def parsed(source: str, keep: str) -> str:
+def parsed(source: str, keep: str, name: str = NAME) -> str:
     """CTEs ending in ``parsed``. Lines are walked with list functions."""
     one = sub("text", BREAKS, NL)
     tidy = f"CASE WHEN ends_with(u, {NL}) THEN u[1:length(u) - 1] ELSE u END"
@@ -349,7 +349,7 @@ p4 AS (SELECT *, list_filter(CASE WHEN b = 0 THEN ls ELSE ls[1:b - 1] END,
 p5 AS (SELECT *, {unlines(f"list_transform(hl, lambda l: {normal})")} AS ht FROM p4),
 p6 AS (SELECT *, {lines(f"replace(ht, {NL} || ' ', ' ')")} AS h FROM p5),
 parsed AS (SELECT {keep}, {fields}, {strip(f"coalesce({unlines('ls[b + 1:]')}, '')")} AS "Body",
-    {NAME} AS "SourceFile" FROM p6)"""
+    {name} AS "SourceFile" FROM p6)"""
 
 
 HEADERS = ", ".join(f'"{n}"' for n in HEADER_FIELDS)
@@ -359,15 +359,16 @@ ALL_FIELDS = ", ".join(f'"{n}"' for n in RECORD_FIELDS)
 def surviving(collapse: bool) -> str:
     """CTE ``kept``: renamed, deduplicated and, optionally, collapsed files."""
     names = (
-        f"named AS (SELECT CASE WHEN {BARE} THEN path || '.txt' ELSE path END AS path, text FROM raw WHERE {ELIGIBLE}),\n"
-        "unique_files AS (SELECT * FROM named QUALIFY NOT ends_with(path, '.txt') OR "
-        "row_number() OVER (PARTITION BY ends_with(path, '.txt'), md5(text) ORDER BY path) = 1),\n"
+        f"named AS (SELECT path, text, CASE WHEN {BARE} THEN {NAME} || '.txt' ELSE {NAME} END AS name FROM raw "
+        f"WHERE {ELIGIBLE}),\n"
+        "unique_files AS (SELECT * FROM named QUALIFY NOT ends_with(name, '.txt') OR "
+        "row_number() OVER (PARTITION BY ends_with(name, '.txt'), md5(text) ORDER BY path) = 1),\n"
     )
-    last = f" QUALIFY row_number() OVER (PARTITION BY {NAME} ORDER BY path DESC) = 1" if collapse else ""
+    last = " QUALIFY row_number() OVER (PARTITION BY name ORDER BY path DESC) = 1" if collapse else ""
     return names + f"kept AS (SELECT * FROM unique_files{last})"
 
 
-REFINED = with_(MAIL, RAW, surviving(True), parsed("kept", "path"))
+REFINED = with_(MAIL, RAW, surviving(True), parsed("kept", "path", "name"))
 
 ORACLE = {
     "top_senders": ON_BOARD
@@ -504,13 +505,13 @@ FROM groups WHERE copies > 1""",
     "parse_body": with_(MAIL, RAW, parsed("raw", "doc_id")) + 'SELECT doc_id, "Body" FROM parsed',
     "parse_record": with_(MAIL, RAW, parsed("raw", "doc_id")) + f"SELECT doc_id, {ALL_FIELDS} FROM parsed",
     "refined_records": REFINED + f"SELECT path, {ALL_FIELDS} FROM parsed",
-    "refined_records_all_names": with_(MAIL, RAW, surviving(False), parsed("kept", "path"))
+    "refined_records_all_names": with_(MAIL, RAW, surviving(False), parsed("kept", "path", "name"))
     + f"SELECT path, {ALL_FIELDS} FROM parsed",
     "corpus_to_clean": with_(
         MAIL,
         RAW,
         surviving(True),
-        parsed("kept", "path"),
+        parsed("kept", "path", "name"),
         f"""routed AS (SELECT *, {route()} AS route, row_number() OVER (ORDER BY {NATURAL.format('"SourceFile"')},
     "SourceFile", path) AS email_number FROM parsed)""",
         chain("routed", "Body"),

@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 
 from postmill.functions import body as B
 from postmill.functions.fields import clean_addresses, european_date
-from postmill.functions.names import base_name, is_mail_file, with_txt_suffix
+from postmill.functions.names import base_name, is_mail_file, txt_name
 from postmill.functions.text import lenient_utf8
 from postmill.operators import dedup, quality, selection, timeline, values, vocabulary
 from postmill.operators.clean import clean_text, clean_text_audited
 from postmill.operators.ordering import spread, with_position
 from postmill.operators.parse import parse_messages
-from postmill.plans.corpus import corpus_to_records, natural_order, numbered_records, process_records
+from postmill.plans.corpus import corpus_to_records, natural_order, process_records
 from postmill.schema import HEADER_FIELDS, RECORD, RECORD_FIELDS, quoted
 from postmill.session import shared_dir
 from postmill.sources.records import flatten, read_json, require_columns
 from postmill.sources.sinks import write_records
-from workload.tables import board, document_files, mail, numbered_mail, raw_messages, table
+from workload.tables import board, document_files, mail, mail_numbers, raw_messages, table
 
 SENDER = "User 46 u46@click.example.com"
 SENDERS = (SENDER, "User 8 u8@error.example.com", "User 1 u1@view.example.com")
@@ -288,7 +288,8 @@ def record_profile(spark, d):
 
 
 def _skips(spark, d):
-    return quality.skipped_report(quality.with_route(numbered_mail(spark, d)))
+    skipped = quality.with_route(mail(spark, d)).filter(F.col("route") != quality.CLEANED)
+    return quality.skipped_report(skipped.join(mail_numbers(spark, d), "doc_id"))
 
 
 def skipped_report(spark, d):
@@ -357,7 +358,7 @@ def eligible_files(spark, d):
 
 
 def normalized_names(spark, d):
-    return raw_messages(spark, d).select("path", with_txt_suffix(base_name(F.col("path"))).alias("file_name"))
+    return raw_messages(spark, d).select("path", txt_name(F.col("path")).alias("file_name"))
 
 
 def basename_collapse(spark, d):
@@ -367,7 +368,7 @@ def basename_collapse(spark, d):
 
 def natural_positions(spark, d):
     files = raw_messages(spark, d).select("path", base_name(F.col("path")).alias("SourceFile"))
-    return with_position(files, natural_order(files), "email_number", start=1)
+    return with_position(files, natural_order(), "email_number", start=1)
 
 
 def corpus_counts(spark, d):
@@ -414,7 +415,7 @@ def refined_records_all_names(spark, d):
 
 
 def corpus_to_clean(spark, d):
-    records = numbered_records(corpus_to_records(raw_messages(spark, d)))
+    records = corpus_to_records(raw_messages(spark, d), number="email_number")
     return process_records(records, audit=None).select(
         "email_number", "path", "SourceFile", "route", "Date", "From", "To", "Subject", "Body"
     )

@@ -76,9 +76,9 @@ def board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned_records(mail(spark, sf_dir))
 
 
-def numbered_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identification, subject and body flags only need a few columns; the number is the place in id order."""
-    return with_position(mail(spark, sf_dir), ["doc_id"], "email_number", start=1)
+def mail_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, email_number)``: the place of each mail in id order, worked out on ids only."""
+    return with_position(mail(spark, sf_dir).select("doc_id"), ["doc_id"], "email_number", start=1)
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
