@@ -70,7 +70,7 @@ def subject_matches(df: DataFrame, keyword: str | None, literal: bool = False, c
     if not keyword:
         return df
     pattern = re.sub(r"([^\w\s])", r"\\\1", keyword) if literal else keyword
-    return df.filter(F.coalesce(F.col(quoted(column)).rlike("(?iu)" + pattern), F.lit(False)))
+    return df.filter(F.coalesce(F.col(quoted(column)).rlike("(?iUd)" + pattern), F.lit(False)))
 
 
 def select_mail(

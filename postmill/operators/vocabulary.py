@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +23,7 @@ STOP_WORDS = tuple(
     www you your yours yourself yourselves
     """.split()
 )
+PAIR_THRESHOLD = 30.0
 # --- end of fixed values ----------------------------------------------------------------------------------------
 
 
@@ -38,29 +39,104 @@ def top_words(df: DataFrame, column: str, k: int = 20) -> DataFrame:
     return word_counts(df, column).orderBy(F.desc("frequency"), F.asc("word")).limit(k)
 
 
+def _singular_stem(word: Column) -> Column:
+    """The word without a final ``s`` that could be a plural ending."""
+    plural = word.endswith("s") & ~word.endswith("ss") & (F.length(word) > 1)
+    return F.when(plural, F.left(word, F.length(word) - 1)).otherwise(word)
+
+
+def _merge_plurals(counts: DataFrame) -> DataFrame:
+    """``(stem, word, frequency)``: ``words`` counts for ``word`` if both occur.
+
+    A stem owns at most two rows, and no plural is the singular of another word, so one grouping does it.
+    """
+    stem = _singular_stem(F.col("word"))
+    stems = counts.groupBy(stem.alias("stem")).agg(
+        F.sum("frequency").alias("frequency"), F.bool_or(stem == F.col("word")).alias("has_singular")
+    )
+    word = F.when(F.col("has_singular"), F.col("stem")).otherwise(F.concat("stem", F.lit("s")))
+    return stems.select("stem", word.alias("word"), "frequency")
+
+
+def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
+    floor = F.lit(1e-10)
+    return F.log(F.greatest(p, floor)) * k + F.log(F.greatest(1 - p, floor)) * (n - k)
+
+
+def _collocations(pairs: DataFrame, single: DataFrame, merge_plurals: bool, threshold: float) -> DataFrame:
+    """``(word, frequency, first, second)`` of pairs that occur together far more often than their words suggest."""
+    total = single.agg(F.sum("frequency").cast("double").alias("n")).scalar()
+
+    def side(name: str) -> DataFrame:
+        return single.select(
+            F.col("stem").alias(f"{name}_stem"), F.col("word").alias(name),
+            F.col("frequency").cast("double").alias(f"{name}_count"),
+        )
+
+    def stem(word: Column) -> Column:
+        return _singular_stem(word) if merge_plurals else word
+
+    halves = F.split("word", " ")
+    found = (
+        (_merge_plurals(pairs) if merge_plurals else pairs)
+        .select(
+            "word", "frequency", stem(F.get(halves, F.lit(0))).alias("first_stem"),
+            stem(F.get(halves, F.lit(1))).alias("second_stem"),
+        )
+        .join(side("first"), "first_stem")
+        .join(side("second"), "second_stem")
+        .withColumn("n", total)
+    )
+    both, c1, c2, n = F.col("frequency").cast("double"), F.col("first_count"), F.col("second_count"), F.col("n")
+    expected, with_first, without_first = c2 / n, both / c1, F.try_divide(c2 - both, n - c1)
+    score = -2 * (
+        _log_likelihood(both, c1, expected) + _log_likelihood(c2 - both, n - c1, expected)
+        - _log_likelihood(both, c1, with_first) - _log_likelihood(c2 - both, n - c1, without_first)
+    )
+    kept = found.filter(F.when((n <= c1) | (n <= c2), 0.0).otherwise(score) > threshold)
+    return kept.select("word", "frequency", "first", "second")
+
+
 def cloud_weights(
     df: DataFrame,
     column: str,
     k: int = 200,
     stop_words: Iterable[str] = STOP_WORDS,
     merge_plurals: bool = True,
+    pairs: bool = True,
+    threshold: float = PAIR_THRESHOLD,
 ) -> DataFrame:
-    """``(word, frequency, weight)`` behind a word cloud; the weight is relative to the most frequent word.
+    """``(word, frequency, weight)`` behind a word cloud; the weight is relative to the most frequent entry.
 
-    Stop words and plain numbers are left out. With ``merge_plurals``, ``words`` counts for ``word`` if both occur.
-    A stem owns at most two rows, and no plural is the singular of another word, so one grouping does it.
+    Stop words and plain numbers are left out. With ``merge_plurals``, ``words`` counts for ``word`` if both occur. With
+    ``pairs``, neighbours in a text that belong together (Dunning's likelihood ratio above ``threshold``) become an entry
+    of their own and no longer count for their words.
     """
-    counts = word_counts(df, column)
-    counts = counts.filter(~F.col("word").rlike(r"\A\p{Nd}+\z") & ~F.col("word").isin(list(stop_words)))
-    if merge_plurals:
-        plural = F.col("word").endswith("s") & ~F.col("word").endswith("ss") & (F.length("word") > 1)
-        stem = F.when(plural, F.expr("left(word, length(word) - 1)")).otherwise(F.col("word"))
-        stems = counts.groupBy(stem.alias("_stem")).agg(
-            F.sum("frequency").alias("frequency"), F.bool_or(~plural).alias("_has_singular")
+    stops = list(stop_words)
+    tokens = F.filter(words(F.col(quoted(column))), lambda w: ~w.rlike(r"\A\p{Nd}+\z"))
+    texts = df.select(tokens.alias("tokens"))
+
+    def counted(entries: Column) -> DataFrame:
+        rows = texts.select(F.explode(entries).alias("word")).filter(F.col("word").isNotNull())
+        return rows.groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
+
+    def merged(counts: DataFrame) -> DataFrame:
+        return _merge_plurals(counts) if merge_plurals else counts.withColumn("stem", F.col("word"))
+
+    single = merged(counted(F.filter(F.col("tokens"), lambda w: ~w.isin(stops))))
+    entries = single.select("word", "frequency")
+    if pairs:
+        following = F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0)))
+        neighbours = F.zip_with(
+            "tokens", following, lambda a, b: F.when(~a.isin(stops) & ~b.isin(stops), F.concat(a, F.lit(" "), b))
         )
-        word = F.when(F.col("_has_singular"), F.col("_stem")).otherwise(F.concat("_stem", F.lit("s")))
-        counts = stems.select(word.alias("word"), "frequency")
-    top = counts.orderBy(F.desc("frequency"), F.asc("word")).limit(k)
+        together = _collocations(counted(neighbours), single, merge_plurals, threshold)
+        taken = together.select(F.explode(F.array("first", "second")).alias("word"), "frequency")
+        taken = taken.groupBy("word").agg(F.sum("frequency").alias("taken"))
+        left = F.col("frequency") - F.coalesce("taken", F.lit(0))
+        entries = entries.join(taken, "word", "left").select("word", left.alias("frequency")).filter("frequency > 0")
+        entries = entries.unionByName(together.select("word", "frequency"))
+    top = entries.orderBy(F.desc("frequency"), F.asc("word")).limit(k)
     everything = W.orderBy(F.desc("frequency")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     # The window sees the k rows of the report, not the table.
     return top.withColumn("weight", F.col("frequency") / F.max("frequency").over(everything))

@@ -50,14 +50,24 @@ def test_words(mail):
 
 
 def test_cloud(mail):
-    rows = {r.word: (r.frequency, r.weight) for r in vocabulary.cloud_weights(mail, "Subject").collect()}
+    rows = {r.word: (r.frequency, r.weight) for r in vocabulary.cloud_weights(mail, "Subject", pairs=False).collect()}
     assert rows == {
         "hello": (2, 1.0), "world": (2, 1.0), "boss": (1, 0.5), "bosses": (1, 0.5), "x": (1, 0.5)
     }
-    plain = vocabulary.cloud_weights(mail, "Subject", k=1, stop_words=(), merge_plurals=False).collect()
+    plain = vocabulary.cloud_weights(mail, "Subject", k=1, stop_words=(), merge_plurals=False, pairs=False).collect()
     assert [tuple(r) for r in plain] == [("the", 3, 1.0)]
 
 
+def test_cloud_pairs(spark):
+    texts = ["new york offices"] * 20 + ["new york office 7 and"] * 5 + [f"w{i} new" for i in range(40)] + [f"york v{i}" for i in range(3)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = {r.word: r.frequency for r in vocabulary.cloud_weights(df, "t").collect()}
+    assert rows["new york"] == 25 and rows["york office"] == 25
+    assert rows["new"] == 40 and "york" not in rows and "office" not in rows and "and" not in rows and "7" not in rows
+    assert "w1 new" not in rows and rows["w1"] == 1
+    assert vocabulary.cloud_weights(df.limit(0), "t").isEmpty()
+
+
 def test_date_column(mail, timed):
     assert timeline.date_like_columns(mail.withColumn("sentTime", F.lit(1))) == ["Date", "sentTime"]
     with pytest.raises(ValueError):

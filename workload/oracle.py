@@ -269,6 +269,42 @@ def word_rows(source: str, column: str) -> str:
 counts AS (SELECT word, count(*) AS frequency FROM words GROUP BY word)"""
 
 
+def merged_words(source: str, name: str) -> str:
+    """CTE ``name(word, frequency)`` with plurals counted for their singular, and ``name_form(word, form)``."""
+    return f"""{name}_form AS (SELECT u.word, coalesce(s.word, u.word) AS form, u.frequency
+  FROM {source} u LEFT JOIN {source} s ON ends_with(u.word, 's') AND NOT ends_with(u.word, 'ss')
+    AND s.word = left(u.word, length(u.word) - 1)),
+{name} AS (SELECT form AS word, sum(frequency)::BIGINT AS frequency FROM {name}_form GROUP BY 1)"""
+
+
+def likelihood(k: str, n: str, p: str) -> str:
+    return f"(ln(greatest({p}, 1e-10)) * ({k}) + ln(greatest(1 - {p}, 1e-10)) * (({n}) - ({k})))"
+
+
+STOPS = ", ".join(map(sql_text, STOP_WORDS))
+
+
+def paired(source: str, column: str) -> str:
+    runs = f"string_split({sub(f'lower({column})', f'[^{WORD}]+', ' ')}, ' ')"
+    return rf"""toks AS (SELECT list_filter({runs}, lambda w: w <> '' AND NOT regexp_matches(w, '\A\p{{Nd}}+\z')) AS ws FROM {source}),
+uni AS (SELECT word, count(*) AS frequency FROM (SELECT unnest(ws) AS word FROM toks) WHERE word NOT IN ({STOPS}) GROUP BY 1),
+bi AS (SELECT a || ' ' || b AS word, count(*) AS frequency FROM (SELECT ws[i] AS a, ws[i + 1] AS b
+  FROM (SELECT ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM toks))
+  WHERE a NOT IN ({STOPS}) AND b NOT IN ({STOPS}) GROUP BY 1),
+{merged_words('uni', 'm')}, {merged_words('bi', 'mb')},
+facts AS (SELECT mb.word, mb.frequency, f1.form AS w1, f2.form AS w2, mb.frequency::DOUBLE AS c12, m1.frequency::DOUBLE AS c1,
+    m2.frequency::DOUBLE AS c2, (SELECT sum(frequency) FROM uni)::DOUBLE AS n
+  FROM mb JOIN m_form f1 ON f1.word = split_part(mb.word, ' ', 1) JOIN m_form f2 ON f2.word = split_part(mb.word, ' ', 2)
+  JOIN m m1 ON m1.word = f1.form JOIN m m2 ON m2.word = f2.form),
+together AS (SELECT * FROM facts WHERE n > c1 AND n > c2 AND -2 * ({likelihood('c12', 'c1', '(c2 / n)')}
+  + {likelihood('c2 - c12', 'n - c1', '(c2 / n)')} - {likelihood('c12', 'c1', '(c12 / c1)')}
+  - {likelihood('c2 - c12', 'n - c1', '((c2 - c12) / (n - c1))')}) > 30),
+taken AS (SELECT word, sum(frequency) AS t FROM (SELECT w1 AS word, frequency FROM together
+  UNION ALL SELECT w2, frequency FROM together) GROUP BY 1),
+entries AS (SELECT m.word, (frequency - coalesce(t, 0))::BIGINT AS frequency FROM m LEFT JOIN taken USING (word)
+  UNION ALL SELECT word, frequency FROM together)"""
+
+
 TOP_20 = "SELECT word, frequency FROM counts ORDER BY frequency DESC, word LIMIT 20"
 
 
@@ -382,12 +418,12 @@ ORACLE = {
         word_rows("board", '"Subject"'),
         rf"""used AS (SELECT * FROM counts WHERE NOT regexp_matches(word, '\A\p{{Nd}}+\z')
   AND word NOT IN ({', '.join(sql_text(w) for w in STOP_WORDS)}))""",
-        """merged AS (SELECT coalesce(s.word, u.word) AS word, sum(u.frequency)::BIGINT AS frequency
-  FROM used u LEFT JOIN used s ON ends_with(u.word, 's') AND NOT ends_with(u.word, 'ss')
-    AND s.word = left(u.word, length(u.word) - 1) GROUP BY 1)""",
+        merged_words("used", "merged"),
         "top AS (SELECT * FROM merged ORDER BY frequency DESC, word LIMIT 200)",
     )
     + "SELECT word, frequency, frequency / (SELECT max(frequency) FROM top) AS weight FROM top",
+    "word_cloud_pairs": with_(paired("conversations", "text"))
+    + "SELECT word, frequency FROM entries WHERE frequency > 0 ORDER BY frequency DESC, word LIMIT 200",
     "sender_domain": ON_BOARD + 'SELECT DISTINCT "From" AS "Sender" FROM board',
     "recipient_domain_placeholder": ON_BOARD
     + """SELECT DISTINCT coalesce(nullif("To", ''), '(unknown)') AS "To" FROM board""",

@@ -68,7 +68,11 @@ def document_words(spark, d):
 
 
 def word_cloud_weights(spark, d):
-    return vocabulary.cloud_weights(board(spark, d), "Subject")
+    return vocabulary.cloud_weights(board(spark, d), "Subject", pairs=False)
+
+
+def word_cloud_pairs(spark, d):
+    return vocabulary.cloud_weights(table(spark, d, "conversations"), "text").select("word", "frequency")
 
 
 def sender_domain(spark, d):
@@ -436,7 +440,8 @@ def records_roundtrip(spark, d):
 QUERIES = {
     q.__name__: q
     for q in (
-        top_senders, subject_word_freq, conversation_word_freq, document_words, word_cloud_weights, sender_domain,
+        top_senders, subject_word_freq, conversation_word_freq, document_words, word_cloud_weights, word_cloud_pairs,
+        sender_domain,
         recipient_domain_placeholder, sender_filter, sender_filter_count, mail_list_all, full_view, date_parse,
         time_bounds, range_sender_keyword_filter, sender_list_filter, subject_literal_search, timeline_points,
         overview, page_2, page_after_first, page_count, detail_format, working_set_default, working_set_topup,
