@@ -559,3 +559,19 @@ FROM groups WHERE copies > 1""",
     "records_roundtrip": with_(MAIL) + f"SELECT {ALL_FIELDS} FROM mail",
 }
 ORACLE["duplicate_sets_split"] = ORACLE["duplicate_sets"]
+
+#: Spark lengths, hours and counts of list elements are 32-bit.
+INTEGERS = {
+    "weekday_hour": ("day_order", "hour"),
+    "weekday_hour_mail": ("day_order", "hour"),
+    "weekday_hour_dense": ("day_order", "hour"),
+    "list_lines": ("list_lines",),
+    "changed_lines": ("lines_modified",),
+    "clean_audit": ("original_length", "final_length"),
+    "clean_audit_pages": ("original_length", "final_length"),
+    "record_profile": ("subject_length", "body_length"),
+    "skipped_report": ("subject_length", "body_length"),
+}
+for _name, _columns in INTEGERS.items():
+    _casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in _columns)
+    ORACLE[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE[_name]})"
