@@ -47,7 +47,10 @@ def with_position(df: DataFrame, order: Sequence[Column | str], name: str, start
     bounds both the window and the broadcast.
     """
     local = "_local_position"
-    placed = materialize(df.orderBy(*order).withColumn(local, F.monotonically_increasing_id()), "positions")
+    # A sort evaluates its expressions at every comparison, so they become columns first.
+    keys = {f"_key{i}": F.col(quoted(o)) if isinstance(o, str) else o for i, o in enumerate(order)}
+    ranged = df.withColumns(keys).orderBy(*keys).drop(*keys)
+    placed = materialize(ranged.withColumn(local, F.monotonically_increasing_id()), "positions")
     part = F.shiftright(F.col(local), _ROW_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
