@@ -69,10 +69,11 @@ def process_records(records: DataFrame, subject_only: str = "skip", audit: str |
     return cleaned.withColumns({"Body": body, audit: F.col(audit).dropFields("body")})
 
 
-def cleaned_records(records: DataFrame, subject_only: str = "skip") -> DataFrame:
-    """The cleaned records only."""
+def cleaned_records(records: DataFrame, subject_only: str = "skip", bodies: bool = True) -> DataFrame:
+    """The cleaned records only. ``bodies=False`` leaves bodies as they are, for reports that do not show them."""
     passed = with_route(records, subject_only).filter(F.col("route") == CLEANED).drop("route")
-    return clean_fields(passed).withColumn("Body", clean_text(F.col("Body")))
+    fields = clean_fields(passed)
+    return fields.withColumn("Body", clean_text(F.col("Body"))) if bodies else fields
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Recording a Python call site for every column expression costs more than building the expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

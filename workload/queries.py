@@ -44,8 +44,8 @@ def _shown_time(df: DataFrame) -> DataFrame:
     return df.withColumn("DateTime", F.date_format("DateTime", "yyyy-MM-dd HH:mm:ss"))
 
 
-def _timed(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.with_time(board(spark, d))
+def _timed(spark: SparkSession, d: str, bodies: bool = False) -> DataFrame:
+    return timeline.with_time(board(spark, d, bodies))
 
 
 # --- value counts and words -------------------------------------------------------------------------------------
@@ -85,7 +85,7 @@ def recipient_domain_placeholder(spark, d):
 
 
 def sender_filter(spark, d):
-    return values.equal_to(values.mail_list(require_columns(board(spark, d))), "Sender", SENDER)
+    return values.equal_to(values.mail_list(require_columns(board(spark, d, bodies=True))), "Sender", SENDER)
 
 
 def sender_filter_count(spark, d):
@@ -93,11 +93,11 @@ def sender_filter_count(spark, d):
 
 
 def mail_list_all(spark, d):
-    return values.equal_to(values.mail_list(board(spark, d)), "Sender", values.ALL)
+    return values.equal_to(values.mail_list(board(spark, d, bodies=True)), "Sender", values.ALL)
 
 
 def full_view(spark, d):
-    return board(spark, d).drop("doc_id")
+    return board(spark, d, bodies=True).drop("doc_id")
 
 
 # --- timeline ---------------------------------------------------------------------------------------------------
@@ -152,7 +152,7 @@ def page_count(spark, d):
 
 
 def detail_format(spark, d):
-    return selection.detail(_timed(spark, d))
+    return selection.detail(_timed(spark, d, bodies=True))
 
 
 def working_set_default(spark, d):

@@ -71,9 +71,9 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *[columns[name].alias(name) for name in RECORD_FIELDS])
 
 
-def board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the dashboards read: the cleaned records. Unused columns, and so their cleaning, are pruned."""
-    return cleaned_records(mail(spark, sf_dir))
+def board(spark: SparkSession, sf_dir: str, bodies: bool = False) -> DataFrame:
+    """What the dashboards read: the cleaned records, with cleaned bodies where a report shows them."""
+    return cleaned_records(mail(spark, sf_dir), bodies=bodies)
 
 
 def mail_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
