@@ -5,8 +5,10 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from conftest import SF
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 
 def counted(names, rows):
@@ -14,10 +16,10 @@ def counted(names, rows):
     return collections.Counter(tuple(r[i] for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck_tables, name):
-    df = queries()[name](spark, SF)
-    result = duck_tables.execute(oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    result = duck_tables.execute(ORACLE[name])
     names = [c[0] for c in result.description]
     assert sorted(df.columns) == sorted(names)
     assert counted(df.columns, df.collect()) == counted(names, result.fetchall())
@@ -26,7 +28,7 @@ def test_query(spark, duck_tables, name):
 
 
 def test_every_query_has_reference_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
