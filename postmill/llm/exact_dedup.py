@@ -72,7 +72,8 @@ def duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         "_id", "_key", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
     )
     maybe = flagged.filter("_maybe").select("_id", "_key")
-    groups = maybe.groupBy("_key").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Written first, so that the join shuffles both sides by itself and adaptive execution can split a hot group.
+    groups = materialize(maybe.groupBy("_key").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     repeated = maybe.join(groups, "_key").select("_id", "_key", "keep_id", "group_size")
     kept = F.col("_id").eqNullSafe(F.col("keep_id"))
     return once.unionByName(repeated).select(

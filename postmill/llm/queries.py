@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, language_id, mixing, packing
+from postmill.llm import exact_dedup, jaccard_join, language_id, masked_lm, mixing, packing, token_shards, toxicity, vector_dedup, warc
 from postmill.llm.common import crc_of_id, table
 from postmill.llm.tokens import WordTokenizer
+from postmill.session import shared_dir
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
@@ -18,6 +22,25 @@ def word_tokenizer(end_id: int | None = END_ID) -> WordTokenizer:
     return WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), end_id)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = table(spark, sf_dir, "pages"), new_folder(spark, "warc")
+    warc.write_archives(pages, folder)
+    read = warc.read_archives(spark, folder, pages.schema["page_id"].dataType.simpleString())
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -26,6 +49,24 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), SEQUENCE_TOKENS)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(crc_of_id("doc_id") % 5 != 0)
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    held_out = crc_of_id("doc_id") % 5 == 0
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_classes(table(spark, sf_dir, "documents"))
+
+
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    index = token_shards.write_shards(table(spark, sf_dir, "documents"), word_tokenizer(), folder)
+    return index.join(token_shards.digests(token_shards.read_shards(spark, folder)), "slot")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -37,8 +78,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op4_source_mixing": op4_source_mixing,
-    "op5_best_fit_packing": op5_best_fit_packing,
-    "op9_exact_dedup": op9_exact_dedup,
-    "op10_language_id": op10_language_id,
+    f.__name__: f
+    for f in (
+        op1_vector_dedup, op2_masked_lm, op3_warc, op4_source_mixing, op5_best_fit_packing, op6_toxicity, op7_jaccard_join,
+        op8_token_shards, op9_exact_dedup, op10_language_id,
+    )
 }
