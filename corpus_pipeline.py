@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import exact_dedup, language_id, mixing, packing
+from postmill.llm import exact_dedup, jaccard_join, language_id, mixing, packing
 from postmill.llm.common import crc_of_id
 from postmill.llm.queries import SEQUENCE_TOKENS, word_tokenizer
 from postmill.session import shared_dir
@@ -25,6 +25,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_duplicates(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
@@ -33,7 +37,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, word_tokenizer(), SEQUENCE_TOKENS)
 
 
-STAGES = [("language ID", language), ("exact dedup", exact), ("mixing", mixed), ("packing", packed)]
+STAGES = [("language ID", language), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("packing", packed)]
 
 #: A fitted model, a seeded draw and a packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
