@@ -22,7 +22,8 @@ from postmill.llm.common import ranked, sized, with_columns
 from postmill.operators.ordering import materialize
 from postmill.schema import quoted
 
-WORDS = re.compile(r"[^\W\d_]+")
+#: Stems: the first four letters of each word, which inflected and compounded words share.
+STEMS = re.compile(r"([^\W\d_]{1,4})[^\W\d_]*")
 BLOCK = 64
 #: Bounds of the fit: examples of each label, and terms kept of those that tell the labels apart.
 PER_LABEL, MOST_TERMS = 4000, 4096
@@ -48,7 +49,7 @@ class Index:
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit TF-IDF weights of a whole text; empty where it holds no term of the index."""
         get = self.terms.get
-        found = [i for w in WORDS.findall(text.lower()) if (i := get(w)) is not None]
+        found = [i for w in STEMS.findall(text.lower()) if (i := get(w)) is not None]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
         term, count = np.unique(np.array(found, np.int64), return_counts=True)
@@ -154,7 +155,7 @@ def _term_rows(df: DataFrame) -> DataFrame:
             for part in sized(texts):
                 found: dict[tuple[str, int], int] = {}
                 for i in part:
-                    for word in set(WORDS.findall((texts[i] or "").lower())):
+                    for word in set(STEMS.findall((texts[i] or "").lower())):
                         found[word, labels[i]] = found.get((word, labels[i]), 0) + 1
                 columns = [pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32()), pa.array(found.values(), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "n"])
@@ -170,7 +171,7 @@ def _document_counts(docs: DataFrame, terms: list[str]) -> dict[str, int]:
         found = dict.fromkeys(terms, 0)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for word in chosen.intersection(WORDS.findall((text or "").lower())):
+                for word in chosen.intersection(STEMS.findall((text or "").lower())):
                     found[word] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
