@@ -40,11 +40,13 @@ def targets(sources: DataFrame, weights: Sequence[float], most: float) -> DataFr
     before = lower.rowsBetween(W.unboundedPreceding, -1)
     left = F.sum("source_size").over(everything) - F.coalesce(F.sum("_limit").over(before), F.lit(0.0))
     open_weight = F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0))
-    levels = weighted.withColumn("_level", left / open_weight).withColumn("_held", F.col("_limit") <= F.col("_level") * F.col("_weight"))
-    # The first source in that order which is not held fixes the level of all that follow.
-    level = F.min(F.when(~F.col("_held"), F.col("_level"))).over(everything)
-    target = F.when(F.col("_held"), F.col("_limit")).otherwise(level * F.col("_weight"))
-    return levels.withColumn("target", target).drop("_weight", "_limit", "_level", "_held")
+    levels = weighted.withColumns({"_place": F.row_number().over(lower), "_level": left / open_weight})
+    # The first source in that order whose limit lies above its level fixes the level of all that follow.
+    above = F.when(F.col("_limit") > F.col("_level") * F.col("_weight"), F.struct("_place", "_level"))
+    first = F.min(above).over(everything)
+    free = first.isNotNull() & (F.col("_place") >= first["_place"])
+    target = F.when(free, first["_level"] * F.col("_weight")).otherwise(F.col("_limit"))
+    return levels.withColumn("target", target).drop("_weight", "_limit", "_level", "_place")
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
@@ -91,13 +93,23 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, window: in
     return take
 
 
-def _fit_source(groups: pd.DataFrame) -> pd.DataFrame:
-    """``groups``: one source's (number, size, n, target, source_size). Adds whole repeats and extra documents by length."""
+def _fit_source(groups: pd.DataFrame, most: int) -> pd.DataFrame:
+    """``groups``: one source's (number, size, n, target, source_size). Adds whole repeats and extra copies by length.
+
+    ``extra[k]`` documents of a length take a (k + 1)-th copy beyond the repeats. One extra copy each comes first; further
+    ones, ``most`` copies in all, fill what documents too long for the budget leave open.
+    """
     groups = groups.sort_values("size")
     size, target = int(groups["source_size"].iloc[0]), float(groups["target"].iloc[0])
     repeats = int(target // size) if size else 1
-    extra = fit_lengths(groups["size"].to_numpy(), groups["n"].to_numpy(), round(target - repeats * size) if size else 0)
-    return pd.DataFrame({"number": groups["number"], "size": groups["size"], "repeats": repeats, "extra": extra, "n": groups["n"]})
+    lengths, counts = groups["size"].to_numpy(), groups["n"].to_numpy()
+    rest, layers = round(target - repeats * size) if size else 0, []
+    while rest > 0 and repeats + len(layers) < most and counts.any():
+        counts = fit_lengths(lengths, counts, rest)
+        layers.append(counts)
+        rest -= int((lengths * counts).sum())
+    extra = np.stack(layers, axis=1).tolist() if layers else [[] for _ in lengths]
+    return pd.DataFrame({"number": groups["number"], "size": groups["size"], "repeats": repeats, "extra": extra})
 
 
 def mix(
@@ -124,11 +136,11 @@ def mix(
         return df.alias("d").join(keys, F.col("d.source").eqNullSafe(F.col("p.source"))).drop("source")
 
     fitted = with_number(histogram, "target", "source_size").groupBy("number").applyInPandas(
-        _fit_source, "number int, size long, repeats long, extra long, n long"
+        lambda groups: _fit_source(groups, int(most)), "number int, size long, repeats long, extra array<long>"
     )
     rows = with_number(sized, "target", "source_size")
-    drawn = ranked(rows, ["number", "size"], ["id"], "place", seed).join(fitted.drop("n"), ["number", "size"])
-    copies = F.col("repeats") + (F.col("place") < F.col("extra")).cast("long")
+    drawn = ranked(rows, ["number", "size"], ["id"], "place", seed).join(fitted, ["number", "size"])
+    copies = F.col("repeats") + F.size(F.filter("extra", lambda taking: F.col("place") < taking))
     copies = F.when(F.col("size") == 0, F.greatest(F.col("repeats"), F.lit(1))).otherwise(copies)
     return drawn.select(
         F.col("id").alias(id), "size", "source_size", F.col("target").cast("double").alias("target"),

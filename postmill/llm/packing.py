@@ -1,8 +1,9 @@
 """Best-fit packing of documents into sequences, in bulk-synchronous rounds.
 
-Documents are ordered by length and open sequences by gap. In a round every document finds its successor, the smallest
-gap that takes it; where several documents want one gap the longest win; gaps shrink and the next round begins. Equal
-lengths and equal gaps are interchangeable, so both sorted lists are kept as runs (value, count): a sweep over runs does
+Documents are ordered by length and open sequences by gap. A round takes the documents of the longest length left: each
+finds its successor, the smallest gap that takes it; where there are more documents than gaps their rank decides who
+gets one; gaps shrink, the rest sweeps again, opens sequences in the end, and the next length follows. Equal lengths and
+equal gaps are interchangeable, so both sorted lists are kept as runs (value, count): a sweep over runs does
 what a sweep over all documents does, on lists that the capacity bounds whatever the number of documents. Spark counts
 the runs, numbers the documents within each length and places them all in one pass.
 """
@@ -10,6 +11,7 @@ the runs, numbers the documents within each length and places them all in one pa
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -77,59 +79,42 @@ class Plan:
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
-    """Place ``counts[i]`` documents of ``lengths[i]`` (1 .. capacity, distinct) by rounds of best fit."""
+    """Place ``counts[i]`` documents of ``lengths[i]`` (1 .. capacity, distinct), the longest first, by best fit."""
     plan = Plan()
-    order = np.argsort(-lengths)
-    size, left = lengths[order].astype(np.int64), counts[order].astype(np.int64)
-    used = np.zeros(len(size), np.int64)
-    # Open sequences: per gap a list of runs [first sequence, count].
-    gaps: dict[int, list[list[int]]] = {}
-
-    def put(i: int, run: list[int], gap: int, out: dict[int, list[list[int]]]) -> None:
-        """Documents used[i] .. used[i] + run[1] of length size[i] go to the sequences of ``run``, which have ``gap``."""
-        plan.place(int(size[i]), int(used[i]), run[0], capacity - gap)
-        used[i] += run[1]
-        left[i] -= run[1]
-        if gap > size[i]:
-            out.setdefault(gap - int(size[i]), []).append(run)
-
-    while left.any():
-        while gaps:
-            free = np.array(sorted(gaps), np.int64)
-            wanting = np.flatnonzero((left > 0) & (size <= free[-1]))
-            if not len(wanting):
-                break
-            successor = free[np.searchsorted(free, size[wanting])]
-            shrunk: dict[int, list[list[int]]] = {}
-            for i, gap in zip(wanting, successor, strict=True):  # longest first: rank decides who gets a gap
-                runs = gaps.get(int(gap))
-                while runs and left[i]:
-                    run = runs[-1]
-                    taken = min(run[1], int(left[i]))
-                    put(i, [run[0], taken], int(gap), shrunk)
-                    run[0], run[1] = run[0] + taken, run[1] - taken
-                    if not run[1]:
-                        runs.pop()
-                if not runs:
-                    gaps.pop(int(gap), None)
-            for gap, runs in shrunk.items():
-                gaps.setdefault(gap, []).extend(runs)
-        # Documents that fit into no gap open sequences, those of the longest remaining length only.
-        rest = np.flatnonzero(left > 0)
-        if not len(rest):
-            break
-        i = rest[0]
-        fit = capacity // int(size[i])
-        opened = -(-int(left[i]) // fit)
-        put(i, [plan.sequences, opened], capacity, gaps)
-        plan.sequences += opened
+    runs: dict[int, list[list[int]]] = {}  # gap -> runs [first sequence, count] of open sequences
+    gaps: list[int] = []  # sorted
+
+    def put(size: int, rank: int, first: int, count: int, gap: int) -> None:
+        plan.place(size, rank, first, capacity - gap)
+        if gap > size:
+            if gap - size not in runs:
+                insort(gaps, gap - size)
+            runs.setdefault(gap - size, []).append([first, count])
+
+    for size, left in sorted(zip(lengths.tolist(), counts.tolist(), strict=True), reverse=True):
+        rank = 0
+        while left:
+            at = bisect_left(gaps, size)
+            if at < len(gaps):
+                gap, run = gaps[at], runs[gaps[at]][-1]
+                count = min(run[1], left)
+                first, run[0], run[1] = run[0], run[0] + count, run[1] - count
+                if not run[1]:
+                    runs[gap].pop()
+                    if not runs[gap]:
+                        del runs[gap], gaps[at]
+            else:
+                gap, first, count = capacity, plan.sequences, -(-left // (capacity // size))
+                plan.sequences += count
+            put(size, rank, first, count, gap)
+            rank, left = rank + count, left - count
     return plan
 
 
 def pack(parts: DataFrame, capacity: int, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), seed: int = 0) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` (gapless from 0 in each sequence) to rows of ``length`` 0 .. ``capacity``.
 
-    Rows of full length are sequences of their own, and rows of length 0 get one each too, numbered after the others.
+    Rows of full length are sequences of their own; rows of length 0 stand at the start of the first sequence.
     Ties are numbered in a seeded order of ``order``; rows that repeat it are placed separately, in any order. Null
     lengths count as 0. ``parts`` is read three times and must be stable. Existing columns of the new names are replaced.
     The driver sees at most ``capacity`` counts, and the placements that it sends out are runs over them.
@@ -145,7 +130,6 @@ def pack(parts: DataFrame, capacity: int, length: str = "length", order: tuple[s
     by = np.lexsort((plan.rank, plan.length))
     keys = [np.array(x, np.int64)[by] for x in (plan.length, plan.rank, plan.sequence, plan.offset)]
     where = (keys[0] << 44) | keys[1]  # ranks within a length stay below 2**44
-    total = plan.sequences
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
@@ -156,7 +140,7 @@ def pack(parts: DataFrame, capacity: int, length: str = "length", order: tuple[s
             else:
                 sequence, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
             empty = size == 0
-            yield [pa.array(np.where(empty, total + rank, sequence)), pa.array(np.where(empty, 0, offset))]
+            yield [pa.array(np.where(empty, 0, sequence)), pa.array(np.where(empty, 0, offset))]
 
     fields = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     return with_columns(ranked(rows, ["_length"], list(order), "_rank", seed), fields, place).drop("_length", "_rank")

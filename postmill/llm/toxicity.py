@@ -9,7 +9,7 @@ logistic curve fitted on the examples, each judged by the others, turns votes in
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,19 +22,37 @@ from postmill.llm.common import ranked, sized, with_columns
 from postmill.operators.ordering import materialize
 from postmill.schema import quoted
 
-#: Stems: the first four letters of each word, which inflected and compounded words share.
-STEMS = re.compile(r"([^\W\d_]{1,4})[^\W\d_]*")
+WORDS = re.compile(r"[^\W\d_]+")
+STEM = 4  # letters that inflected and compounded words share
 BLOCK = 64
 #: Bounds of the fit: examples of each label, and terms kept of those that tell the labels apart.
 PER_LABEL, MOST_TERMS = 4000, 4096
 NEIGHBOURS = 25
 
 
+def terms_of(words: Iterable[str]) -> Iterator[str]:
+    """Each word, and for longer words the stem ``abcd-`` too."""
+    for word in words:
+        yield word
+        if len(word) > STEM:
+            yield word[:STEM] + "-"
+
+
+def words_like(text: str, starts: frozenset[str]) -> list[str]:
+    """The words of a whole text in lower case whose first letters are those of some chosen term."""
+    return [w for w in WORDS.findall(text.lower()) if w[:STEM] in starts]
+
+
+def starts_of(terms: Iterable[str]) -> frozenset[str]:
+    return frozenset(t[:STEM] for t in terms)
+
+
 @dataclass(frozen=True)
 class Index:
     """Postings sorted by (term, block, example); ``entry_*`` describe the runs of one term and block."""
 
     terms: dict[str, int]
+    starts: frozenset[str]
     idf: np.ndarray
     first_entry: np.ndarray  # of each term
     entry_block: np.ndarray
@@ -49,7 +67,7 @@ class Index:
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit TF-IDF weights of a whole text; empty where it holds no term of the index."""
         get = self.terms.get
-        found = [i for w in STEMS.findall(text.lower()) if (i := get(w)) is not None]
+        found = [i for t in terms_of(words_like(text, self.starts)) if (i := get(t)) is not None]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
         term, count = np.unique(np.array(found, np.int64), return_counts=True)
@@ -113,7 +131,7 @@ class Model:
 def build_index(texts: list[str], labels: list[int], ids: list, terms: list[str], idf: np.ndarray) -> Index:
     """Index of the examples that hold a term. Examples are ordered by label and strongest term, so blocks are alike."""
     empty = np.zeros(0, np.int64)
-    blank = Index({t: i for i, t in enumerate(terms)}, idf, np.zeros(len(terms) + 1, np.int64), empty, np.zeros(0), np.zeros(1, np.int64), empty, np.zeros(0), empty, [], 1)
+    blank = Index({t: i for i, t in enumerate(terms)}, starts_of(terms), idf, np.zeros(len(terms) + 1, np.int64), empty, np.zeros(0), np.zeros(1, np.int64), empty, np.zeros(0), empty, [], 1)
     vectors = [blank.vector(t) for t in texts]
     held = [i for i, (term, _) in enumerate(vectors) if len(term)]
     held.sort(key=lambda i: (labels[i], int(vectors[i][0][vectors[i][1].argmax()]), i))
@@ -128,7 +146,7 @@ def build_index(texts: list[str], labels: list[int], ids: list, terms: list[str]
     block = example // BLOCK
     start = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1]))))
     return Index(
-        blank.terms, idf, np.searchsorted(term[start], np.arange(len(terms) + 1)), block[start], np.maximum.reduceat(weight, start),
+        blank.terms, blank.starts, idf, np.searchsorted(term[start], np.arange(len(terms) + 1)), block[start], np.maximum.reduceat(weight, start),
         np.append(start, len(term)), example, weight, np.array([labels[i] for i in held]), [ids[i] for i in held], int(block.max()) + 1,
     )
 
@@ -155,7 +173,7 @@ def _term_rows(df: DataFrame) -> DataFrame:
             for part in sized(texts):
                 found: dict[tuple[str, int], int] = {}
                 for i in part:
-                    for word in set(STEMS.findall((texts[i] or "").lower())):
+                    for word in set(terms_of(WORDS.findall((texts[i] or "").lower()))):
                         found[word, labels[i]] = found.get((word, labels[i]), 0) + 1
                 columns = [pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32()), pa.array(found.values(), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "n"])
@@ -165,13 +183,13 @@ def _term_rows(df: DataFrame) -> DataFrame:
 
 def _document_counts(docs: DataFrame, terms: list[str]) -> dict[str, int]:
     """In how many of all documents each chosen term occurs; a task sends one row per term at most."""
-    chosen = frozenset(terms)
+    chosen, starts = frozenset(terms), starts_of(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = dict.fromkeys(terms, 0)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for word in chosen.intersection(STEMS.findall((text or "").lower())):
+                for word in chosen.intersection(terms_of(words_like(text or "", starts))):
                     found[word] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 

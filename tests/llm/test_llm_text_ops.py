@@ -82,7 +82,7 @@ def test_jaccard_join_finds_every_link(spark, percent):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_classes(docs, percent=percent).collect()}
     sets = sets_of(texts)
     want, links = linked_components(ids, sets, percent)
-    assert links > 50
+    assert links > 20
     assert got == {i: (len(s), c) for i, s, c in zip(ids, sets, want, strict=True)}
 
 
@@ -297,7 +297,7 @@ def test_packing_is_as_dense_as_sequential_best_fit(spark):
         else:
             bins += 1
             gaps.append(64 - n)
-    assert used - 2 <= bins + 1  # the two empty pieces stand alone
+    assert used == bins
     bad = spark.createDataFrame([(1, 0, 65)], "doc_id long, piece int, length int")
     with pytest.raises(ValueError):
         packing.pack(bad, 64)
