@@ -12,13 +12,10 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.llm.bitmaps import bitmaps, filter_bits, probed
 from postmill.operators.ordering import materialize
 from postmill.schema import quoted
 
-#: Bits of the filter per row, and the most bits it may have: 2**27 bits are the 16 MB that are broadcast at most.
-BITS_PER_ROW, MOST_BITS = 16, 27
-_WORD = 15  # bits of position inside one bitmap: Spark's bitmaps hold 32,768 bits
-
 
 def normalised(text: Column) -> Column:
     """A-Z in lower case, all else as it is; null counts as empty. Texts of one byte a character take the quick way."""
@@ -32,31 +29,6 @@ def text_hash(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def filter_bits(rows: int) -> int:
-    return min(MOST_BITS, max(_WORD + 1, (max(rows, 1) * BITS_PER_ROW - 1).bit_length()))
-
-
-def _position(key: str, bits: int) -> tuple[Column, Column]:
-    position = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
-    return F.shiftright(position, _WORD), position.bitwiseAND(F.lit((1 << _WORD) - 1))
-
-
-def possible_repeats(hashes: DataFrame, key: str, bits: int) -> DataFrame:
-    """``(_word, _bits)``: the bitmaps of all positions that two or more rows hit; 2**bits bits in all at most."""
-    word, bit = _position(key, bits)
-    hit = hashes.groupBy(word.alias("_word"), bit.alias("_bit")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return hit.groupBy("_word").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-
-
-def flag_repeats(df: DataFrame, key: str, bitmaps: DataFrame, bits: int, name: str) -> DataFrame:
-    """Add ``name``: false for rows whose key is surely unique. A map-side probe of bitmaps with a proven bound."""
-    word, bit = _position(key, bits)
-    byte = "cast(conv(hex(substring(_bits, cast(shiftright(_bit, 3) as int) + 1, 1)), 16, 10) as int)"
-    is_set = F.expr(f"({byte} & shiftleft(1, cast(_bit % 8 as int))) <> 0")
-    probed = df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bitmaps), "_word", "left")
-    return probed.withColumn(name, F.coalesce(is_set, F.lit(False))).drop("_word", "_bit", "_bits")
-
-
 def duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``id, keep_id, group_size, kept, text_sha256``; of equal texts the largest id stays.
 
@@ -67,7 +39,7 @@ def duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     hashed = docs.select(F.col(quoted(id)).alias("_id"), F.unhex(text_hash(F.col(quoted(text)))).alias("_key"))
     hashed = materialize(hashed, "hashes")
     bits = filter_bits(hashed.count())
-    flagged = flag_repeats(hashed, "_key", possible_repeats(hashed, "_key", bits), bits, "_maybe")
+    flagged = probed(hashed, "_key", bitmaps(hashed, "_key", bits, least=2), bits, "_maybe")
     once = flagged.filter(~F.col("_maybe")).select(
         "_id", "_key", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
     )
@@ -91,9 +63,9 @@ def drop_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     key = F.unhex(text_hash(F.col(quoted(text))))
     hashed = materialize(docs.select(F.col(quoted(id)).alias("_id"), key.alias("_key")), "hashes")
     bits = filter_bits(hashed.count())
-    bitmaps = materialize(possible_repeats(hashed, "_key", bits), "bitmaps")
-    keep = flag_repeats(hashed, "_key", bitmaps, bits, "_maybe").filter("_maybe").groupBy("_key").agg(F.max("_id").alias("_keep"))
-    flagged = flag_repeats(docs.withColumn("_key", key), "_key", bitmaps, bits, "_maybe")
+    repeats = materialize(bitmaps(hashed, "_key", bits, least=2), "bitmaps")
+    keep = probed(hashed, "_key", repeats, bits, "_maybe").filter("_maybe").groupBy("_key").agg(F.max("_id").alias("_keep"))
+    flagged = probed(docs.withColumn("_key", key), "_key", repeats, bits, "_maybe")
     survives = (F.col("m._key") == F.col("k._key")) & F.col(f"m.{quoted(id)}").eqNullSafe(F.col("k._keep"))
     found = flagged.filter("_maybe").alias("m").join(keep.alias("k"), survives, "left_semi").dropDuplicates(["_key", id])
     return flagged.filter(~F.col("_maybe")).unionByName(found).select(*[quoted(c) for c in docs.columns])

@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postmill.llm.bitmaps import likely_in
 from postmill.llm.common import components, with_columns
 from postmill.operators.ordering import materialize
 from postmill.schema import quoted
 
 BINS = 128
 #: One segment in so many publishes one-deletion signatures.
-DELETION_EVERY = 24
+DELETION_EVERY = 12
 #: Fingerprints of sets that a task has published, to publish copies once; a full table starts anew.
 SEEN = 200_000
 
@@ -68,15 +69,19 @@ def profile(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
-def schemes(size: int, percent: int) -> list[tuple[int, int]]:
-    """``(scheme, segments)`` in which a set of ``size`` takes part: one for its own band, up to two for neighbours."""
+def schemes(size: int, percent: int) -> list[tuple[int, int, int]]:
+    """``(scheme, segments, needed)`` in which a set of ``size`` takes part: one for its own band, up to two for neighbours.
+
+    ``needed`` is H + 1 for the pairs in which this set is the larger one, 0 where it is always the smaller.
+    """
     band = (size - 1).bit_length()
     top = 1 << band
-    found = [(2 * band, 2 * top * (100 - percent) // (100 + percent) + 1)]
+    found = [(2 * band, 2 * top * (100 - percent) // (100 + percent) + 1, 2 * size * (100 - percent) // (100 + percent) + 1)]
     if 100 * size > percent * top:  # smaller set of a pair with the next band
-        found.append((2 * band + 1, top * (100 - percent) // percent + 1))
-    if band and percent * size <= 100 * (top // 2):  # larger set of a pair with the band before
-        found.append((2 * band - 1, top // 2 * (100 - percent) // percent + 1))
+        found.append((2 * band + 1, top * (100 - percent) // percent + 1, 0))
+    top //= 2
+    if band and percent * size <= 100 * top:  # larger set of a pair with the band before
+        found.append((2 * band - 1, top * (100 - percent) // percent + 1, (size + top) * (100 - percent) // (100 + percent) + 1))
     return found
 
 
@@ -86,7 +91,7 @@ def signatures(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
     mixed = _mix(hashes + np.uint64(0x632BE59BD9B4E019))
     high = hashes >> np.uint64(32)
     out, probe = [], []
-    for scheme, segments in schemes(size, percent):
+    for scheme, segments, needed in schemes(size, percent):
         doubled = max(1, segments // DELETION_EVERY)
         segment = ((high * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)  # sorted, as the hashes are
         count = np.bincount(segment, minlength=segments)
@@ -94,9 +99,7 @@ def signatures(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
         starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
         sums[segment[starts]] = np.add.reduceat(mixed, starts)
         salt = _mix(np.arange(segments, dtype=np.uint64) + np.uint64(scheme << 40))
-        # The partner is not larger, so 2 * size bounds the pair's elements and H; more than H + 1 is slack.
-        needed = 2 * size * (100 - percent) // (100 + percent) + 1
-        slack = segments + doubled - needed
+        slack = segments + doubled - needed if needed else 2 * segments  # a set that is always the smaller never probes
         worth = np.ones(segments, np.int64)
         worth[:doubled] = 2
         order = np.lexsort((-worth, count))
@@ -182,7 +185,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
     kind = sets.schema["id"].dataType.simpleString()
     close = sized.select("a", "b", "id_a", "id_b", "n_a", "n_b", "profile_a", "profile_b").mapInArrow(near, f"a long, b long, id_a {kind}, id_b {kind}")
     close = materialize(close, "close")
-    texts = docs.select("id", "text")
+    asked = materialize(close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "asked")
+    texts = likely_in(docs.select("id", "text"), "id", asked)
     joined = close.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
     joined = joined.join(texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
 
@@ -237,7 +241,8 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     rows = rows.select("sig", member.alias("c"), (F.col("c") % 2 != 0).alias("probe"))
     grouped = rows.withColumns({
         "least": F.expr("min(c) over (partition by sig)"), "most": F.expr("max(c) over (partition by sig)"),
-    }).filter("least < most")
+        "asked": F.expr("bool_or(probe) over (partition by sig)"),
+    }).filter("least < most and asked")
     buckets = materialize(grouped.select("sig", "c", "probe", "least"), "buckets")
     stars = buckets.filter("probe and c > least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct()
     stars = materialize(stars, "stars")

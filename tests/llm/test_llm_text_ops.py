@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, jaccard_join, language_id, mixing, packing
+from postmill.llm import bitmaps, exact_dedup, jaccard_join, language_id, mixing, packing
 from postmill.llm.common import components, ranked
 from postmill.llm.oracle import ORACLE
 from postmill.llm.queries import QUERIES, word_tokenizer
@@ -164,11 +164,13 @@ def test_exact_dedup_against_brute_force(spark):
 def test_exact_dedup_filter_lets_unique_rows_through(spark):
     df = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("key"))
     df = df.union(df.limit(1))
-    bits = exact_dedup.filter_bits(3001)
-    flagged = exact_dedup.flag_repeats(df, "key", exact_dedup.possible_repeats(df, "key", bits), bits, "maybe")
+    bits = bitmaps.filter_bits(3001)
+    flagged = bitmaps.probed(df, "key", bitmaps.bitmaps(df, "key", bits, least=2), bits, "maybe")
     assert 2 <= flagged.filter("maybe").count() < 400
     assert flagged.filter("maybe").groupBy("key").count().filter("count > 1").count() == 1
-    assert exact_dedup.filter_bits(10**12) == exact_dedup.MOST_BITS
+    assert bitmaps.filter_bits(10**12) == bitmaps.MOST_BITS
+    likely = bitmaps.likely_in(df, "key", df.limit(20))
+    assert likely.join(df.limit(20), "key").count() >= 20 and likely.count() < 100
     plan = flagged._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "MapIn" not in plan
 
