@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from postmill.functions.names import base_name
 from postmill.operators.ordering import attach_group
 
+# --- fixed values -----------------------------------------------------------------------------------------------
+REMOVAL_LINE = "Deleted duplicate file: "
+# --- end of fixed values ----------------------------------------------------------------------------------------
+
 #: File name that stands for a path.
 Naming = Callable[[Column], Column]
 
@@ -67,7 +71,7 @@ def removed_files(prints: DataFrame) -> DataFrame:
 
 def removal_lines(removed: DataFrame) -> DataFrame:
     """The removal report, one line of text per removed file."""
-    return removed.select(F.concat(F.lit("Deleted duplicate file: "), F.col("path")).alias("value"))
+    return removed.select(F.concat(F.lit(REMOVAL_LINE), F.col("path")).alias("value"))
 
 
 def last_per_name(paths: DataFrame, name: str = "file_name") -> DataFrame:
@@ -75,6 +79,13 @@ def last_per_name(paths: DataFrame, name: str = "file_name") -> DataFrame:
     return paths.groupBy(name).agg(F.max("path").alias("path")).select("path")
 
 
+def collapsed_files(paths: DataFrame, name: str = "file_name") -> DataFrame:
+    """``(path, name, kept_path)`` of every file that :func:`last_per_name` leaves out, and which one stands for it."""
+    kept = paths.groupBy(name).agg(F.max("path").alias("kept_path"), F.count(F.lit(1)).alias("_files"))
+    kept = kept.filter("_files > 1").drop("_files")
+    return paths.select("path", name).join(kept, name).filter(F.col("path") != F.col("kept_path")).select("path", name, "kept_path")
+
+
 def surviving_paths(
     files: DataFrame, text: str = "text", collapse: bool = True, name: Naming = base_name
 ) -> DataFrame:

@@ -42,9 +42,10 @@ def with_position(df: DataFrame, order: Sequence[Column | str], name: str, start
     """Add the row's place in the global order ``order`` (which must be total), counting from ``start``.
 
     A window without partitions would pull the table into one task. Here the rows are range-sorted and each gets
-    (partition, row in partition). The result is materialized, so that a lost executor cannot renumber it. One small
-    row per partition then carries the offset of that partition; their number is the number of partitions, which
-    bounds both the window and the broadcast.
+    (partition, row in partition). The result is written to the shared folder, so that a lost executor cannot renumber
+    it; whoever owns that folder removes it. One small row per partition then carries the offset of that partition;
+    their number is the number of partitions, which bounds both the window and the broadcast. All columns of ``df`` are
+    sorted and written, so pass keys only and join the rest, as :func:`numbered_by` does.
     """
     local = "_local_position"
     # A sort evaluates its expressions at every comparison, so they become columns first.
@@ -64,19 +65,25 @@ def with_position(df: DataFrame, order: Sequence[Column | str], name: str, start
     )
 
 
+def numbered_by(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """The ``order`` columns and each row's place ``name`` from 0: only key columns are sorted and written."""
+    return with_position(df.select(*map(quoted, order)), list(order), name)
+
+
 def attach_group(members: DataFrame, groups: DataFrame, key: str, unique: str, size: str, hot: int) -> DataFrame:
     """Inner join of many ``members`` to one ``groups`` row per ``key`` when a key may own a third of all members.
 
     Groups with at least ``hot`` members are split: each member picks one of ``size / hot + 1`` salts from its
     ``unique`` column and the group row is repeated once per salt, so no join task sees much more than ``hot`` rows of a
-    key. At most (number of members / hot) groups can be hot, which bounds the broadcast list of their salt counts.
+    key. At most (number of members / hot) groups can be hot; whether the list of their salts is small enough to be
+    broadcast is left to adaptive execution, which measures it.
     """
     salts = F.floor(F.col(size) / F.lit(hot)).cast("int") + 1
     # Asking for every column keeps this branch the same as the joined one, so Spark aggregates the groups once.
     complete = reduce(and_, (F.col(quoted(name)).isNotNull() for name in groups.columns))
     hot_keys = groups.filter((F.col(size) >= hot) & complete).select(key, salts.alias("_salts"))
     salted = (
-        members.join(F.broadcast(hot_keys), key, "left")
+        members.join(hot_keys, key, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(unique), F.coalesce("_salts", F.lit(1))).cast("int"))
         .drop("_salts")
     )

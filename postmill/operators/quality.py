@@ -12,6 +12,8 @@ from postmill.schema import SKIP, quoted
 NO_CONTENT = "Both subject and body are empty"
 EMPTY_BODY = "not enough values to unpack (expected 5, got 0)"
 CLEANED, VALIDATION, PROCESSING_ERROR = "cleaned", "validation", "processing_error"
+UNKNOWN, EMPTY, NOT_AVAILABLE = "Unknown", "[EMPTY]", "N/A"
+INVALID_LINE, ERROR_LINE = "Validation failed: ", "Processing error: "
 # --- end of fixed values ----------------------------------------------------------------------------------------
 
 
@@ -49,7 +51,7 @@ def profile(records: DataFrame) -> DataFrame:
     body = strip(text_or_empty(F.col("Body")))
 
     def known(name: str):
-        return F.coalesce(F.col(quoted(name)), F.lit("Unknown"))
+        return F.coalesce(F.col(quoted(name)), F.lit(UNKNOWN))
 
     return records.withColumns(
         {
@@ -57,7 +59,7 @@ def profile(records: DataFrame) -> DataFrame:
             "source_file": known("SourceFile"),
             "sender": known("From"),
             "sent": known("Date"),
-            "shown_subject": F.when(subject == "", "[EMPTY]").otherwise(subject),
+            "shown_subject": F.when(subject == "", EMPTY).otherwise(subject),
             "has_subject": subject != "",
             "has_body": body != "",
             "subject_length": F.length(subject),
@@ -70,8 +72,8 @@ def skipped_report(routed: DataFrame) -> DataFrame:
     """The records that were not cleaned, in the skip schema. Needs ``route`` and ``email_number``."""
     invalid = F.col("route") == VALIDATION
     errors = F.when(invalid, F.array(F.lit(NO_CONTENT)))
-    reason = F.when(invalid, F.concat(F.lit("Validation failed: "), F.array_join(errors, ", "))).otherwise(
-        F.lit("Processing error: " + EMPTY_BODY)
+    reason = F.when(invalid, F.concat(F.lit(INVALID_LINE), F.array_join(errors, ", "))).otherwise(
+        F.lit(ERROR_LINE + EMPTY_BODY)
     )
     columns = {
         "email_number": F.col("email_number"),
@@ -92,7 +94,7 @@ def skip_details(skips: DataFrame) -> DataFrame:
     """The per-record listing of the run summary, ``N/A`` where a value is missing."""
 
     def shown(name: str):
-        return F.coalesce(F.col(name).cast("string"), F.lit("N/A")).alias(name)
+        return F.coalesce(F.col(name).cast("string"), F.lit(NOT_AVAILABLE)).alias(name)
 
     return skips.select(
         F.upper("skip_stage").alias("skip_stage"),

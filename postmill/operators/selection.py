@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postmill.operators.ordering import with_position
+from postmill.operators.ordering import numbered_by
 from postmill.operators.timeline import TIME
 from postmill.schema import quoted
 
@@ -29,12 +31,25 @@ def _ordering(order: Sequence[str]) -> list[Column]:
     return [F.col(quoted(name)) for name in order]
 
 
-def rows_at(df: DataFrame, positions: Iterable[int], order: Sequence[str] = TIME_ORDER, shallow: int = SHALLOW) -> DataFrame:
+def _at_keys(df: DataFrame, picked: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows of ``df`` whose order keys are in ``picked``, with its ``position``."""
+    named = picked.select(*[F.col(quoted(n)).alias(f"_order{i}") for i, n in enumerate(order)], "position")
+    same = reduce(and_, (F.col(quoted(n)).eqNullSafe(F.col(f"_order{i}")) for i, n in enumerate(order)))
+    return df.join(named, same).drop(*[f"_order{i}" for i in range(len(order))])
+
+
+def rows_at(
+    df: DataFrame, positions: Iterable[int] | DataFrame, order: Sequence[str] = TIME_ORDER, shallow: int = SHALLOW
+) -> DataFrame:
     """Rows at the given 0-based positions of the (total) order, with their ``position``.
 
-    Positions near the top are numbered after a top-k, which keeps at most ``shallow`` rows; others after a sort of
-    the whole frame.
+    ``positions`` are numbers, or a frame whose first column holds them. Numbers below ``shallow`` are found by a top-k.
+    Deeper ones and frames number the order keys alone, which starts jobs and writes a table of keys when called, and
+    join the rows to the keys picked. Both ways give the same rows.
     """
+    if isinstance(positions, DataFrame):
+        asked = positions.select(F.col(quoted(positions.columns[0])).cast("bigint").alias("position")).distinct()
+        return _at_keys(df, numbered_by(df, order, "position").join(asked, "position", "left_semi"), order)
     wanted = sorted(set(positions))
     if not wanted:
         return df.withColumn("position", F.lit(0).cast("bigint")).filter(F.lit(False))
@@ -42,9 +57,9 @@ def rows_at(df: DataFrame, positions: Iterable[int], order: Sequence[str] = TIME
     if wanted[-1] < shallow:
         top = df.orderBy(*by).limit(wanted[-1] + 1)
         numbered = top.withColumn("position", F.row_number().over(W.orderBy(*by)).cast("bigint") - 1)
-    else:
-        numbered = with_position(df, by, "position")
-    return numbered.filter(F.col("position").isin(wanted))
+        return numbered.filter(F.col("position").isin(wanted))
+    asked = df.sparkSession.createDataFrame([(i,) for i in wanted], "position bigint")
+    return rows_at(df, asked, order, shallow)
 
 
 def working_set(
@@ -54,22 +69,33 @@ def working_set(
     order: Sequence[str] = TIME_ORDER,
     shallow: int = SHALLOW,
 ) -> DataFrame:
-    """The selected rows, filled up with the oldest others to ``minimum``; without a selection the oldest ``minimum``."""
-    chosen = list(dict.fromkeys(selected))
-    spare = (i for i in range(minimum + len(chosen)) if i not in set(chosen))
-    chosen += [next(spare) for _ in range(minimum - len(chosen))]
-    return rows_at(df, chosen, order, shallow)
+    """The selected rows, filled up with the oldest others to ``minimum``; without a selection the oldest ``minimum``.
 
+    Positions past the end select nothing and do not count towards ``minimum``; the rows are counted to know the end.
+    """
+    chosen = set(selected)
+    if chosen:
+        rows = df.count()
+        chosen = {i for i in chosen if 0 <= i < rows}
+    spare = (i for i in range(minimum + len(chosen)) if i not in chosen)
+    return rows_at(df, chosen | {next(spare) for _ in range(minimum - len(chosen))}, order, shallow)
 
-def first_rows(df: DataFrame, n: int = MIN_SELECTED, order: Sequence[str] = TIME_ORDER) -> DataFrame:
-    return df.orderBy(*_ordering(order)).limit(n)
 
+def page(
+    df: DataFrame, number: int, size: int = PAGE_SIZE, order: Sequence[str] = TIME_ORDER, shallow: int = SHALLOW
+) -> DataFrame:
+    """Page ``number`` (from 1) of the ordered frame.
 
-def page(df: DataFrame, number: int, size: int = PAGE_SIZE, order: Sequence[str] = TIME_ORDER) -> DataFrame:
-    """Page ``number`` (from 1) of the ordered frame."""
+    Pages that end within the first ``shallow`` rows are a top-k. A deeper one would hold all rows before it in one task,
+    so the order keys are numbered instead, as in :func:`rows_at`; :func:`page_after` is the cheap way to go on.
+    """
     if number < 1:
         raise ValueError("pages count from 1")
-    return df.orderBy(*_ordering(order)).offset((number - 1) * size).limit(size)
+    first = (number - 1) * size
+    if first + size <= shallow:
+        return df.orderBy(*_ordering(order)).offset(first).limit(size)
+    keys = numbered_by(df, order, "position").filter(F.col("position").between(first, first + size - 1))
+    return _at_keys(df, keys, order).orderBy("position").drop("position")
 
 
 def page_after(df: DataFrame, last: Sequence, size: int = PAGE_SIZE, order: Sequence[str] = TIME_ORDER) -> DataFrame:

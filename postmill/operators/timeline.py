@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from datetime import date, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +71,10 @@ def subject_matches(df: DataFrame, keyword: str | None, literal: bool = False, c
     if not keyword:
         return df
     pattern = re.sub(r"([^\w\s])", r"\\\1", keyword) if literal else keyword
+    try:  # an invalid pattern is reported here, not by every task
+        df.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError as error:
+        raise ValueError(f"invalid pattern: {pattern}") from error
     return df.filter(F.coalesce(F.col(quoted(column)).rlike("(?iUd)" + pattern), F.lit(False)))
 
 

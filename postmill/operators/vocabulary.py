@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmill.functions.text import words
+from postmill.operators.ordering import materialize
 from postmill.schema import quoted
 
 # --- fixed values: common English words a word cloud leaves out -------------------------------------------------------
@@ -63,8 +64,13 @@ def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
     return F.log(F.greatest(p, floor)) * k + F.log(F.greatest(1 - p, floor)) * (n - k)
 
 
-def _collocations(pairs: DataFrame, single: DataFrame, merge_plurals: bool, threshold: float) -> DataFrame:
-    """``(word, frequency, first, second)`` of pairs that occur together far more often than their words suggest."""
+def _collocations(counts: DataFrame, merge_plurals: bool, threshold: float) -> DataFrame:
+    """``(word, frequency, first, second)`` of pairs that occur together far more often than their words suggest.
+
+    ``counts`` holds words and pairs (two words and a space) with their ``stem``.
+    """
+    pair = F.col("word").contains(" ")
+    single = counts.filter(~pair)
     total = single.agg(F.sum("frequency").cast("double").alias("n")).scalar()
 
     def side(name: str) -> DataFrame:
@@ -78,7 +84,7 @@ def _collocations(pairs: DataFrame, single: DataFrame, merge_plurals: bool, thre
 
     halves = F.split("word", " ")
     found = (
-        (_merge_plurals(pairs) if merge_plurals else pairs)
+        counts.filter(pair)
         .select(
             "word", "frequency", stem(F.get(halves, F.lit(0))).alias("first_stem"),
             stem(F.get(halves, F.lit(1))).alias("second_stem"),
@@ -111,32 +117,33 @@ def cloud_weights(
     Stop words and plain numbers are left out. With ``merge_plurals``, ``words`` counts for ``word`` if both occur. With
     ``pairs``, neighbours in a text that belong together (Dunning's likelihood ratio above ``threshold``) become an entry
     of their own and no longer count for their words.
+
+    Words and pairs are taken from the texts in one pass and counted together. With pairs the counts, one row per
+    distinct word or pair, are written to the shared folder, since words, both halves and pairs are read from them.
     """
     stops = list(stop_words)
     tokens = F.filter(words(F.col(quoted(column))), lambda w: ~w.rlike(r"\A\p{Nd}+\z"))
     texts = df.select(tokens.alias("tokens"))
-
-    def counted(entries: Column) -> DataFrame:
-        rows = texts.select(F.explode(entries).alias("word")).filter(F.col("word").isNotNull())
-        return rows.groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
-
-    def merged(counts: DataFrame) -> DataFrame:
-        return _merge_plurals(counts) if merge_plurals else counts.withColumn("stem", F.col("word"))
-
-    single = merged(counted(F.filter(F.col("tokens"), lambda w: ~w.isin(stops))))
-    entries = single.select("word", "frequency")
+    entries = F.filter(F.col("tokens"), lambda w: ~w.isin(stops))
     if pairs:
         following = F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0)))
         neighbours = F.zip_with(
             "tokens", following, lambda a, b: F.when(~a.isin(stops) & ~b.isin(stops), F.concat(a, F.lit(" "), b))
         )
-        together = _collocations(counted(neighbours), single, merge_plurals, threshold)
-        taken = together.select(F.explode(F.array("first", "second")).alias("word"), "frequency")
-        taken = taken.groupBy("word").agg(F.sum("frequency").alias("taken"))
-        left = F.col("frequency") - F.coalesce("taken", F.lit(0))
-        entries = entries.join(taken, "word", "left").select("word", left.alias("frequency")).filter("frequency > 0")
-        entries = entries.unionByName(together.select("word", "frequency"))
-    top = entries.orderBy(F.desc("frequency"), F.asc("word")).limit(k)
+        entries = F.concat(entries, F.array_compact(neighbours))
+    counts = texts.select(F.explode(entries).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
+    counts = _merge_plurals(counts) if merge_plurals else counts.withColumn("stem", F.col("word"))
+    if pairs:
+        counts = materialize(counts, "words")
+        together = _collocations(counts, merge_plurals, threshold)
+        changes = F.explode(F.array(
+            F.struct("word", "frequency"), F.struct(F.col("first").alias("word"), (-F.col("frequency")).alias("frequency")),
+            F.struct(F.col("second").alias("word"), (-F.col("frequency")).alias("frequency")),
+        ))
+        changed = together.select(changes.alias("change")).select("change.word", "change.frequency")
+        single = counts.filter(~F.col("word").contains(" ")).select("word", "frequency")
+        counts = single.unionByName(changed).groupBy("word").agg(F.sum("frequency").alias("frequency")).filter("frequency > 0")
+    top = counts.select("word", "frequency").orderBy(F.desc("frequency"), F.asc("word")).limit(k)
     everything = W.orderBy(F.desc("frequency")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     # The window sees the k rows of the report, not the table.
     return top.withColumn("weight", F.col("frequency") / F.max("frequency").over(everything))

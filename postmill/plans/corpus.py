@@ -29,7 +29,7 @@ def corpus_to_records(
 
     ``rename`` gives extension-less files their ``.txt`` name, ``dedup`` keeps the first copy of each content,
     ``collapse`` keeps one file per name (names repeat across folders, so this loses mail; it is the default because
-    results must match). ``number`` names a column for the 1-based place in natural order of file names.
+    results must match, and ``dedup.collapsed_files`` lists what is lost). ``number`` names a column for the 1-based place in natural order of file names.
 
     A new name never replaces the path: ``1`` and ``1.txt`` of one folder stay two files. Survivors are found and
     numbered on keys alone; one join on the unique path then shuffles the texts once.
@@ -69,11 +69,11 @@ def process_records(records: DataFrame, subject_only: str = "skip", audit: str |
     return cleaned.withColumns({"Body": body, audit: F.col(audit).dropFields("body")})
 
 
-def cleaned_records(records: DataFrame, subject_only: str = "skip", bodies: bool = True) -> DataFrame:
-    """The cleaned records only. ``bodies=False`` leaves bodies as they are, for reports that do not show them."""
+def cleaned_records(records: DataFrame, subject_only: str = "skip") -> DataFrame:
+    """The cleaned records only. Reports that do not show bodies never clean them, as unused columns are pruned."""
     passed = with_route(records, subject_only).filter(F.col("route") == CLEANED).drop("route")
     fields = clean_fields(passed)
-    return fields.withColumn("Body", clean_text(F.col("Body"))) if bodies else fields
+    return fields.withColumn("Body", clean_text(F.col("Body")))
 
 
 @dataclass(frozen=True)

@@ -1,32 +1,91 @@
-"""The raw corpus: one row per message file."""
+"""The raw corpus: one row per message file, and one row for each file that cannot become one."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.functions.names import is_mail_file
+from postmill.functions.names import base_name, is_mail_file
 from postmill.functions.text import lenient_utf8
 
+#: Files above this size are rejected instead of ending the job; Spark cannot read more into one value.
+LARGEST = 2**31 - 1 - 2**20
+LISTED = "path string, length long"
+REJECT = "path string, length long, reason string"
+HIDDEN, TOO_LARGE, UNREAD = "hidden name", "too large", "unreadable"
 
-def scan_files(spark: SparkSession, directory: str, eligible_only: bool = True) -> DataFrame:
-    """``(path, file_name, text)`` of the files below ``directory``.
 
-    Names are tested on file metadata, so files that do not belong are never opened. Unreadable and vanished files are
-    skipped. Spark itself lists neither names that start with ``.`` or ``_`` nor files without a single byte.
+@dataclass(frozen=True)
+class Scan:
+    """``files``: ``(path, file_name, text)``; ``rejects``: ``(path, length, reason)``; ``listing``: ``(path, length)``.
+
+    Files and rejects together are the listing, but for names that are no mail when only mail was asked for.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
-        .load(directory)
-    )
+
+    files: DataFrame
+    rejects: DataFrame
+    listing: DataFrame
+
+
+def list_files(spark: SparkSession, directory: str) -> DataFrame:
+    """``(path, length)`` of every file below ``directory``, empty ones and hidden names included.
+
+    Spark's own listing leaves those out. Like it, this one is read on the driver, one call per folder and names only.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(directory)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, open_folders = [], [root]
+    while open_folders:
+        for entry in system.listStatus(open_folders.pop()):
+            if entry.isDirectory():
+                open_folders.append(entry.getPath())
+            else:
+                found.append((entry.getPath().toString(), entry.getLen()))
+    return spark.createDataFrame(found, LISTED)
+
+
+def scan_corpus(
+    spark: SparkSession, directory: str, eligible_only: bool = True, largest: int = LARGEST, skip_unreadable: bool = False
+) -> Scan:
+    """All files below ``directory``: those that can be read, and those that cannot with the reason.
+
+    Names are tested on file metadata, so files that do not belong are never opened. Empty files are rows with an empty
+    text. Hidden names (``.``, ``_``) and files above ``largest`` bytes are rejects. A file that cannot be read ends the
+    job; with ``skip_unreadable`` it is left out, and :func:`unread_files` names it once the files have been written.
+    """
+    listing = list_files(spark, directory)
+    mail = is_mail_file(base_name(F.col("path")))
+    wanted = listing.filter(mail) if eligible_only else listing
+    hidden = base_name(F.col("path")).rlike(r"\A[._]") | F.col("path").rlike(r"/[._][^/]*/[^/]*\z")
+    reason = F.when(hidden, HIDDEN).when(F.col("length") > largest, TOO_LARGE)
+    rejects = wanted.withColumn("reason", reason).filter("reason is not null").select("path", "length", "reason")
+    empty = wanted.filter((F.col("length") == 0) & ~hidden)
+    empty = empty.select("path", base_name(F.col("path")).alias("file_name"), F.lit("").alias("text"))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if skip_unreadable:
+        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    files = reader.load(directory).filter(F.col("length") <= largest)
     # The metadata name is URI-encoded; a plus sign stands for itself there.
     name = F.try_url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     if eligible_only:
         files = files.filter(is_mail_file(name))
-    return files.select("path", name.alias("file_name"), lenient_utf8(F.col("content")).alias("text"))
+    read = files.select("path", name.alias("file_name"), lenient_utf8(F.col("content")).alias("text"))
+    return Scan(read.unionByName(empty), rejects, listing)
+
+
+def scan_files(spark: SparkSession, directory: str, eligible_only: bool = True) -> DataFrame:
+    """The ``files`` of :func:`scan_corpus`."""
+    return scan_corpus(spark, directory, eligible_only).files
+
+
+def unread_files(scan: Scan, written: DataFrame, eligible_only: bool = True) -> DataFrame:
+    """Files that were listed but neither written nor rejected, as rejects; an anti join on paths."""
+    listing = scan.listing.filter(is_mail_file(base_name(F.col("path")))) if eligible_only else scan.listing
+    seen = written.select("path").unionByName(scan.rejects.select("path"))
+    return listing.join(seen, "path", "left_anti").withColumn("reason", F.lit(UNREAD))
 
 
 def compact(files: DataFrame, destination: str) -> DataFrame:

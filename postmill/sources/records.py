@@ -11,18 +11,37 @@ from pyspark.sql import types as T
 from postmill.schema import BOARD_FIELDS, RECORD, quoted
 
 
-def read_json(spark: SparkSession, path: str, array: bool = True, schema: T.StructType | None = RECORD) -> DataFrame:
-    """Records from JSON, one array per file (``array``) or one object per line.
+BROKEN = "_broken"
 
-    The explicit schema keeps field order; inference (``schema=None``) would sort the fields by name. An array file
-    cannot be split, so large inputs should come as lines or be rewritten as Parquet.
-    """
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path, multiLine=array)
 
+def read_json(
+    spark: SparkSession, path: str, array: bool = True, schema: T.StructType | None = RECORD, extra: bool = False
+) -> DataFrame:
+    """Records from JSON, one array per file (``array``) or one object per line; malformed input ends the job.
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    The explicit schema keeps field order; inference (``schema=None``) would sort the fields by name. ``extra`` keeps
+    fields beyond the schema, which takes one more pass over the input. An array file cannot be split, so large inputs
+    should come as lines or be rewritten as Parquet.
+    """
+    if schema and extra:
+        found = spark.read.json(path, multiLine=array, mode="FAILFAST").schema
+        schema = T.StructType([*schema.fields, *[f for f in found.fields if f.name not in schema.names]])
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(path, multiLine=array, mode="FAILFAST")
+
+
+def read_json_with_rejects(
+    spark: SparkSession, path: str, array: bool = True, schema: T.StructType = RECORD
+) -> tuple[DataFrame, DataFrame]:
+    """Records, and ``(path, text)`` of what is no JSON: the line, or the whole file where files hold arrays."""
+    fields = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
+    rows = spark.read.schema(fields).json(path, multiLine=array, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN)
+    rows = rows.withColumn("_file", F.col("_metadata.file_path"))
+    good = rows.filter(F.col(BROKEN).isNull()).drop(BROKEN, "_file")
+    # Spark refuses to read the broken text alone, so a field is looked at as well.
+    looked = F.length(F.concat(F.lit("-"), F.coalesce(F.col(quoted(schema.names[0])).cast("string"), F.lit("")))) > 0
+    bad = rows.filter(F.col(BROKEN).isNotNull() & looked)
+    return good, bad.select(F.col("_file").alias("path"), F.col(BROKEN).alias("text"))
 
 
 def flatten(df: DataFrame) -> DataFrame:

@@ -20,11 +20,9 @@ def report_path(path: str) -> str:
 
 
 def write_skips(skips: DataFrame, path: str) -> bool:
-    """Skip report as JSON lines; nothing is written (and False returned) if nothing was skipped."""
-    if skips.isEmpty():
-        return False
+    """Skip report as JSON lines, in place of any earlier one; false if nothing was skipped."""
     skips.write.mode("overwrite").json(path)
-    return True
+    return not skips.isEmpty()
 
 
 def write_removals(removed: DataFrame, path: str) -> None:

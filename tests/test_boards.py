@@ -113,13 +113,18 @@ def test_positions(timed, shallow):
     filled = selection.working_set(timed, [3], minimum=3, shallow=shallow)
     assert sorted(r.position for r in filled.collect()) == [0, 1, 3]
     assert selection.rows_at(timed, [], shallow=shallow).isEmpty()
-    assert ids(selection.working_set(timed)) == ids(selection.first_rows(timed)) == ["m1"]
+    assert ids(selection.working_set(timed)) == ["m1"]
+    assert [r.position for r in selection.working_set(timed, [99], minimum=1, shallow=shallow).collect()] == [0]
+    places = timed.sparkSession.createDataFrame([(3,), (0,), (3,), (99,)], "place int")
+    framed = selection.rows_at(timed, places, shallow=shallow).collect()
+    assert sorted((r.position, r["Message-ID"]) for r in framed) == [(0, "m1"), (3, "m2")]
 
 
 def test_paging(timed):
     assert ids(selection.page(timed, 1, 2)) == ["m1", "m3"]
     assert ids(selection.page(timed, 2, 2)) == ["m5", "m2"]
     assert ids(selection.page(timed, 3, 2)) == ["m6"]
+    assert [ids(selection.page(timed, n, 2, shallow=0)) for n in (1, 2, 3, 4)] == [["m1", "m3"], ["m5", "m2"], ["m6"], []]
     last = (datetime(2001, 5, 3, 9), "m3")
     assert ids(selection.page_after(timed, last, 2)) == ["m5", "m2"]
     assert tuple(selection.page_count(timed, 2).first()) == (5, 3)

@@ -7,7 +7,7 @@ from postmill.plans.corpus import corpus_to_records, process_records, run_cleani
 from postmill.operators.dedup import fingerprints, removed_files
 from postmill.schema import RECORD, RECORD_FIELDS
 from postmill.sources import records as R
-from postmill.sources.files import compact, scan_files
+from postmill.sources.files import compact, scan_corpus, scan_files, unread_files
 from postmill.sources.sinks import report_path, write_records, write_removals, write_skips
 
 MAIL = "Message-ID: <{0}>\nDate: Mon, 14 May 2001 16:39:00 -0700 (PDT)\nFrom: A <a@x>\nTo: b@x;c@x\nSubject: S {0}\n\n> body {0}\n"
@@ -37,6 +37,47 @@ def test_scan(spark, corpus):
     assert "\r" not in found["sent/a. 12"] and found["sent/a. 12"] == MAIL.format(12)
 
 
+def test_files_and_rejects_are_the_listing(spark, tmp_path):
+    root = tmp_path / "all"
+    for name, content in {"1": b"A: 1\n\nx", "2": b"", "_3": b"h", "d/.4": b"h", "_d/5": b"h", "d/6": b"y" * 5000, "d/7.csv": b"z", "8 +%41": b""}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+
+    def short(path):
+        return path.split("/all/")[1]
+
+    for eligible in (False, True):
+        scan = scan_corpus(spark, str(root), eligible_only=eligible, largest=4000)
+        files = {short(r.path): (r.file_name, r.text) for r in scan.files.collect()}
+        rejects = {short(r.path): (r.length, r.reason) for r in scan.rejects.collect()}
+        listing = {short(r.path) for r in scan.listing.collect()}
+        assert len(listing) == 8 and listing >= set(files) | set(rejects) and not set(files) & set(rejects)
+        assert files["2"] == ("2", "") and files["8 +%41"] == ("8 +%41", "") and files["1"][1] == "A: 1\n\nx"
+        assert rejects["_3"] == (1, "hidden name") and rejects["d/6"] == (5000, "too large") and "_d/5" in rejects
+        if not eligible:
+            assert set(files) | set(rejects) == listing
+        written = compact(scan.files, str(tmp_path / f"table{eligible}"))
+        assert unread_files(scan, written, eligible).isEmpty()
+        lost = unread_files(scan, written.filter("file_name <> '1'"), eligible).collect()
+        assert [(short(r.path), r.reason) for r in lost] == [("1", "unreadable")]
+    # The two empty files are copies of each other, and one of them is a record.
+    assert corpus_to_records(scan_corpus(spark, str(root), largest=4000).files).count() == 2
+
+
+def test_malformed_json_is_loud_or_listed(spark, tmp_path):
+    good, bad = tmp_path / "good.json", tmp_path / "bad.json"
+    good.write_text('[{"Subject": "a", "Content": "c", "n": 1}, {"Body": "b"}]')
+    bad.write_text('[{"Subject": "x"}, {"Body": ')
+    kept = R.read_json(spark, str(good), extra=True)
+    assert kept.columns == [*RECORD_FIELDS, "Content", "n"]
+    assert sorted((r.Subject, r.Content, r.n) for r in kept.collect() if r.Subject) == [("a", "c", 1)]
+    with pytest.raises(Exception):
+        R.read_json(spark, str(bad)).collect()
+    records, rejects = R.read_json_with_rejects(spark, [str(good), str(bad)])
+    assert records.columns == list(RECORD_FIELDS) and {r.Subject for r in records.collect()} == {"a", None}
+    assert [r.path.endswith("bad.json") for r in rejects.collect()] == [True]
+
+
 def test_names_are_tested_before_contents_are_read(spark, corpus):
     plan = scan_files(spark, corpus).select("path")._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1]
@@ -128,7 +169,8 @@ def test_sinks(spark, tmp_path):
         write_records(df, str(tmp_path / "x"), "csv")
     assert "ü" in "".join(p.read_text() for p in (tmp_path / "json").glob("*.json"))
     assert write_skips(df, str(tmp_path / "skips")) and (tmp_path / "skips").exists()
-    assert not write_skips(df.limit(0), str(tmp_path / "none")) and not (tmp_path / "none").exists()
+    assert not write_skips(df.limit(0), str(tmp_path / "skips"))
+    assert spark.read.schema(df.schema).json(str(tmp_path / "skips")).isEmpty()
     assert report_path("a/clean.json") == "a/clean_skipped_report.json"
     files = spark.createDataFrame([("/1.txt", "x"), ("/2.txt", "x")], "path string, text string")
     write_removals(removed_files(fingerprints(files)), str(tmp_path / "log"))

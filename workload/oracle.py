@@ -6,11 +6,17 @@ single patterns over the whole text, so that the two check each other.
 
 from __future__ import annotations
 
-from postmill.functions.text import ALNUM, INLINE_SPACE, SPACE, WORD
 from postmill.operators.vocabulary import STOP_WORDS
 from postmill.schema import HEADER_FIELDS, RECORD_FIELDS
 from workload.queries import FROM_DAY, KEYWORD, SENDER, SENDERS, TO_DAY
 
+# --- fixed values: character classes of the steps, spelled out here so that the two sides do not share them ---------
+WORD = r"\p{L}\p{N}_"
+ALNUM = r"\p{L}\p{N}"
+INLINE_SPACE = r"\x{9}\x{b}\x{c}\x{d}\x{1c}\x{1d}\x{1e}\x{1f}\x{85}\p{Z}"
+SPACE = r"\x{a}\x{9}\x{b}\x{c}\x{d}\x{1c}\x{1d}\x{1e}\x{1f}\x{85}\p{Z}"
+# --- end of fixed values ----------------------------------------------------------------------------------------
+
 NL = "chr(10)"
 
 
@@ -47,9 +53,12 @@ def replace_all(text: str, pairs) -> str:
 
 # --- mail-shaped views ------------------------------------------------------------------------------------------
 
-MAIL = f"""mail AS (
+MAIL = f"""dated AS (
+  SELECT d.doc_id AS event_id, e.ts, coalesce(e.user_id, 0) AS user_id, coalesce(e.event_type, 'none') AS event_type
+  FROM documents d LEFT JOIN events e ON d.doc_id = e.event_id),
+mail AS (
   SELECT d.doc_id, '<' || d.doc_id || '.' || d.n_chars || '@' || d.source || '.example.org>' AS "Message-ID",
-    CASE WHEN d.doc_id % 37 = 0 THEN '' WHEN d.doc_id % 41 = 0 THEN 'not a date'
+    CASE WHEN d.doc_id % 37 = 0 OR e.ts IS NULL THEN '' WHEN d.doc_id % 41 = 0 THEN 'not a date'
          ELSE strftime(e.ts, '%a, %-d %b %Y %H:%M:%S') || ' -0700 (PDT)' END AS "Date",
     'User ' || e.user_id || ' <u' || e.user_id || '@' || e.event_type || '.example.com>' AS "From",
     CASE WHEN d.doc_id % 13 = 0 THEN '' ELSE 'a' || (d.doc_id % 7) || '@x.example.com;  B < b' || (d.doc_id % 11)
@@ -71,7 +80,7 @@ MAIL = f"""mail AS (
       WHEN d.doc_id % 10 = 9 THEN 'a' || chr(7) || 'b ' || d.text || ' it' || chr(226) || chr(8364) || chr(8482) || 's'
       ELSE d.text END AS "Body",
     d.doc_id || '.' AS "SourceFile"
-  FROM documents d JOIN events e ON d.doc_id = e.event_id)"""
+  FROM documents d LEFT JOIN dated e ON d.doc_id = e.event_id)"""
 
 RAW = f"""raw AS (
   SELECT doc_id,
@@ -174,11 +183,7 @@ def tags(t):
 
 
 def mojibake(t):
-    stem = "chr(226) || chr(8364)"
-    return replace_all(
-        t,
-        (("chr(65533)", "''"), (f"{stem} || chr(8482)", "''''"), (f"{stem} || chr(339)", "'\"'"), (stem, "'\"'")),
-    )
+    return replace_all(t, (("'�'", "''"), ("'â€™'", "''''"), ("'â€œ'", "'\"'"), ("'â€'", "'\"'")))
 
 
 def symbol_lines(t):
@@ -535,7 +540,8 @@ FROM groups WHERE copies > 1""",
   row_number() OVER (ORDER BY {NATURAL.format(NAME)}, {NAME}, path) AS email_number FROM raw""",
     "corpus_counts": with_(MAIL, RAW, surviving(True))
     + f"""SELECT (SELECT count(*) FROM raw WHERE {ELIGIBLE}) AS files_found,
-  (SELECT count(*) FROM kept) AS records_saved""",
+  (SELECT count(*) FROM kept) AS records_saved,
+  (SELECT count(*) FROM ({with_(MAIL, RAW, surviving(False))} SELECT * FROM kept)) - (SELECT count(*) FROM kept) AS files_collapsed""",
     "lenient_decode": f"SELECT doc_id, text || {NL} || 'end' AS text FROM documents",
     "parse_headers": with_(MAIL, RAW, parsed("raw", "doc_id")) + f"SELECT doc_id, {HEADERS} FROM parsed",
     "parse_body": with_(MAIL, RAW, parsed("raw", "doc_id")) + 'SELECT doc_id, "Body" FROM parsed',
@@ -559,6 +565,23 @@ FROM groups WHERE copies > 1""",
     "records_roundtrip": with_(MAIL) + f"SELECT {ALL_FIELDS} FROM mail",
 }
 ORACLE["duplicate_sets_split"] = ORACLE["duplicate_sets"]
+ORACLE |= {
+    "page_deep": ON_RANK + f'SELECT {SHOWN}, "From", "Subject" FROM ranked WHERE position BETWEEN 100 AND 149',
+    "working_set_frame": ON_RANK
+    + f'SELECT position, "Message-ID", {SHOWN} FROM ranked WHERE position IN (SELECT doc_id FROM documents WHERE doc_id % 7 = 0)',
+    "collapsed_files": with_(MAIL, RAW)
+    + f"""SELECT * FROM (SELECT path, {NAME} AS file_name, max(path) OVER (PARTITION BY {NAME}) AS kept_path FROM raw)
+WHERE path <> kept_path""",
+    "cleaned_table": f"SELECT * EXCLUDE (route) FROM ({ORACLE['corpus_to_clean']}) WHERE route = 'cleaned'",
+    "skip_report_file": ORACLE["skipped_report"],
+    "removal_report_file": ORACLE["dedup_report"],
+    "json_extra_fields": with_(MAIL) + f'SELECT {ALL_FIELDS}, "X-Origin" AS "Content" FROM mail',
+    "json_rejects": """SELECT CASE WHEN doc_id % 10 = 0 THEN 'reject' ELSE 'record' END AS kind,
+  CASE WHEN doc_id % 10 = 0 THEN '{"Subject": "' || doc_id ELSE text END AS value FROM documents""",
+    "checked_records": ON_BOARD + 'SELECT "Message-ID" FROM board',
+    "record_key_counts": with_(*CLEAN_BOARD)
+    + " UNION ALL ".join(f"""SELECT '{n}' AS key, count(*) FILTER ("{n}" <> '') AS filled FROM board""" for n in RECORD_FIELDS),
+}
 
 #: Spark lengths, hours and counts of list elements are 32-bit.
 INTEGERS = {
@@ -571,6 +594,7 @@ INTEGERS = {
     "clean_audit_pages": ("original_length", "final_length"),
     "record_profile": ("subject_length", "body_length"),
     "skipped_report": ("subject_length", "body_length"),
+    "skip_report_file": ("subject_length", "body_length"),
 }
 for _name, _columns in INTEGERS.items():
     _casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in _columns)

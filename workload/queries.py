@@ -19,11 +19,11 @@ from postmill.operators import dedup, quality, selection, timeline, values, voca
 from postmill.operators.clean import clean_text, clean_text_audited
 from postmill.operators.ordering import spread, with_position
 from postmill.operators.parse import parse_messages
-from postmill.plans.corpus import corpus_to_records, natural_order, process_records
-from postmill.schema import HEADER_FIELDS, RECORD, RECORD_FIELDS, quoted
+from postmill.plans.corpus import corpus_to_records, natural_order, process_records, run_cleaning
+from postmill.schema import HEADER_FIELDS, RECORD, RECORD_FIELDS, SKIP, quoted
 from postmill.session import shared_dir
-from postmill.sources.records import flatten, read_json, require_columns
-from postmill.sources.sinks import write_records
+from postmill.sources.records import flatten, read_json, read_json_with_rejects, record_keys, require_columns, require_rows
+from postmill.sources.sinks import report_path, write_records, write_removals
 from workload.tables import board, document_files, mail, mail_numbers, raw_messages, table
 
 SENDER = "User 46 u46@click.example.com"
@@ -44,8 +44,8 @@ def _shown_time(df: DataFrame) -> DataFrame:
     return df.withColumn("DateTime", F.date_format("DateTime", "yyyy-MM-dd HH:mm:ss"))
 
 
-def _timed(spark: SparkSession, d: str, bodies: bool = False) -> DataFrame:
-    return timeline.with_time(board(spark, d, bodies))
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.with_time(board(spark, d))
 
 
 # --- value counts and words -------------------------------------------------------------------------------------
@@ -85,7 +85,7 @@ def recipient_domain_placeholder(spark, d):
 
 
 def sender_filter(spark, d):
-    return values.equal_to(values.mail_list(require_columns(board(spark, d, bodies=True))), "Sender", SENDER)
+    return values.equal_to(values.mail_list(require_columns(board(spark, d))), "Sender", SENDER)
 
 
 def sender_filter_count(spark, d):
@@ -93,11 +93,11 @@ def sender_filter_count(spark, d):
 
 
 def mail_list_all(spark, d):
-    return values.equal_to(values.mail_list(board(spark, d, bodies=True)), "Sender", values.ALL)
+    return values.equal_to(values.mail_list(board(spark, d)), "Sender", values.ALL)
 
 
 def full_view(spark, d):
-    return board(spark, d, bodies=True).drop("doc_id")
+    return board(spark, d).drop("doc_id")
 
 
 # --- timeline ---------------------------------------------------------------------------------------------------
@@ -152,7 +152,7 @@ def page_count(spark, d):
 
 
 def detail_format(spark, d):
-    return selection.detail(_timed(spark, d, bodies=True))
+    return selection.detail(_timed(spark, d))
 
 
 def working_set_default(spark, d):
@@ -164,6 +164,16 @@ def working_set_topup(spark, d):
     return _shown_time(picked.select("position", "Message-ID", "DateTime"))
 
 
+def page_deep(spark, d):
+    return _shown_time(selection.overview(selection.page(_timed(spark, d), 3, shallow=0)))
+
+
+def working_set_frame(spark, d):
+    """Rows at the places that another table names."""
+    places = table(spark, d, "documents").filter(F.col("doc_id") % 7 == 0).select("doc_id")
+    return _shown_time(selection.rows_at(_timed(spark, d), places)).select("position", quoted("Message-ID"), "DateTime")
+
+
 def working_set_deep(spark, d):
     df = _timed(spark, d).select("Message-ID", "DateTime")
     picked = selection.working_set(df, (3, 60, 140), shallow=0)
@@ -338,7 +348,9 @@ def duplicate_sets(spark, d):
 
 
 def duplicate_sets_split(spark, d):
-    return dedup.duplicate_sets(_prints(spark, d), hot=2)
+    """Sets that hold more than a thousandth of all files are split."""
+    prints = _prints(spark, d)
+    return dedup.duplicate_sets(prints, hot=max(2, prints.count() // 1000))
 
 
 def dedup_keep_first(spark, d):
@@ -370,6 +382,11 @@ def basename_collapse(spark, d):
     return dedup.last_per_name(paths)
 
 
+def collapsed_files(spark, d):
+    paths = raw_messages(spark, d).select("path", base_name(F.col("path")).alias("file_name"))
+    return dedup.collapsed_files(paths)
+
+
 def natural_positions(spark, d):
     files = raw_messages(spark, d).select("path", base_name(F.col("path")).alias("SourceFile"))
     return with_position(files, natural_order(), "email_number", start=1)
@@ -379,10 +396,12 @@ def corpus_counts(spark, d):
     files = raw_messages(spark, d)
     found = files.agg(F.count_if(is_mail_file(base_name(F.col("path")))).alias("files_found"))
     saved = corpus_to_records(files).agg(F.count(F.lit(1)).alias("records_saved"))
-    # Two single-row aggregates side by side.
-    return found.unionByName(saved, allowMissingColumns=True).agg(
-        F.max("files_found").alias("files_found"), F.max("records_saved").alias("records_saved")
-    )
+    kept = dedup.surviving_paths(files.filter(is_mail_file(base_name(F.col("path")))), collapse=False, name=txt_name)
+    lost = dedup.collapsed_files(kept.withColumn("file_name", txt_name(F.col("path")))).agg(F.count(F.lit(1)).alias("files_collapsed"))
+    # Single-row aggregates side by side.
+    names = ("files_found", "records_saved", "files_collapsed")
+    rows = found.unionByName(saved, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)
+    return rows.agg(*[F.max(n).alias(n) for n in names])
 
 
 def lenient_decode(spark, d):
@@ -437,6 +456,64 @@ def records_roundtrip(spark, d):
     return read_json(spark, folder, array=False, schema=RECORD)
 
 
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def cleaned_table(spark, d):
+    """The cleaned table of a whole run, read back."""
+    records = corpus_to_records(raw_messages(spark, d), number="email_number")
+    return run_cleaning(records, _folder(spark, "clean")).cleaned.select(
+        "email_number", "path", "SourceFile", "Date", "From", "To", "Subject", "Body"
+    )
+
+
+def skip_report_file(spark, d):
+    """The skip report of a whole run, read back."""
+    folder = _folder(spark, "run")
+    run_cleaning(mail(spark, d).join(mail_numbers(spark, d), "doc_id"), folder)
+    read = spark.read.schema(SKIP).json(report_path(folder))
+    return read.withColumn("validation_errors", F.coalesce(F.array_join("validation_errors", ", "), F.lit("-")))
+
+
+def removal_report_file(spark, d):
+    folder = _folder(spark, "removals")
+    write_removals(dedup.removed_files(_prints(spark, d)), folder)
+    return spark.read.text(folder)
+
+
+def json_extra_fields(spark, d):
+    """Records with a field beyond the schema, written as JSON lines and read back with it."""
+    folder = _folder(spark, "extra")
+    write_records(mail(spark, d).select(*map(quoted, RECORD_FIELDS), F.col(quoted("X-Origin")).alias("Content")), folder, "json")
+    return read_json(spark, folder, array=False, extra=True)
+
+
+def json_rejects(spark, d):
+    """Lines that are no JSON come back as rejects, the others as records."""
+    folder = _folder(spark, "lines")
+    docs = table(spark, d, "documents")
+    broken = F.concat(F.lit('{"Subject": "'), F.col("doc_id").cast("string"))
+    good = F.to_json(F.struct(F.col("text").alias("Subject")))
+    docs.select(F.when(F.col("doc_id") % 10 == 0, broken).otherwise(good).alias("value")).write.text(folder)
+    records, rejects = read_json_with_rejects(spark, folder, array=False)
+    shown = records.select(F.lit("record").alias("kind"), F.col("Subject").alias("value"))
+    return shown.union(rejects.select(F.lit("reject"), "text"))
+
+
+def checked_records(spark, d):
+    """The input guards let a complete, filled table through."""
+    return require_rows(require_columns(board(spark, d))).select(quoted("Message-ID"))
+
+
+def record_key_counts(spark, d):
+    """The top-level fields of the records, and how many records fill each."""
+    df = board(spark, d).drop("doc_id")
+    keys = record_keys(df)
+    filled = df.agg(*[F.count_if(F.col(quoted(k)) != "").alias(k) for k in keys])
+    return filled.unpivot([], [quoted(k) for k in keys], "key", "filled")
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -452,7 +529,9 @@ QUERIES = {
         skips_by_reason, run_summary, process_mail, content_fingerprint, duplicate_sets, duplicate_sets_split,
         dedup_keep_first, dedup_removed, dedup_report, dup_summary, eligible_files, normalized_names,
         basename_collapse, natural_positions, corpus_counts, lenient_decode, parse_headers, parse_body, parse_record,
-        refined_records, refined_records_all_names, corpus_to_clean, flatten_props, records_roundtrip,
+        refined_records, refined_records_all_names, corpus_to_clean, flatten_props, records_roundtrip, page_deep,
+        working_set_frame, collapsed_files, cleaned_table, skip_report_file, removal_report_file, json_extra_fields,
+        json_rejects, checked_records, record_key_counts,
     )
 }
 QUERIES |= {

@@ -1,4 +1,8 @@
-"""Mail-shaped frames over the given tables. Every row and every text of the base tables is used in full."""
+"""Mail-shaped frames over the given tables.
+
+Every document is used in full. Events only date and address the mail: those without a document are left out, and a
+document without an event has an empty date and the sender ``User 0``.
+"""
 
 from __future__ import annotations
 
@@ -21,7 +25,8 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    df = docs.join(events, docs.doc_id == events.event_id)
+    df = docs.join(events, docs.doc_id == events.event_id, "left")
+    df = df.fillna({"user_id": 0, "event_type": "none"})
     i, text = F.col("doc_id"), F.col("text")
     n = i.cast("string")
 
@@ -46,7 +51,7 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
         body = body.when(i % 10 == case, value)
     columns = {
         "Message-ID": cat("<", n, ".", F.col("n_chars").cast("string"), "@", F.col("source"), ".example.org>"),
-        "Date": F.when(i % 37 == 0, "").when(i % 41 == 0, "not a date").otherwise(sent),
+        "Date": F.when((i % 37 == 0) | F.col("ts").isNull(), "").when(i % 41 == 0, "not a date").otherwise(sent),
         "From": cat("User ", user, " <u", user, "@", F.col("event_type"), ".example.com>"),
         "To": F.when(i % 13 == 0, "").otherwise(
             cat(
@@ -71,9 +76,9 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *[columns[name].alias(name) for name in RECORD_FIELDS])
 
 
-def board(spark: SparkSession, sf_dir: str, bodies: bool = False) -> DataFrame:
-    """What the dashboards read: the cleaned records, with cleaned bodies where a report shows them."""
-    return cleaned_records(mail(spark, sf_dir), bodies=bodies)
+def board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the dashboards read: the cleaned records."""
+    return cleaned_records(mail(spark, sf_dir))
 
 
 def mail_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
