@@ -88,11 +88,19 @@ def unread_files(scan: Scan, written: DataFrame, eligible_only: bool = True) ->
     return listing.join(seen, "path", "left_anti").withColumn("reason", F.lit(UNREAD))
 
 
-def compact(files: DataFrame, destination: str) -> DataFrame:
+def compact(files: DataFrame, destination: str, buckets: int = 0, name: str | None = None) -> DataFrame:
     """Write the scanned corpus once as Parquet with a content ``hash`` and return the table.
 
     Millions of small files are slow to list and open; everything after this step reads the table, and duplicate
-    detection reads only ``path`` and ``hash``.
+    detection reads only ``path`` and ``hash``. With ``buckets`` and a catalog ``name`` the table is bucketed by path:
+    survivors and record numbers then come to the texts, and the texts are not shuffled again.
     """
-    files.withColumn("hash", F.md5("text")).write.mode("overwrite").parquet(destination)
-    return files.sparkSession.read.parquet(destination)
+    if not buckets:
+        files.withColumn("hash", F.md5("text")).write.mode("overwrite").parquet(destination)
+        return files.sparkSession.read.parquet(destination)
+    if not name:
+        raise ValueError("a bucketed table needs a name")
+    # Without a shuffle of its own every task would write a file into each bucket.
+    hashed = files.repartition(buckets, "path").withColumn("hash", F.md5("text"))
+    hashed.write.mode("overwrite").bucketBy(buckets, "path").sortBy("path").option("path", destination).saveAsTable(name)
+    return files.sparkSession.table(name)

@@ -65,3 +65,25 @@ def test_word_pairs_are_counted_in_one_pass(spark, tmp_path):
     text = plan(df)
     assert text.count("LN(") + text.count("ln(") <= 8 and "tokens" not in text
     assert [r.word for r in df.head(2)] == ["hot", "hot pair"]
+
+
+def test_texts_of_a_bucketed_corpus_are_not_shuffled(spark, tmp_path):
+    import re
+
+    from postmill.plans.corpus import corpus_to_records
+    from postmill.sources.files import compact
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = compact(raw_messages(spark, SF).select("path", "text"), str(tmp_path / "files"), 4, "plan_files")
+        for df in (corpus_to_records(files), corpus_to_records(files, number="n")):
+            df.collect()
+            text = plan(df)
+            moved = [line for line in text.splitlines() if "Exchange" in line]
+            assert moved and "SortMergeJoin" in text
+            tree = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            below = re.findall(r"Exchange hashpartitioning[^\n]*\n(?:[^\n]*\n){1,6}", tree)
+            assert below and not any("text#" in part for part in below)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS plan_files")

@@ -574,6 +574,7 @@ ORACLE |= {
 WHERE path <> kept_path""",
     "cleaned_table": f"SELECT * EXCLUDE (route) FROM ({ORACLE['corpus_to_clean']}) WHERE route = 'cleaned'",
     "skip_report_file": ORACLE["skipped_report"],
+    "refined_records_bucketed": ORACLE["refined_records"],
     "removal_report_file": ORACLE["dedup_report"],
     "json_extra_fields": with_(MAIL) + f'SELECT {ALL_FIELDS}, "X-Origin" AS "Content" FROM mail',
     "json_rejects": """SELECT CASE WHEN doc_id % 10 = 0 THEN 'reject' ELSE 'record' END AS kind,

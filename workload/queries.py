@@ -22,6 +22,7 @@ from postmill.operators.parse import parse_messages
 from postmill.plans.corpus import corpus_to_records, natural_order, process_records, run_cleaning
 from postmill.schema import HEADER_FIELDS, RECORD, RECORD_FIELDS, SKIP, quoted
 from postmill.session import shared_dir
+from postmill.sources.files import compact
 from postmill.sources.records import flatten, read_json, read_json_with_rejects, record_keys, require_columns, require_rows
 from postmill.sources.sinks import report_path, write_records, write_removals
 from workload.tables import board, document_files, mail, mail_numbers, raw_messages, table
@@ -437,6 +438,13 @@ def refined_records_all_names(spark, d):
     return corpus_to_records(raw_messages(spark, d), collapse=False)
 
 
+def refined_records_bucketed(spark, d):
+    """The same records from a table bucketed by path, whose texts stay where they are."""
+    folder = _folder(spark, "files")
+    files = compact(raw_messages(spark, d).select("path", "text"), folder, 16, folder.rsplit("/", 1)[1].replace("-", "_"))
+    return corpus_to_records(files)
+
+
 def corpus_to_clean(spark, d):
     records = corpus_to_records(raw_messages(spark, d), number="email_number")
     return process_records(records, audit=None).select(
@@ -531,7 +539,7 @@ QUERIES = {
         basename_collapse, natural_positions, corpus_counts, lenient_decode, parse_headers, parse_body, parse_record,
         refined_records, refined_records_all_names, corpus_to_clean, flatten_props, records_roundtrip, page_deep,
         working_set_frame, collapsed_files, cleaned_table, skip_report_file, removal_report_file, json_extra_fields,
-        json_rejects, checked_records, record_key_counts,
+        json_rejects, checked_records, record_key_counts, refined_records_bucketed,
     )
 }
 QUERIES |= {
