@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.schema import quoted
+
 #: Bits of a filter per row, and the most bits it may have: 2**27 bits are the 16 MB that are broadcast at most.
 BITS_PER_ROW, MOST_BITS = 16, 27
 _WORD = 15  # bits of position inside one bitmap: Spark's bitmaps hold 32,768 bits
@@ -43,3 +45,14 @@ def likely_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """
     bits = filter_bits(wanted.count())
     return probed(df, key, bitmaps(wanted, key, bits), bits, "_likely").filter("_likely").drop("_likely")
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not in ``gone`` (a written table of that column), null keys included.
+
+    Most rows pass the filter where they are read; only those that it holds for members meet ``gone`` in a join.
+    """
+    bits = filter_bits(gone.count())
+    flagged = probed(df, key, bitmaps(gone, key, bits), bits, "_likely")
+    rest = flagged.filter("_likely").join(gone, key, "left_anti")
+    return flagged.filter("not _likely").unionByName(rest).select(*[F.col(quoted(c)) for c in df.columns])

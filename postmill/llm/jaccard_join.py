@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.bitmaps import likely_in
+from postmill.llm.bitmaps import likely_in, without
 from postmill.llm.common import components, with_columns
 from postmill.operators.ordering import materialize
 from postmill.schema import quoted
@@ -272,5 +272,5 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs``, all columns, of which one document of each class of similar ones stays: the smallest id."""
     classes = similar_classes(docs, id, text, width, percent)
-    gone = materialize(classes.filter(F.col("component_id") < F.col(quoted(id))).select(F.col(quoted(id)).alias("_gone")), "gone")
-    return docs.join(gone, F.col(quoted(id)) == F.col("_gone"), "left_anti")
+    gone = materialize(classes.filter(F.col("component_id") < F.col(quoted(id))).select(quoted(id)).distinct(), "gone")
+    return without(docs, id, gone)
