@@ -4,8 +4,7 @@ Two sets of sizes a and b that reach the threshold differ in at most H = (100 -
 the universe into H + 1 segments leaves at least one segment in which both hold the same elements (pigeonhole). Every
 set therefore publishes the signature of its elements in each segment; in a few segments it also publishes those with
 one element deleted, so that these segments match up to one difference and count twice. What that wins over the H + 1
-needed is slack: a set may leave out as probe the segments that would meet most others, which are those with the fewest
-elements. The number of segments depends on the size band of a pair: bands double, and a pair lies in one band or in two
+needed is slack: a set stops probing with the signatures that meet most others, which are counted for that. The number of segments depends on the size band of a pair: bands double, and a pair lies in one band or in two
 neighbouring ones, each case with its own bound H.
 
 Links are needed between different sets only, and for classes one path of links is enough. So a bucket of equal
@@ -22,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,8 @@ BINS = 128
 DELETION_EVERY = 12
 #: Fingerprints of sets that a task has published, to publish copies once; a full table starts anew.
 SEEN = 200_000
+#: Buckets up to this size are probed without counting the cost.
+CHEAP = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,32 +87,38 @@ def schemes(size: int, percent: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def signatures(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set, and for each whether the set probes with it or only waits to be found."""
+def signatures(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a set, whether the set probes with each, and the room each leaves to stop probing.
+
+    The room is a long: scheme, slack left, and what the signature is worth (2 for a segment with one-deletion
+    signatures, else 1). Empty segments are left out here, as far as the slack goes.
+    """
     size = len(hashes)
     mixed = _mix(hashes + np.uint64(0x632BE59BD9B4E019))
     high = hashes >> np.uint64(32)
-    out, probe = [], []
+    out, probe, room = [], [], []
     for scheme, segments, needed in schemes(size, percent):
         doubled = max(1, segments // DELETION_EVERY)
         segment = ((high * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)  # sorted, as the hashes are
-        count = np.bincount(segment, minlength=segments)
         sums = np.zeros(segments, np.uint64)
         starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
         sums[segment[starts]] = np.add.reduceat(mixed, starts)
         salt = _mix(np.arange(segments, dtype=np.uint64) + np.uint64(scheme << 40))
-        slack = segments + doubled - needed if needed else 2 * segments  # a set that is always the smaller never probes
         worth = np.ones(segments, np.int64)
         worth[:doubled] = 2
-        order = np.lexsort((-worth, count))
-        left_out = np.zeros(segments, bool)
-        left_out[order[np.cumsum(worth[order]) <= slack]] = True
-        out.append(_mix(sums + salt))
-        probe.append(~left_out)
+        slack = segments + doubled - needed
+        asks = np.full(segments, needed > 0)  # a set that is always the smaller never probes
+        empty = np.ones(segments, bool)
+        empty[segment] = False
+        spare = np.flatnonzero(empty)[::-1]  # doubled segments come last
+        spare = spare[np.cumsum(worth[spare]) <= slack]
+        asks[spare] = False
+        left = (scheme << 32) + 4 * (slack - int(worth[spare].sum()))
         upto = int(np.searchsorted(segment, doubled))
-        out.append(_mix(sums[segment[:upto]] - mixed[:upto] + salt[segment[:upto]]))
-        probe.append(~left_out[segment[:upto]])
-    return np.concatenate(out), np.concatenate(probe)
+        out += [_mix(sums + salt), _mix(sums[segment[:upto]] - mixed[:upto] + salt[segment[:upto]])]
+        probe += [asks, asks[segment[:upto]]]
+        room += [left + worth, np.full(upto, left + 1)]
+    return np.concatenate(out), np.concatenate(probe), np.concatenate(room)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -131,15 +139,15 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _published(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``sig, c``: signatures of all sets; the lowest bit of ``c`` marks rows that probe. A task publishes copies once."""
+    """``sig, c, room``: signatures of all sets; the lowest bit of ``c`` marks rows that probe. A task publishes copies once."""
 
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        sigs, owners, held = [], [], 0
+        sigs, owners, rooms, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            arrays = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners))]
-            return pa.RecordBatch.from_arrays(arrays, names=["sig", "c"])
+            arrays = [pa.array(x) for x in (np.concatenate(sigs).view(np.int64), np.concatenate(owners), np.concatenate(rooms))]
+            return pa.RecordBatch.from_arrays(arrays, names=["sig", "c", "room"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -149,17 +157,43 @@ def _published(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(c)
-                sig, probe = signatures(own, percent)
+                sig, probe, room = signatures(own, percent)
                 sigs.append(sig)
                 owners.append(probe.astype(np.int64) + c)
+                rooms.append(room)
                 held += len(sig)
                 if held > 100_000:
                     yield flush()
-                    sigs, owners, held = [], [], 0
+                    sigs, owners, rooms, held = [], [], [], 0
         if sigs:
             yield flush()
 
-    return docs.select("text").mapInArrow(publish, "sig long, c long")
+    return docs.select("text").mapInArrow(publish, "sig long, c long, room long")
+
+
+def _allocated(rows: DataFrame) -> DataFrame:
+    """``sig, c, probe, least``: the buckets of several sets, probed where that is cheapest.
+
+    What a signature costs is the size of its bucket. A set stops probing with its costliest ones, in each scheme as many
+    as its slack allows; small buckets are not worth it. Whoever does not probe can still be found.
+    """
+    rows = rows.repartition("sig").select(
+        "sig", F.col("c").bitwiseAND(F.lit(-2)).alias("c"), (F.col("c") % 2 != 0).alias("probe"), "room"
+    )
+    grouped = rows.withColumns({
+        "least": F.expr("min(c) over (partition by sig)"), "most": F.expr("max(c) over (partition by sig)"),
+        "asked": F.expr("bool_or(probe) over (partition by sig)"), "cost": F.expr("count(*) over (partition by sig)"),
+    }).filter("least < most and asked")
+    grouped = materialize(grouped.select("sig", "c", "probe", "room", "least", "cost"), "grouped")
+    columns = ("sig", "c", "probe", "least")
+    dear = F.col("probe") & (F.col("cost") > CHEAP)
+    scheme, slack = F.shiftright("room", 32), F.shiftright("room", 2).bitwiseAND(F.lit((1 << 30) - 1))
+    costliest = W.partitionBy("c", "scheme").orderBy(F.desc("cost"), "sig").rowsBetween(W.unboundedPreceding, W.currentRow)
+    chosen = grouped.filter(dear).withColumns({"scheme": scheme, "slack": slack, "worth": F.col("room").bitwiseAND(F.lit(3))})
+    chosen = chosen.withColumn("probe", F.sum("worth").over(costliest) > F.col("slack"))
+    large = grouped.filter(~dear & (F.col("cost") > CHEAP)).select(*columns).union(chosen.select(*columns))
+    large = large.withColumn("asked", F.expr("bool_or(probe) over (partition by sig)")).filter("asked").drop("asked")
+    return grouped.filter(F.col("cost") <= CHEAP).select(*columns).union(large)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -236,14 +270,7 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     one_each = sets.join(classes, ["c", "id"]).dropDuplicates(["c"])
     docs = docs.filter(F.col("id").isNotNull())
 
-    member = F.col("c").bitwiseAND(F.lit(-2))
-    rows = _published(docs, width, percent).repartition("sig")
-    rows = rows.select("sig", member.alias("c"), (F.col("c") % 2 != 0).alias("probe"))
-    grouped = rows.withColumns({
-        "least": F.expr("min(c) over (partition by sig)"), "most": F.expr("max(c) over (partition by sig)"),
-        "asked": F.expr("bool_or(probe) over (partition by sig)"),
-    }).filter("least < most and asked")
-    buckets = materialize(grouped.select("sig", "c", "probe", "least"), "buckets")
+    buckets = materialize(_allocated(_published(docs, width, percent)), "buckets")
     stars = buckets.filter("probe and c > least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct()
     stars = materialize(stars, "stars")
     links = materialize(_verified(stars, one_each, docs, width, percent), "links")
@@ -252,7 +279,10 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     labelled = buckets.join(label, F.col("c") == F.col("node"), "left").select("sig", "c", "probe", F.coalesce("component", "c").alias("label"))
     split = labelled.withColumns({
         "low": F.expr("min(label) over (partition by sig)"), "high": F.expr("max(label) over (partition by sig)"),
-    }).filter("low < high").select("sig", "c", "probe", "label")
+        "asked": F.expr("bool_or(probe) over (partition by sig)"), "members": F.expr("bit_xor(xxhash64(c)) over (partition by sig)"),
+    }).filter("low < high and asked")
+    # Buckets with the same members, such as those of one shared passage, are one.
+    split = split.groupBy(F.col("members").alias("sig"), "c").agg(F.bool_or("probe").alias("probe"), F.max("label").alias("label"))
     split = materialize(split, "split")
     left, right = split.alias("l"), split.alias("r")
     across = left.join(right, F.expr("l.sig = r.sig and l.c > r.c and l.label <> r.label and (l.probe or r.probe)"))
