@@ -119,7 +119,8 @@ def write_shards(
     shard_rows = shard_rows or min(LARGEST_SHARD, max(SMALLEST_SHARD, 1 << (max(1, total // SHARDS) - 1).bit_length()))
     earlier = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # one row per task that read the documents
     before = made.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select("block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    numbered = made.join(before, "block").withColumn("number", F.col("before") + F.col("place")).drop("before", "place", "block")
+    # As many small rows as tasks read the documents; a join that shuffles would move all ids.
+    numbered = made.join(F.broadcast(before), "block").withColumn("number", F.col("before") + F.col("place")).drop("before", "place", "block")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
