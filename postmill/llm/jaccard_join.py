@@ -276,17 +276,20 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     links = materialize(_verified(stars, one_each, docs, width, percent), "links")
     label = materialize(components(links, "a", "b"), "labels")
 
-    labelled = buckets.join(label, F.col("c") == F.col("node"), "left").select("sig", "c", "probe", F.coalesce("component", "c").alias("label"))
-    split = labelled.withColumns({
+    known = one_each.select("c", "n").join(label, F.col("c") == F.col("node"), "left").select("c", "n", F.coalesce("component", "c").alias("label"))
+    split = buckets.join(known, "c").select("sig", "c", "n", "probe", "label").withColumns({
         "low": F.expr("min(label) over (partition by sig)"), "high": F.expr("max(label) over (partition by sig)"),
         "asked": F.expr("bool_or(probe) over (partition by sig)"), "members": F.expr("bit_xor(xxhash64(c)) over (partition by sig)"),
     }).filter("low < high and asked")
     # Buckets with the same members, such as those of one shared passage, are one.
-    split = split.groupBy(F.col("members").alias("sig"), "c").agg(F.bool_or("probe").alias("probe"), F.max("label").alias("label"))
+    split = split.groupBy(F.col("members").alias("sig"), "c", "n", "label").agg(F.bool_or("probe").alias("probe"))
     split = materialize(split, "split")
-    left, right = split.alias("l"), split.alias("r")
-    across = left.join(right, F.expr("l.sig = r.sig and l.c > r.c and l.label <> r.label and (l.probe or r.probe)"))
-    across = across.select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    # Only probing members look for others, among those of a size that can reach the threshold.
+    left, right = split.filter("probe").alias("l"), split.alias("r")
+    fits = f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"
+    across = left.join(right, F.expr(f"l.sig = r.sig and l.label <> r.label and {fits} and (l.c > r.c or not r.probe)"))
+    across = across.select(F.greatest("l.c", "r.c").alias("a"), F.least("l.c", "r.c").alias("b")).distinct()
+    across = across.join(stars, ["a", "b"], "left_anti")
     more = materialize(_verified(across, one_each, docs, width, percent), "links")
     final = components(links.union(more), "a", "b")
 
