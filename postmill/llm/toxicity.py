@@ -235,7 +235,7 @@ def fit(
 
     ratio = 2 * (present + lacking(F.col("a"), bad) + lacking(F.col("b"), clean))
     scored = materialize(counted.select("term", ratio.alias("ratio")), "terms")
-    limit = 2 * np.log(max(2, scored.count())) + 7
+    limit = 2 * np.log(max(2, scored.count()))  # chance lifts a fifth of a term above it, of all terms together
     kept = [r.term for r in scored.filter(F.col("ratio") >= float(limit)).orderBy(F.desc("ratio"), "term").limit(most_terms).collect()]
     total = docs.count()
     frequency = _document_counts(docs, kept) if kept else {}
