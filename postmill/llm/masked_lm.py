@@ -1,10 +1,10 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-The network predicts a word from the words on both sides of it. Words are counted over all documents; the frequent ones
-are classes of their own, the others share hashed classes, so a document becomes one byte per word. Training is
-data-parallel: in each round every task trains its own copy of the parameters on the masked words of its documents and
-the copies are averaged by the number of words. Then every word of every document is predicted, and the logarithms of
-its probabilities sum up to the score.
+The network predicts the class of a word from the classes on both sides of it. Words are counted over all documents; the
+frequent ones are classes of their own, the others share hashed classes, so a document becomes one byte per word. Training
+is data-parallel: in each round every task trains its own copy of the parameters on the masked words of its documents and
+the copies are averaged by the number of words. Then every word of every document is predicted: the logarithms of the
+probability of its class and of its share in that class, by the counts of all words, sum up to the score.
 """
 
 from __future__ import annotations
@@ -27,8 +27,12 @@ from postmill.schema import quoted
 
 WORDS = re.compile(r"\w+|[^\w\s]")
 CLASSES, HASHED, SIDE, WIDTH = 256, 63, 2, 16
-#: One word in so many is masked and predicted in a round of training.
+#: Words this far apart are masked and predicted together; the rounds of training share out all places.
 MASK_EVERY, ROUNDS = 16, 3
+#: Words whose counts travel with the tasks; the counts of the others come by a join.
+KNOWN = 1 << 14
+#: Steps of the grid of counts per power of two.
+_GRID = 8
 _EDGE = 0  # class that stands beyond the ends of a document
 _BATCH = 2048
 
@@ -92,9 +96,8 @@ class Network:
             back = (error @ out.T) * (1 - hidden * hidden)
             steps = [np.zeros_like(context), back.sum(axis=0), hidden.T @ error, error.sum(axis=0)]
             for place in range(2 * SIDE):
-                one_hot = np.zeros((CLASSES, len(wanted)), np.float32)
-                one_hot[words[place], np.arange(len(wanted))] = 1
-                steps[0][place] = one_hot @ back
+                cell = words[place].astype(np.int64)[:, None] * WIDTH + np.arange(WIDTH)
+                steps[0][place] = np.bincount(cell.ravel(), back.ravel(), minlength=CLASSES * WIDTH).reshape(CLASSES, WIDTH)
             for value, step, total in zip((context, hidden_bias, out, bias), steps, seen, strict=True):
                 total += step * step
                 value -= rate * step / np.sqrt(total)
@@ -146,37 +149,108 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(quoted(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _hashed(word: str) -> int:
+    return CLASSES - HASHED + zlib.crc32(word.encode("utf-8", "replace")) % HASHED
+
+
+@dataclass(frozen=True)
+class Coder:
+    """``number`` of each known word; by number its class and the logarithm of its share in that class."""
+
+    number: dict[str, int]
+    classes: np.ndarray
+    shares: np.ndarray
+
+    def coded(self, text: str | None) -> tuple[bytes, float, Counter[str]]:
+        """One class per word, the sum of the known words' shares, and how often each other word occurs."""
+        words, get = WORDS.findall((text or "").lower()), self.number.get
+        number = np.array([get(w, -1) for w in words], np.int64)
+        codes, other = self.classes[number], np.flatnonzero(number < 0)
+        rare = [words[i] for i in other]
+        codes[other] = [_hashed(w) for w in rare]
+        return codes.tobytes(), float(self.shares[number[number >= 0]].sum()), Counter(rare)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    words: dict[str, int]
+    """``counts``: ``word, n`` of all words; ``totals[class]``: the sum over the words of each hashed class."""
+
+    coder: Coder
+    counts: DataFrame
+    totals: list[int]
 
     def encode(self, text: str | None) -> bytes:
         """One class per word; words without a class of their own share one by hash."""
-        known, first = self.words, CLASSES - HASHED
-        return bytes([
-            known[w] if w in known else first + zlib.crc32(w.encode("utf-8", "replace")) % HASHED for w in WORDS.findall((text or "").lower())
-        ])
+        return self.coder.coded(text)[0]
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
-    """The most frequent words of all documents, ties by code point; as many as classes are free."""
-    top = word_counts(docs, text).orderBy(F.desc("n"), F.encode("word", "UTF-8")).limit(CLASSES - HASHED - 1).collect()
-    return Vocabulary({r.word: i + 1 for i, r in enumerate(top)})
+    """Counts of all words. The most frequent ones, ties by code point, get classes of their own, as many as are free.
+
+    Up to ``KNOWN`` words from the top of a grid of counts come to the driver, so that no frequent word is joined.
+    """
+    counts = materialize(word_counts(docs, text), "words")
+    own = counts.orderBy(F.desc("n"), F.encode("word", "UTF-8")).limit(CLASSES - HASHED - 1).collect()
+    bucket = F.crc32(F.encode("word", "UTF-8")) % HASHED
+    totals = [0] * CLASSES
+    for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        totals[CLASSES - HASHED + r.bucket] = r.n
+    for r in own:
+        totals[_hashed(r.word)] -= r.n
+    grid = F.floor(F.log2("n") * _GRID)
+    level, held = None, 0
+    for r in sorted(counts.groupBy(grid.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r.level):
+        held += r.words
+        if held > KNOWN:
+            break
+        level = r.level
+    known = {r.word: r.n for r in counts.filter(grid >= level).collect()} if level is not None else {}
+    first = {r.word: i + 1 for i, r in enumerate(own)}
+    words = [*first, *(w for w in known if w not in first)]
+    classes = [first[w] if w in first else _hashed(w) for w in words]
+    shares = [0.0 if w in first else float(np.log(known[w] / totals[c])) for w, c in zip(words, classes, strict=True)]
+    # The last entry stands for words without a number.
+    coder = Coder({w: i for i, w in enumerate(words)}, np.array([*classes, 0], np.uint8), np.array([*shares, 0.0]))
+    return Vocabulary(coder, counts, totals)
 
 
 def encoded(docs: DataFrame, words: Vocabulary, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, classes``: every document as one byte per word, written to the shared folder."""
+    """``id, classes, within``: every document as one byte per word, and the logarithms of its words' shares in their
+    classes summed up; written to the shared folder.
+
+    The shares of words without a number are joined by word, one row per document and word. A word that the counts lack
+    counts as one that occurs once.
+    """
+    coder = words.coder
+    kind = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("times", T.LongType())]))
+    fields = [T.StructField("classes", T.BinaryType()), T.StructField("known", T.DoubleType()), T.StructField("rare", kind)]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            yield [pa.array([words.encode(t) for t in batch.column(1).to_pylist()], pa.binary())]
+            found = [coder.coded(t) for t in batch.column(1).to_pylist()]
+            rare = [[{"word": w, "times": n} for w, n in f[2].items()] for f in found]
+            pairs = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
+            yield [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.float64()), pa.array(rare, pairs)]
 
     plain = docs.select(F.col(quoted(id)).alias("id"), F.col(quoted(text)).alias("text"))
-    return materialize(with_columns(plain, [T.StructField("classes", T.BinaryType())], encode).drop("text"), "classes")
+    coded = with_columns(plain, fields, encode).drop("text").withColumn("row", F.monotonically_increasing_id())
+    coded = materialize(coded, "coded")
+    bucket = (F.crc32(F.encode("word", "UTF-8")) % HASHED + (CLASSES - HASHED)).cast("int")
+    total = F.get(F.array(*[F.lit(int(n)) for n in words.totals]), bucket)
+    pairs = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(words.counts, "word", "left")
+    share = F.log(F.coalesce("n", F.lit(1)) / F.greatest(total, F.lit(1)))
+    others = pairs.groupBy("row").agg(F.sum(F.col("times") * share).alias("other"))
+    joined = coded.select("row", "id", "classes", "known").join(others, "row", "left")
+    return materialize(joined.select("id", "classes", (F.col("known") + F.coalesce("other", F.lit(0.0))).alias("within")), "classes")
+
+
+def masked_places(turn: int, rounds: int, mask_every: int, seed: int) -> list[int]:
+    """The places modulo ``mask_every`` that a round masks, one after the other; all rounds together mask every place."""
+    return [(place + seed) % mask_every for place in range(turn, max(rounds, mask_every), rounds)]
 
 
 def train(classes: DataFrame, rounds: int = ROUNDS, mask_every: int = MASK_EVERY, rate: float = 0.05, seed: int = 0) -> Network:
-    """A network trained on all documents: one word in ``mask_every`` a round, another one each round.
+    """A network trained on all words of all documents: each is masked once, one in ``mask_every`` at a time, in one round.
 
     A task returns one row per parameter; rows are summed where they are made and once more by parameter, so the driver
     gets as many numbers as the network has. Results depend on how documents are dealt to tasks. Without any word the
@@ -195,17 +269,19 @@ def train(classes: DataFrame, rounds: int = ROUNDS, mask_every: int = MASK_EVERY
         counts[r["class"]] = r.n
     net = Network.started(counts, seed)
     for turn in range(rounds):
+        places = masked_places(turn, rounds, mask_every, seed)
 
-        def learn(batches: Iterator[pa.RecordBatch], net: Network = net, turn: int = turn) -> Iterator[pa.RecordBatch]:
+        def learn(batches: Iterator[pa.RecordBatch], net: Network = net, turn: int = turn, places: list[int] = places) -> Iterator[pa.RecordBatch]:
             total, own = 0, net
             for batch in batches:
                 texts = batch.column(0).to_pylist()
                 for part in _parts(texts):
                     window, target, _ = _windows([texts[i] for i in part])
-                    masked = np.arange((turn * 5 + seed) % mask_every, len(target), mask_every)
-                    if len(masked):
-                        own = own.trained(window[:, masked], target[masked], rate / (1 + turn))
-                        total += len(masked)
+                    for place in places:
+                        masked = np.arange(place, len(target), mask_every)
+                        if len(masked):
+                            own = own.trained(window[:, masked], target[masked], rate / (1 + turn))
+                            total += len(masked)
             if total:
                 values = np.append(own.flat().astype(np.float64) * total, total)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["place", "value"])
@@ -223,6 +299,7 @@ def train(classes: DataFrame, rounds: int = ROUNDS, mask_every: int = MASK_EVERY
 def score(classes: DataFrame, net: Network, id: str = "doc_id") -> DataFrame:
     """``id, n_tokens, log_probability, mean_log_probability``: every word of every document predicted from both sides.
 
+    A word's probability is that of its class in the window times its share among all words of that class.
     Null and empty texts have no tokens, sum 0 and a null mean. Equal texts score equal; null and repeated ids pass
     through. A document of any length is scored whole, in windows, with bounded memory for the predictions.
     """
@@ -231,15 +308,15 @@ def score(classes: DataFrame, net: Network, id: str = "doc_id") -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            sums = np.zeros(len(texts))
+            sums = batch.column(2).to_numpy().copy()
             for part in _parts(texts):
                 window, target, owner = _windows([texts[i] for i in part])
-                sums[part] = np.bincount(owner, net.log_probability(window, target), minlength=len(part))
+                sums[part] += np.bincount(owner, net.log_probability(window, target), minlength=len(part))
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             mean = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
             yield [pa.array(sizes), pa.array(sums), pa.array(mean, pa.float64())]
 
-    out = with_columns(classes.select("id", "classes"), fields, compute)
+    out = with_columns(classes.select("id", "classes", "within"), fields, compute)
     return out.select(F.col("id").alias(id), *[f.name for f in fields])
 
 

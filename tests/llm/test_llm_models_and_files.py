@@ -232,6 +232,40 @@ def test_masked_lm_learns_and_scores_whole_texts(spark):
     assert masked_lm.score_documents(docs.limit(0)).collect() == []
 
 
+def test_masked_lm_tells_rare_words_of_a_class_apart(spark, monkeypatch):
+    pick = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(k)}" for k in pick.zipf(1.3, 80) % 3000)) for i in range(150)]
+    rows += [(None, "zzq w1 zzq"), (7, "zzq xqj"), (7, "zzq xqj"), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = collections.Counter(w for _, t in rows for w in masked_lm.WORDS.findall(t or ""))
+    for known in (masked_lm.KNOWN, 300):  # counts from the tasks, and most of them by the join
+        monkeypatch.setattr(masked_lm, "KNOWN", known)
+        words = masked_lm.vocabulary(docs)
+        class_of = {w: words.encode(w)[0] for w in counts}
+        totals = collections.Counter()
+        for w, n in counts.items():
+            totals[class_of[w]] += n
+        assert max(totals[c] / counts[w] for w, c in class_of.items()) > 5
+        classes = masked_lm.encoded(docs, words)
+        want = sorted((i or -1, sum(np.log(counts[w] / totals[class_of[w]]) for w in masked_lm.WORDS.findall(t or ""))) for i, t in rows)
+        got = sorted((r.id or -1, r.within) for r in classes.collect())
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+        # All words of the corpus and a class: their probabilities sum to that of the class.
+        for c in set(class_of.values()):
+            assert sum(counts[w] / totals[c] for w in counts if class_of[w] == c) == pytest.approx(1)
+        net = masked_lm.train(classes, rate=0.3)
+        net_only = {(r.doc_id, r.n_tokens): r.log_probability for r in masked_lm.score(classes.withColumn("within", F.lit(0.0)), net).collect()}
+        within = {(r.id, len(r.classes)): r.within for r in classes.collect()}
+        for r in masked_lm.score(classes, net).collect():
+            assert r.log_probability == pytest.approx(net_only[r.doc_id, r.n_tokens] + within[r.doc_id, r.n_tokens], abs=1e-6)
+
+
+@pytest.mark.parametrize("rounds, every", [(3, 16), (1, 16), (5, 4)])
+def test_masked_lm_masks_every_place(rounds, every):
+    places = [p for turn in range(rounds) for p in masked_lm.masked_places(turn, rounds, every, 3)]
+    assert set(places) == set(range(every)) and len(places) == max(rounds, every)
+
+
 def test_pipeline_stages_in_turn(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = [(9000, "12 34 !!", "en", "src0", 8), (9001, docs.filter("doc_id = 3").first().text, "en", "src1", 5), (9002, None, None, None, None)]
