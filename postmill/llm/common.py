@@ -61,12 +61,12 @@ def with_columns(
     return base.mapInArrow(run, schema)
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, seed: int = 0, splits: int = 1024) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, seed: int = 0, splits: int = 1024, ties: Sequence[str] = ()) -> DataFrame:
     """Number the rows of each group of equal ``keys`` (not null) from 0, in a seeded random order of ``order``.
 
     A window over the group would take a hot group into one task. The rows of a group are dealt to ``splits`` buckets by
     a hash instead; a bucket's rows are numbered after all rows of the buckets before it. Rows that agree in all of
-    ``order`` share a bucket and are numbered in any order. ``df`` is read twice and must give the same rows both times.
+    ``order`` share a bucket and are numbered by ``ties``, else in any order. ``df`` is read twice and must give the same rows both times.
     """
     hashed = F.xxhash64(F.lit(seed), *order)
     rows = df.withColumn("_hash", hashed).withColumn("_bucket", F.pmod("_hash", F.lit(splits)).cast("int"))
@@ -74,7 +74,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
     sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.select(*groups, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
-    within = F.row_number().over(W.partitionBy(*groups).orderBy("_hash", *order)) - 1
+    within = F.row_number().over(W.partitionBy(*groups).orderBy("_hash", *order, *ties)) - 1
     numbered = rows.withColumn("_within", within).join(before, groups)
     return numbered.withColumn(name, F.col("_before") + F.col("_within")).drop("_hash", "_bucket", "_before", "_within")
 

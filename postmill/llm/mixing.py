@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -112,20 +112,10 @@ def _fit_source(groups: pd.DataFrame, most: int) -> pd.DataFrame:
     return pd.DataFrame({"number": groups["number"], "size": groups["size"], "repeats": repeats, "extra": extra})
 
 
-def mix(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
-    weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: int = 0,
-) -> DataFrame:
-    """One row per document: ``id, size, source_size, target, copies, taken``.
-
-    Null texts have size 0; a null source is a source of its own, the last. Documents without words take no budget and
-    are copied as often as their source is repeated whole, at least once. Repeated rows are rows of their own. Reruns on
-    the same rows agree, whatever the partitioning; rows that repeat id and length may swap their draws. Other columns
-    are not read. The lengths are counted once and written; a source's histogram has one row per distinct length, and
-    the number of sources is taken to fit one task.
-    """
-    size = F.regexp_count(F.coalesce(F.col(quoted(text)), F.lit("")), F.lit(WORD)).cast("long")
-    sized = materialize(docs.select(F.col(quoted(id)).alias("id"), F.col(quoted(source)).alias("source"), size.alias("size")), "sizes")
+def _draw(rows: DataFrame, weights: Sequence[float], most: float, seed: int) -> DataFrame:
+    """``rows``: ``id, text, source, row``. The columns of :func:`mix` and the key ``row`` they belong to."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    sized = materialize(rows.select("id", "source", "row", size.alias("size"), F.xxhash64("text").alias("hash")), "sizes")
     histogram = materialize(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
     totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     number = F.row_number().over(W.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8")))
@@ -138,19 +128,50 @@ def mix(
     fitted = with_number(histogram, "target", "source_size").groupBy("number").applyInPandas(
         lambda groups: _fit_source(groups, int(most)), "number int, size long, repeats long, extra array<long>"
     )
-    rows = with_number(sized, "target", "source_size")
-    drawn = ranked(rows, ["number", "size"], ["id"], "place", seed).join(fitted, ["number", "size"])
+    numbered = with_number(sized, "target", "source_size")
+    drawn = ranked(numbered, ["number", "size"], ["id", "hash"], "place", seed, ties=["row"]).join(fitted, ["number", "size"])
     copies = F.col("repeats") + F.size(F.filter("extra", lambda taking: F.col("place") < taking))
     copies = F.when(F.col("size") == 0, F.greatest(F.col("repeats"), F.lit(1))).otherwise(copies)
     return drawn.select(
-        F.col("id").alias(id), "size", "source_size", F.col("target").cast("double").alias("target"),
+        "row", "id", "size", "source_size", F.col("target").cast("double").alias("target"),
         copies.alias("copies"), (copies * F.col("size")).alias("taken"),
     )
 
 
-def apply_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as :func:`mix` says. Ids must be unique and not null."""
-    copies = mix(docs, id, text, source, **options).filter("copies > 0").select(F.col(quoted(id)).alias("_id"), F.col("copies").alias("_copies"))
-    columns = [quoted(c) for c in docs.columns]
-    joined = docs.join(copies, F.col(quoted(id)) == F.col("_id"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns)
+def _rows(docs: DataFrame, id: str, text: str, source: str, *more: Column) -> DataFrame:
+    columns = {"id": id, "text": text, "source": source}
+    return docs.select(*[F.col(quoted(c)).alias(name) for name, c in columns.items()], F.monotonically_increasing_id().alias("row"), *more)
+
+
+def mix(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
+    weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: int = 0,
+) -> DataFrame:
+    """One row per document: ``id, size, source_size, target, copies, taken``.
+
+    Null texts have size 0; a null source is a source of its own, the last. Documents without words take no budget and
+    are copied as often as their source is repeated whole, at least once. Repeated rows are rows of their own. Reruns on
+    the same rows agree, whatever the partitioning; rows that repeat id and text may swap their draws. Other columns
+    are not read. The lengths are counted once and written; a source's histogram has one row per distinct length, and
+    the number of sources is taken to fit one task.
+    """
+    drawn = _draw(_rows(docs, id, text, source), weights, most, seed)
+    return drawn.select(F.col("id").alias(id), "size", "source_size", "target", "copies", "taken")
+
+
+def apply_mix(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
+    weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: int = 0,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as :func:`mix` says of that row.
+
+    Ids may be null or repeated: rows are numbered as they are written to the shared folder, and both the draw and the
+    join go by that number.
+    """
+    whole = F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("whole")
+    rows = materialize(_rows(docs, id, text, source, whole).drop("text"), "rows")
+    place = docs.columns.index(text)
+    copies = _draw(rows.withColumn("text", F.col(f"whole.c{place}")), weights, most, seed).filter("copies > 0")
+    joined = rows.select("row", "whole").join(copies.select("row", "copies"), "row")
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return joined.select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -225,6 +225,39 @@ def test_mixing_meets_targets(spark):
     assert [r.taken for r in mixing.mix(frame(spark, [(1, None, None, None), (2, "", "x", "s")])).collect()] == [0, 0]
 
 
+def test_mixing_of_null_and_repeated_ids(spark):
+    pick = random.Random(6)
+    # Texts are told apart by their first word, so that each row's copies can be counted whatever its id is.
+    rows = [(pick.choice([None, None, 1, 2, i + 10]), " ".join([f"t{i}"] + ["w"] * pick.choice([0, 3, 3, 40])), "en", pick.choice("aaaab") if i % 9 else None) for i in range(400)]
+    rows += [(5, "same text", "en", "a")] * 3 + [(None, None, "en", "a"), (None, "", "en", "b"), (1, None, "en", "b")]
+    docs = frame(spark, rows)
+    planned = mixing.mix(docs).collect()
+    applied = mixing.apply_mix(docs)
+    out = applied.collect()
+    assert applied.columns == docs.columns and len(planned) == len(rows)
+    copies = collections.Counter((r.doc_id, r.text, r.source) for r in out)
+    given = collections.Counter((i, t, s) for i, t, _, s in rows)
+    assert set(copies) <= set(given) and all(n <= 3 * given[k] for k, n in copies.items())
+    # As many copies of each id and length, and of words in all, as planned.
+    length = lambda t: len((t or "").split())
+    want, got = collections.Counter(), collections.Counter()
+    for r in planned:
+        want[r.doc_id, r.size] += r.copies
+    for (i, t, _), n in copies.items():
+        got[i, length(t)] += n
+    assert got == +want
+    sizes, taken = collections.Counter(), collections.Counter()
+    for _, t, _, s in rows:
+        sizes[s] += length(t)
+    for (_, t, s), n in copies.items():
+        taken[s] += n * length(t)
+    order = ["a", "b", None]
+    for s, target in zip(order, water_fill([sizes[s] for s in order], [5, 2, 1], 3), strict=True):
+        assert abs(taken[s] - target) <= 5
+    again = collections.Counter((r.doc_id, r.text, r.source) for r in mixing.apply_mix(docs.repartition(7)).collect())
+    assert again == copies
+
+
 def test_fit_lengths_is_exact_within_the_window():
     pick = np.random.default_rng(6)
     for _ in range(60):
