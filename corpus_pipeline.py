@@ -17,8 +17,8 @@ from postmill.session import shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without any letter or without any known n-gram; learns from the labels of two thirds."""
-    return language_id.known(docs, language_id.fit(docs.filter(crc_of_id("doc_id") % 3 != 1)))
+    """Rejects documents without any letter; learns from the labels of two thirds."""
+    return language_id.lettered(docs, language_id.fit(docs.filter(crc_of_id("doc_id") % 3 != 1)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

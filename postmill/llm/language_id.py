@@ -185,6 +185,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
     return with_columns(docs, fields, compute)
 
 
+def lettered(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, that :func:`identify` does not call ``und``: those whose text holds a letter.
+
+    A model that learned no language tells texts with a letter from the others all the same.
+    """
+    if not model.languages:
+        model = Model(("any",), _empty_filter(0, 1), np.zeros(1), 0)
+    out = identify(docs, model, text, "_lang_pred", "_score")
+    return out.filter(F.col("_lang_pred") != UNKNOWN).drop("_lang_pred", "_score")
+
+
 def known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, whose language can be told: those not ``und`` with at least one known n-gram."""
     out = identify(docs, model, text, "_lang_pred", "_score")

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from postmill.llm import bitmaps, exact_dedup, jaccard_join, language_id, mixing, packing
 from postmill.llm.common import components, ranked
 from postmill.llm.oracle import ORACLE
@@ -363,6 +364,17 @@ def test_language_id_of_awkward_texts(spark):
     assert language_id.identify(frame(spark, []), model).collect() == []
 
 
+def test_language_stage_rejects_only_texts_without_a_letter(spark):
+    texts = [None, "", "123 !?", "THE DOG", "ж", "x", "中文", "the dog " * 50]
+    learned = [(100 + i, "the cat and the dog " * 9, "en", "s") for i in range(9)]
+    for lang in ("en", None):  # with and without any label to learn from
+        rows = [(i, t, None, "s") for i, t in enumerate(texts)] + [(i, t, lang, s) for i, t, _, s in learned]
+        docs = frame(spark, rows)
+        out = corpus_pipeline.language(spark, docs, None)
+        assert out.columns == docs.columns
+        assert sorted(r.doc_id for r in out.collect()) == [3, 4, 5, 6, 7, *range(100, 109)]
+
+
 def test_language_filter_equals_sets():
     """The bit-sliced filter answers like one set per language, but for the chance of a false hit."""
     pick = np.random.default_rng(9)
