@@ -172,7 +172,7 @@ def _published(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _allocated(rows: DataFrame) -> DataFrame:
-    """``sig, c, probe, least``: the buckets of several sets, probed where that is cheapest.
+    """``sig, c, probe, least``: the buckets of several sets, one row per signature and set, probed where that is cheapest.
 
     What a signature costs is the size of its bucket. A set stops probing with its costliest ones, in each scheme as many
     as its slack allows; small buckets are not worth it. Whoever does not probe can still be found.
@@ -182,8 +182,11 @@ def _allocated(rows: DataFrame) -> DataFrame:
     )
     grouped = rows.withColumns({
         "least": F.expr("min(c) over (partition by sig)"), "most": F.expr("max(c) over (partition by sig)"),
-        "asked": F.expr("bool_or(probe) over (partition by sig)"), "cost": F.expr("count(*) over (partition by sig)"),
+        "asked": F.expr("bool_or(probe) over (partition by sig)"),
     }).filter("least < most and asked")
+    # Tasks that hold copies of a text each publish its set.
+    grouped = grouped.groupBy("sig", "c").agg(F.bool_or("probe").alias("probe"), F.max("room").alias("room"), F.min("least").alias("least"))
+    grouped = grouped.withColumn("cost", F.expr("count(*) over (partition by sig)"))
     grouped = materialize(grouped.select("sig", "c", "probe", "room", "least", "cost"), "grouped")
     columns = ("sig", "c", "probe", "least")
     dear = F.col("probe") & (F.col("cost") > CHEAP)

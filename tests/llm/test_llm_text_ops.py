@@ -106,6 +106,18 @@ def test_jaccard_signatures_keep_the_promise_for_single_pairs():
                 assert set(large[0][large[1]].tolist()) & set(small[0].tolist())
 
 
+def test_jaccard_buckets_hold_each_set_once(spark):
+    pick = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(base[:k] + [f"x{pick.random()}"] + base[k + 1:]) for k in range(12)]
+    # One task per row, so that no task sees that it publishes a copy.
+    docs = spark.createDataFrame([(t,) for t in texts * 2], "text string").repartition(24)
+    published = spark.createDataFrame(jaccard_join._published(docs, 5, 75).collect(), "sig long, c long, room long")
+    rows = [(r.sig, r.c) for r in jaccard_join._allocated(published).collect()]
+    assert published.count() > published.distinct().count()
+    assert rows and len(rows) == len(set(rows))
+
+
 def test_jaccard_join_nulls_and_repeats(spark):
     text = " ".join(f"t{i}" for i in range(50))
     rows = [(None, text), (5, text), (3, text + " more"), (3, "quite another text of its own"), (9, None), (9, ""), (7, text.upper())]
