@@ -7,12 +7,13 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, jaccard_join, language_id, masked_lm, mixing, packing, token_shards, toxicity, vector_dedup, warc
+from postmill.llm import exact_dedup, jaccard_join, language_id, masked_lm, mixing, mixture_packing, packing, token_shards, toxicity, vector_dedup, warc
 from postmill.llm.common import crc_of_id, table
 from postmill.llm.tokens import WordTokenizer
 from postmill.session import shared_dir
 
 SEQUENCE_TOKENS = 4096
+WINDOW_TOKENS = 2048
 END_ID = 1
 
 
@@ -77,10 +78,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_packing.pack_by_source(table(spark, sf_dir, "documents"), word_tokenizer(), WINDOW_TOKENS)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_vector_dedup, op2_masked_lm, op3_warc, op4_source_mixing, op5_best_fit_packing, op6_toxicity, op7_jaccard_join,
-        op8_token_shards, op9_exact_dedup, op10_language_id,
+        op8_token_shards, op9_exact_dedup, op10_language_id, op13_mixture_packing,
     )
 }

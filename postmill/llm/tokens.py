@@ -8,10 +8,13 @@ from array import array
 from collections.abc import Sequence
 
 #: Words whose ids a worker keeps at most.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 #: The tokenizer's own split, for chunks of these letters only; all others go through the tokenizer as they are.
 _SIMPLE = re.compile(r"[\x21-\x7Eß-öø-ÿ]+\Z")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: A word before one mark, in UTF-8: put together from two known chunks instead of being kept as a third.
+_MARKS = tuple(bytes([b]) for b in b".,;:!?")
+_MARKED = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?])\Z")
 
 
 def _byte_letters() -> str:
@@ -35,14 +38,25 @@ class _Words(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace").lower()
-        if not _SIMPLE.match(text):
-            found = self.whole(text)
+        if chunk[-1:] in _MARKS and (marked := _MARKED.match(chunk)):
+            return self[marked[1]] + self[marked[2]]
+        if chunk.islower() and chunk.isalpha():  # ASCII letters are their own byte letters
+            return self.keep(chunk, self.model.tokenize(chunk.decode()))
+        given = chunk.decode("utf-8", "replace")
+        text = given.lower()
+        if not _SIMPLE.match(text):  # lower case is left to the tokenizer, whose rule for a final sigma is another
+            found = self.whole(given)
         elif len(parts := _SPLIT.findall(text)) > 1:
             found = b"".join([self[p.encode()] for p in parts])
         else:
             letters = text.encode().decode("latin-1").translate(self.letters)
-            found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            return self.keep(chunk, self.model.tokenize(letters))
+        if len(self) < CACHE_WORDS:
+            self[chunk] = found
+        return found
+
+    def keep(self, chunk: bytes, tokens: list) -> bytes:
+        found = array("I", [t.id for t in tokens]).tobytes()
         if len(self) < CACHE_WORDS:
             self[chunk] = found
         return found
