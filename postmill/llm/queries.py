@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, jaccard_join, language_id, masked_lm, mixing, mixture_packing, packing, token_shards, toxicity, vector_dedup, warc
+from postmill.llm import exact_dedup, jaccard_join, language_id, masked_lm, mixing, mixture_packing, packing, periodic_runs, token_shards, toxicity, vector_dedup, warc
 from postmill.llm.common import crc_of_id, table
 from postmill.llm.tokens import WordTokenizer
 from postmill.session import shared_dir
@@ -78,6 +78,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def cycled(docs: DataFrame, word: str = r"[^\x20\x09-\x0D]+") -> DataFrame:
+    """``doc_id, text`` in which every tenth text, by the crc32 of its id, repeats its words from some word on."""
+    h = crc_of_id("doc_id")
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(word), F.lit(0)))
+    found = docs.select("doc_id", "text", words.alias("words"), F.floor(h / 10).alias("g"))
+    n = F.size("words")
+    a = (F.col("g") % n).cast("int")
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.col("g") % 8)).cast("int")
+    copies = F.ceil((n - a) / p).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, p), copies)), F.lit(1), n - a)
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), a), again), " ")
+    return found.select("doc_id", F.when(n > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.with_runs(cycled(table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), periodic_runs.strongest().alias("best"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    exponent = F.expr("1000 * best.length div best.period")
+    return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack_by_source(table(spark, sf_dir, "documents"), word_tokenizer(), WINDOW_TOKENS)
 
@@ -86,6 +111,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_vector_dedup, op2_masked_lm, op3_warc, op4_source_mixing, op5_best_fit_packing, op6_toxicity, op7_jaccard_join,
-        op8_token_shards, op9_exact_dedup, op10_language_id, op13_mixture_packing,
+        op8_token_shards, op9_exact_dedup, op10_language_id, op12_periodic_runs, op13_mixture_packing,
     )
 }
