@@ -3,7 +3,59 @@ against brute force."""
 
 from __future__ import annotations
 
+#: crc32 of a decimal number ``s``, bit by bit.
+CRC32 = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(s, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(
+      list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, unused: xor(x >> 1, (x & 1) * 3988292384)
+    )
+  ), 4294967295)"""
+
+CONVERSATION_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, turn, length(coalesce(text, '')) AS size,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] AS code
+  FROM conversations WHERE conv_id IS NOT NULL
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, code) AS pos FROM turns
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS leader, {CRC32} % 6 AS h
+  FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM numbered)
+), mixed AS (
+  SELECT c.conv_id, n.pos, n.code, n.size FROM convs c JOIN numbered n ON n.conv_id = c.leader AND n.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, n.pos, n.code, n.size FROM convs c JOIN numbered n ON n.conv_id = c.conv_id AND n.pos > c.h
+), rebuilt AS (
+  SELECT conv_id, row_number() OVER w AS depth, size, string_agg(code, '') OVER (w ROWS UNBOUNDED PRECEDING) AS prefix
+  FROM mixed WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+), prefixes AS (
+  SELECT conv_id, depth, size, sha256(prefix) AS prefix, coalesce(sha256(lag(prefix) OVER (PARTITION BY conv_id ORDER BY depth)), 'root') AS before
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM convs
+), nodes AS (
+  SELECT depth, prefix, any_value(before) AS before, any_value(size) AS size, min(conv_id) AS first, count(*) AS n FROM prefixes GROUP BY ALL
+), children AS (
+  SELECT depth - 1 AS depth, before AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), below AS (
+  SELECT a.depth, a.prefix, sum((n.n - 1) * n.size) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM nodes n JOIN prefixes a ON a.conv_id = n.first AND a.depth <= n.depth
+  LEFT JOIN children c ON c.depth = n.depth AND c.prefix = n.prefix
+  GROUP BY ALL
+), ends AS (
+  SELECT depth, prefix, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT * FROM prefixes QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY ALL
+)
+SELECT n.first AS conv_id, n.depth::BIGINT AS depth, p.first AS parent_conv_id, n.n AS n_convs, coalesce(c.n, 0) AS n_children,
+  b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.before
+LEFT JOIN children c ON c.depth = n.depth AND c.prefix = n.prefix
+LEFT JOIN ends e ON e.depth = n.depth AND e.prefix = n.prefix
+JOIN below b ON b.depth = n.depth AND b.prefix = n.prefix
+"""
+
 ORACLE = {
+    "op11_conversation_trie": CONVERSATION_TRIE,
     "op9_exact_dedup": """
         WITH h AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents

@@ -7,9 +7,10 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, jaccard_join, language_id, masked_lm, mixing, mixture_packing, packing, periodic_runs, token_shards, toxicity, vector_dedup, warc
+from postmill.llm import conversations, exact_dedup, jaccard_join, language_id, masked_lm, mixing, mixture_packing, packing, periodic_runs, prefix_trie, token_shards, toxicity, vector_dedup, warc
 from postmill.llm.common import crc_of_id, table
 from postmill.llm.tokens import WordTokenizer
+from postmill.operators.ordering import materialize
 from postmill.session import shared_dir
 
 SEQUENCE_TOKENS = 4096
@@ -78,6 +79,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = conversations.turn_lists(table(spark, sf_dir, "conversations"))
+    members = materialize(conversations.sequences(conversations.rebuilt(lists)), "members")
+    ends = materialize(conversations.joined_id_digests(members.select("seq", F.col("conv_id").alias("id"))), "ends")
+    different = members.groupBy("seq").agg(F.first("key").alias("key"), F.first("sizes").alias("sizes"))
+    different = different.join(ends.select("seq", "least", F.col("n").alias("members")), "seq")
+    nodes = prefix_trie.prefix_trie(different)
+    closing = nodes.filter("ending is not null").join(ends.select(F.col("least").alias("ending"), F.col("digest").alias("ends_sha256")), "ending")
+    others = nodes.filter("ending is null").withColumn("ends_sha256", F.sha2(F.lit(""), 256))
+    return closing.unionByName(others).select(
+        F.col("node").alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col("parent").alias("parent_conv_id"),
+        F.col("n_members").alias("n_convs"), "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256",
+    )
+
+
 def cycled(docs: DataFrame, word: str = r"[^\x20\x09-\x0D]+") -> DataFrame:
     """``doc_id, text`` in which every tenth text, by the crc32 of its id, repeats its words from some word on."""
     h = crc_of_id("doc_id")
@@ -111,6 +127,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_vector_dedup, op2_masked_lm, op3_warc, op4_source_mixing, op5_best_fit_packing, op6_toxicity, op7_jaccard_join,
-        op8_token_shards, op9_exact_dedup, op10_language_id, op12_periodic_runs, op13_mixture_packing,
+        op8_token_shards, op9_exact_dedup, op10_language_id, op11_conversation_trie,
+        op12_periodic_runs, op13_mixture_packing,
     )
 }
