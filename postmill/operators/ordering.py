@@ -65,6 +65,22 @@ def with_position(df: DataFrame, order: Sequence[Column | str], name: str, start
     )
 
 
+def with_running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows before this one in the global order ``order`` (which must be total).
+
+    As in :func:`with_position`, rows are range-sorted and written, and one offset per partition carries the rest.
+    """
+    local, part = "_local_place", "_local_part"
+    ranged = df.orderBy(*[F.col(quoted(o)) for o in order]).withColumn(local, F.monotonically_increasing_id())
+    placed = materialize(ranged.withColumn(part, F.shiftright(F.col(local), _ROW_BITS)), "sums")
+    sums = placed.groupBy(part).agg(F.sum(value).alias("_size"))
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(part, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = W.partitionBy(part).orderBy(local).rowsBetween(W.unboundedPreceding, -1)
+    summed = placed.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(F.broadcast(offsets), part).withColumn(name, F.col(name) + F.col("_offset")).drop(part, "_offset", local)
+
+
 def numbered_by(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """The ``order`` columns and each row's place ``name`` from 0: only key columns are sorted and written."""
     return with_position(df.select(*map(quoted, order)), list(order), name)

@@ -1,5 +1,7 @@
 """Value counts, words, timeline, selection and paging."""
 
+import random
+from collections import Counter
 from datetime import date, datetime
 
 import pytest
@@ -132,6 +134,47 @@ def test_paging(timed):
         selection.page(timed, 0)
 
 
+def tied_frame(spark, seed=0):
+    """Few different keys, null among them, rows equal in full, and columns named like those used inside."""
+    pick = random.Random(seed)
+    rows = [(pick.choice([None, 1, 1, 2, 3]), pick.choice(["a", "a", None]), pick.choice(["x", "y", "z", None]), -7, -8, {"k": 1}) for _ in range(120)]
+    rows += [(2, "a", "x", -7, -8, {"k": 1})] * 60
+    return spark.createDataFrame(rows, "k int, tie string, value string, position int, _first int, m map<string,int>").repartition(4)
+
+
+def test_tied_rows_meet_each_place_once(spark, monkeypatch):
+    monkeypatch.setattr(selection, "_PLACES", 7)
+    df, order = tied_frame(spark), ("k", "tie")
+
+    def plain(rows):
+        return Counter((r.k, r.tie, r.value, r._first, str(r.m)) for r in rows)
+
+    places = spark.range(200).select("id")
+    by_place = {r.position: r for r in selection.rows_at(df, places, order).collect()}
+    assert sorted(by_place) == list(range(180)) and plain(by_place.values()) == plain(df.collect())
+    keys = [(by_place[i].k, by_place[i].tie) for i in range(180)]
+    assert keys == sorted(keys, key=lambda k: (k[0] is not None, k[0] or 0, k[1] is not None, k[1] or ""))
+    for asked in ([0], [5, 6, 60], [0, 179, 500], list(range(180))):
+        deep, shallow = (selection.rows_at(df, asked, order, shallow=s).collect() for s in (0, 10_000))
+        assert sorted(r.position for r in deep) == sorted(r.position for r in shallow) == [i for i in asked if i < 180]
+        assert all(plain([r]) == plain([by_place[r.position]]) for r in [*deep, *shallow])
+    for number in (1, 3, 18, 19):
+        deep, shallow = (selection.page(df, number, 10, order, shallow=s).collect() for s in (0, 10_000))
+        assert plain(deep) == plain(shallow) == plain(by_place[i] for i in range(number * 10 - 10, min(180, number * 10)))
+        assert all(r.position == -7 for r in [*deep, *shallow])
+    four = spark.createDataFrame([(1,), (1,), (1,), (2,)], "v int")
+    assert [selection.page(four, 1, 4, ["v"], shallow=s).count() for s in (0, 10_000)] == [4, 4]
+    assert [selection.rows_at(four, [0], ["v"], shallow=s).count() for s in (0, 10_000)] == [1, 1]
+
+
+@pytest.mark.parametrize("shallow", [0, 10_000])
+def test_working_set_counts_only_places_that_exist(timed, shallow):
+    for chosen, minimum, want in (([99, 1], 3, [0, 1, 2]), ([4, 2], 1, [2, 4]), ([98, 99], 2, [0, 1]), ([0, 50], 9, [0, 1, 2, 3, 4]), ([-3, 2], 2, [0, 2])):
+        found = selection.working_set(timed, chosen, minimum, shallow=shallow)
+        assert sorted(r.position for r in found.collect()) == want
+        assert set(found.columns) == {*timed.columns, "position"}
+
+
 def test_detail(timed):
     rows = {r.title: r for r in selection.detail(timed).collect()}
     assert rows["2001-05-01 10:00 — Hello World"].body == "x"

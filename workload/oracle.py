@@ -568,7 +568,13 @@ ORACLE["duplicate_sets_split"] = ORACLE["duplicate_sets"]
 ORACLE |= {
     "page_deep": ON_RANK + f'SELECT {SHOWN}, "From", "Subject" FROM ranked WHERE position BETWEEN 100 AND 149',
     "working_set_frame": ON_RANK
-    + f'SELECT position, "Message-ID", {SHOWN} FROM ranked WHERE position IN (SELECT doc_id FROM documents WHERE doc_id % 7 = 0)',
+    + f'SELECT position, "Message-ID", {SHOWN} FROM ranked WHERE position IN (SELECT doc_id FROM documents)',
+    "tied_positions": """SELECT position, role, turn
+FROM (SELECT role, turn, row_number() OVER (ORDER BY role NULLS FIRST, turn NULLS FIRST) - 1 AS position FROM conversations)
+WHERE position IN (SELECT doc_id FROM documents)""",
+    "tied_rows_once": "SELECT * FROM conversations",
+    "tied_page": """SELECT o_orderstatus, o_orderpriority FROM orders
+ORDER BY o_orderstatus NULLS FIRST, o_orderpriority NULLS FIRST LIMIT 40 OFFSET 240""",
     "collapsed_files": with_(MAIL, RAW)
     + f"""SELECT * FROM (SELECT path, {NAME} AS file_name, max(path) OVER (PARTITION BY {NAME}) AS kept_path FROM raw)
 WHERE path <> kept_path""",

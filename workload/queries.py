@@ -171,10 +171,27 @@ def page_deep(spark, d):
 
 def working_set_frame(spark, d):
     """Rows at the places that another table names."""
-    places = table(spark, d, "documents").filter(F.col("doc_id") % 7 == 0).select("doc_id")
+    places = table(spark, d, "documents").select("doc_id")
     return _shown_time(selection.rows_at(_timed(spark, d), places)).select("position", quoted("Message-ID"), "DateTime")
 
 
+def tied_positions(spark, d):
+    """Places in an order that very many rows share."""
+    places = table(spark, d, "documents").select("doc_id")
+    found = selection.rows_at(table(spark, d, "conversations").drop("text"), places, ("role", "turn"))
+    return found.select("position", "role", "turn")
+
+
+def tied_rows_once(spark, d):
+    """Whole rows at every place of an order with two values: each comes once."""
+    turns = table(spark, d, "conversations")
+    return selection.rows_at(turns, spark.range(turns.count()), ("role",)).drop("position")
+
+
+def tied_page(spark, d):
+    return selection.page(table(spark, d, "orders"), 7, 40, ("o_orderstatus", "o_orderpriority"), shallow=0).select("o_orderstatus", "o_orderpriority")
+
+
 def working_set_deep(spark, d):
     df = _timed(spark, d).select("Message-ID", "DateTime")
     picked = selection.working_set(df, (3, 60, 140), shallow=0)
@@ -539,7 +556,8 @@ QUERIES = {
         basename_collapse, natural_positions, corpus_counts, lenient_decode, parse_headers, parse_body, parse_record,
         refined_records, refined_records_all_names, corpus_to_clean, flatten_props, records_roundtrip, page_deep,
         working_set_frame, collapsed_files, cleaned_table, skip_report_file, removal_report_file, json_extra_fields,
-        json_rejects, checked_records, record_key_counts, refined_records_bucketed,
+        json_rejects, checked_records, record_key_counts, refined_records_bucketed, tied_positions, tied_rows_once,
+        tied_page,
     )
 }
 QUERIES |= {
