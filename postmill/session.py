@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -29,11 +33,40 @@ def build_session(app: str = "postmill", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+#: The folder of the run that is going on, if one is.
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of our own on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """Working tables written inside the ``with`` block go to a folder of their own, which is removed at its end.
+
+    Key tables, listings and other steps are read lazily, so what is wanted of them must be written elsewhere before the
+    block ends; also when it ends by an error the folder goes. Scopes may be nested. Outside of one, tables stay in
+    the shared folder until its owner clears it. Other runs' folders are not touched.
+    """
+    folder = f"{shared_dir(spark).rstrip('/')}/run-{uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        remove(spark, folder)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """Folder every executor can reach: that of the run going on, else the one named by ``spark.checkpoint.dir``.
 
     A private temporary folder stands in only in local mode, where there is one machine.
     """
+    if (run := _RUN.get()) is not None:
+        return run
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context.getCheckpointDir()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.names import base_name, is_mail_file
@@ -29,6 +29,11 @@ class Scan:
     listing: DataFrame
 
 
+def is_hidden(path: Column) -> Column:
+    """Names, or names of the folder right above, that Spark's readers leave out."""
+    return base_name(path).rlike(r"\A[._]") | path.rlike(r"/[._][^/]*/[^/]*\z")
+
+
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
     """``(path, length)`` of every file below ``directory``, empty ones and hidden names included.
 
@@ -59,7 +64,7 @@ def scan_corpus(
     listing = list_files(spark, directory)
     mail = is_mail_file(base_name(F.col("path")))
     wanted = listing.filter(mail) if eligible_only else listing
-    hidden = base_name(F.col("path")).rlike(r"\A[._]") | F.col("path").rlike(r"/[._][^/]*/[^/]*\z")
+    hidden = is_hidden(F.col("path"))
     reason = F.when(hidden, HIDDEN).when(F.col("length") > largest, TOO_LARGE)
     rejects = wanted.withColumn("reason", reason).filter("reason is not null").select("path", "length", "reason")
     empty = wanted.filter((F.col("length") == 0) & ~hidden)

@@ -564,11 +564,17 @@ FROM groups WHERE copies > 1""",
     "flatten_props": "SELECT event_id, CAST(props ->> '$.k' AS INTEGER) AS props_k FROM events",
     "records_roundtrip": with_(MAIL) + f"SELECT {ALL_FIELDS} FROM mail",
 }
+TREE_FOLDER = "'/source=' || coalesce(source, '-') || '/lang=' || coalesce(lang, '-') || '/'"
 ORACLE["duplicate_sets_split"] = ORACLE["duplicate_sets"]
 ORACLE |= {
     "page_deep": ON_RANK + f'SELECT {SHOWN}, "From", "Subject" FROM ranked WHERE position BETWEEN 100 AND 149',
     "working_set_frame": ON_RANK
     + f'SELECT position, "Message-ID", {SHOWN} FROM ranked WHERE position IN (SELECT doc_id FROM documents)',
+    "corpus_listing": f"""SELECT {TREE_FOLDER} AS folder, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes
+FROM documents GROUP BY 1""",
+    "corpus_ingest": f"""SELECT {TREE_FOLDER} AS folder, sum(length(t) - length(replace(t, chr(10), '')) + 1)::BIGINT AS lines,
+  sum(length(t) + 1)::BIGINT AS characters
+FROM (SELECT *, regexp_replace(replace(coalesce(text, ''), chr(65533), ''), '\r\n?', chr(10), 'g') AS t FROM documents) GROUP BY 1""",
     "tied_positions": """SELECT position, role, turn
 FROM (SELECT role, turn, row_number() OVER (ORDER BY role NULLS FIRST, turn NULLS FIRST) - 1 AS position FROM conversations)
 WHERE position IN (SELECT doc_id FROM documents)""",

@@ -22,7 +22,8 @@ from postmill.operators.parse import parse_messages
 from postmill.plans.corpus import corpus_to_records, natural_order, process_records, run_cleaning
 from postmill.schema import HEADER_FIELDS, RECORD, RECORD_FIELDS, SKIP, quoted
 from postmill.session import shared_dir
-from postmill.sources.files import compact
+from postmill.sources import tree
+from postmill.sources.files import HIDDEN, compact, is_hidden
 from postmill.sources.records import flatten, read_json, read_json_with_rejects, record_keys, require_columns, require_rows
 from postmill.sources.sinks import report_path, write_records, write_removals
 from workload.tables import board, document_files, mail, mail_numbers, raw_messages, table
@@ -391,6 +392,34 @@ def eligible_files(spark, d):
     return raw_messages(spark, d).select("path").filter(is_mail_file(base_name(F.col("path"))))
 
 
+def _document_tree(spark, d):
+    """Every document as lines of text files in a tree of folders by source and language; the place of the tree."""
+    folder = _folder(spark, "tree")
+    docs = table(spark, d, "documents").select("source", "lang", F.coalesce("text", F.lit("")).alias("value"))
+    docs.write.partitionBy("source", "lang").text(folder)
+    return folder
+
+
+def _by_folder(df):
+    part = F.regexp_extract("path", "/source=([^/]*)/lang=([^/]*)/", 0)
+    return df.withColumn("folder", F.replace(part, F.lit("__HIVE_DEFAULT_PARTITION__"), F.lit("-"))).groupBy("folder")
+
+
+def corpus_listing(spark, d):
+    """Bytes of mail files by folder, from a listing by executors."""
+    found = tree.list_tree(spark, _document_tree(spark, d)).filter(is_mail_file(base_name(F.col("path"))) & ~is_hidden(F.col("path")))
+    return _by_folder(found).agg(F.sum("length").alias("bytes"))
+
+
+def corpus_ingest(spark, d):
+    """Files listed, read and written in one pass: lines and characters by folder, and nothing rejected but hidden names."""
+    scan = tree.ingest(spark, _document_tree(spark, d), _folder(spark, "ingested"))
+    texts = scan.files.withColumn("lines", F.size(F.split("text", "\n", -1)) - 1)
+    lost = scan.rejects.filter(F.col("reason") != HIDDEN).select("path", F.lit("").alias("text"), F.lit(-1).alias("lines"))
+    both = texts.select("path", "text", "lines").unionByName(lost)
+    return _by_folder(both).agg(F.sum("lines").alias("lines"), F.sum(F.length("text")).alias("characters"))
+
+
 def normalized_names(spark, d):
     return raw_messages(spark, d).select("path", txt_name(F.col("path")).alias("file_name"))
 
@@ -556,8 +585,8 @@ QUERIES = {
         basename_collapse, natural_positions, corpus_counts, lenient_decode, parse_headers, parse_body, parse_record,
         refined_records, refined_records_all_names, corpus_to_clean, flatten_props, records_roundtrip, page_deep,
         working_set_frame, collapsed_files, cleaned_table, skip_report_file, removal_report_file, json_extra_fields,
-        json_rejects, checked_records, record_key_counts, refined_records_bucketed, tied_positions, tied_rows_once,
-        tied_page,
+        json_rejects, checked_records, record_key_counts, refined_records_bucketed, corpus_listing, corpus_ingest,
+        tied_positions, tied_rows_once, tied_page,
     )
 }
 QUERIES |= {
