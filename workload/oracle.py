@@ -570,6 +570,9 @@ ORACLE |= {
     "page_deep": ON_RANK + f'SELECT {SHOWN}, "From", "Subject" FROM ranked WHERE position BETWEEN 100 AND 149',
     "working_set_frame": ON_RANK
     + f'SELECT position, "Message-ID", {SHOWN} FROM ranked WHERE position IN (SELECT doc_id FROM documents)',
+    "array_roundtrip": ORACLE["records_roundtrip"],
+    "array_rejects": """SELECT CASE WHEN doc_id % 10 = 0 THEN 'reject' ELSE 'record' END AS kind,
+  CASE WHEN doc_id % 10 = 0 THEN '{"Subject": ' || doc_id || ' oops}' ELSE text END AS value FROM documents""",
     "corpus_listing": f"""SELECT {TREE_FOLDER} AS folder, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes
 FROM documents GROUP BY 1""",
     "corpus_ingest": f"""SELECT {TREE_FOLDER} AS folder, sum(length(t) - length(replace(t, chr(10), '')) + 1)::BIGINT AS lines,
