@@ -10,7 +10,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions.dates import BY_NAME, FORMS, first_form, parse_form
 from postmill.functions.fields import parse_european
+from postmill.functions.patterns import translated
 from postmill.schema import quoted
 
 # --- fixed values -----------------------------------------------------------------------------------------------
@@ -39,6 +41,26 @@ def with_time(df: DataFrame, column: str | None = None) -> DataFrame:
     return df.withColumn(TIME, parse_european(F.col(quoted(column)))).filter(F.col(TIME).isNotNull())
 
 
+def inferred_form(df: DataFrame, column: str | None = None, order: Sequence[str] = ("email_number",)) -> str | None:
+    """Name of the written form of ``column``: that of the first value, by ``order``, that is a time in any known form.
+
+    Where day and month could be either, the day comes first. None if no value is a time. An ordered minimum over
+    (order, form), so only one row per task travels.
+    """
+    form = first_form(F.col(quoted(column or first_date_column(df)))).alias("form")
+    known = df.select(*[F.col(quoted(o)).alias(f"o{i}") for i, o in enumerate(order)], form).filter("form is not null")
+    found = known.agg(F.min(F.struct(*known.columns)).alias("first")).select("first.form").first()
+    return None if found.form is None else FORMS[found.form].name
+
+
+def with_inferred_time(df: DataFrame, column: str | None = None, order: Sequence[str] = ("email_number",)) -> DataFrame:
+    """As :func:`with_time`, for a column in any one known form: values in another form than the first are dropped."""
+    column = column or first_date_column(df)
+    form = inferred_form(df, column, order)
+    parsed = F.lit(None).cast("timestamp_ntz") if form is None else parse_form(F.col(quoted(column)), BY_NAME[form])
+    return df.withColumn(TIME, parsed).filter(F.col(TIME).isNotNull())
+
+
 def in_time_order(df: DataFrame, tie: str = "Message-ID") -> DataFrame:
     return df.orderBy(TIME, quoted(tie))
 
@@ -67,15 +89,15 @@ def from_senders(df: DataFrame, senders: Sequence[str] | DataFrame, column: str
 
 
 def subject_matches(df: DataFrame, keyword: str | None, literal: bool = False, column: str = "Subject") -> DataFrame:
-    """Rows whose subject contains the keyword, a case-insensitive pattern unless ``literal``."""
+    """Rows whose subject contains the keyword, a case-insensitive pattern in Python's syntax unless ``literal``."""
     if not keyword:
         return df
-    pattern = re.sub(r"([^\w\s])", r"\\\1", keyword) if literal else keyword
-    try:  # an invalid pattern is reported here, not by every task
-        df.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+    pattern = translated(re.escape(keyword) if literal else keyword)
+    try:  # a pattern that the engine does not take is reported here, not by every task
+        df.sparkSession._jvm.java.util.regex.Pattern.compile("(?iud)" + pattern)
     except Py4JJavaError as error:
-        raise ValueError(f"invalid pattern: {pattern}") from error
-    return df.filter(F.coalesce(F.col(quoted(column)).rlike("(?iUd)" + pattern), F.lit(False)))
+        raise ValueError(f"invalid pattern: {keyword}") from error
+    return df.filter(F.coalesce(F.col(quoted(column)).rlike("(?iud)" + pattern), F.lit(False)))
 
 
 def select_mail(

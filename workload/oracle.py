@@ -570,6 +570,21 @@ ORACLE |= {
     "page_deep": ON_RANK + f'SELECT {SHOWN}, "From", "Subject" FROM ranked WHERE position BETWEEN 100 AND 149',
     "working_set_frame": ON_RANK
     + f'SELECT position, "Message-ID", {SHOWN} FROM ranked WHERE position IN (SELECT doc_id FROM documents)',
+    "date_inferred": with_(MAIL, r"""timed AS (SELECT *, try_strptime(regexp_extract("Date", '^\w{3}, (\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) [+-]\d{4} [(]', 1),
+  '%-d %b %Y %H:%M:%S') AS dt FROM mail)""") + f"SELECT doc_id, {SHOWN} FROM timed WHERE dt IS NOT NULL",
+    "date_inferred_mixed": """WITH written AS (
+  SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d')
+    WHEN 3 THEN strftime(o_orderdate, '%m/%d/%Y') ELSE 'unknown' END AS t FROM orders
+), forms AS (
+  SELECT *, CASE WHEN try_strptime(t, '%d/%m/%Y') IS NOT NULL THEN '%d/%m/%Y' WHEN try_strptime(t, '%Y-%m-%d') IS NOT NULL THEN '%Y-%m-%d'
+    WHEN try_strptime(t, '%m/%d/%Y') IS NOT NULL THEN '%m/%d/%Y' END AS form FROM written
+), chosen AS (SELECT form FROM forms WHERE form IS NOT NULL ORDER BY o_orderkey LIMIT 1
+), read AS (
+  SELECT o_orderkey, CASE (SELECT form FROM chosen) WHEN '%d/%m/%Y' THEN try_strptime(t, '%d/%m/%Y') WHEN '%Y-%m-%d' THEN try_strptime(t, '%Y-%m-%d')
+    ELSE try_strptime(t, '%m/%d/%Y') END AS dt FROM written
+) SELECT o_orderkey, strftime(dt, '%Y-%m-%d %H:%M:%S') AS "DateTime" FROM read WHERE dt IS NOT NULL""",
+    "subject_pattern_search": ON_BOARD + """SELECT "Message-ID", "Subject" || CASE WHEN contains("Subject", 'a') THEN 'm²' ELSE 'x' || chr(769) || '²' END AS "Subject"
+FROM board WHERE contains("Subject", 'a')""",
     "array_roundtrip": ORACLE["records_roundtrip"],
     "array_rejects": """SELECT CASE WHEN doc_id % 10 = 0 THEN 'reject' ELSE 'record' END AS kind,
   CASE WHEN doc_id % 10 = 0 THEN '{"Subject": ' || doc_id || ' oops}' ELSE text END AS value FROM documents""",

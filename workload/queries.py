@@ -110,6 +110,28 @@ def date_parse(spark, d):
     return _shown_time(timeline.in_time_order(_timed(spark, d)).select("Message-ID", "DateTime"))
 
 
+def date_inferred(spark, d):
+    """The raw date header: its first value decides in which form all are read."""
+    found = timeline.with_inferred_time(mail(spark, d), "Date", ("doc_id",))
+    return _shown_time(found.select("doc_id", "DateTime"))
+
+
+def date_inferred_mixed(spark, d):
+    """A column of several forms, read day first or month first as its first readable value has it."""
+    day = F.col("o_orderdate")
+    forms = [F.lit("unknown"), F.date_format(day, "dd/MM/yyyy"), F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "MM/dd/yyyy")]
+    text = F.element_at(F.array(*forms), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    orders = table(spark, d, "orders").select("o_orderkey", text.alias("order_date"))
+    return _shown_time(timeline.with_inferred_time(orders, order=("o_orderkey",)).select("o_orderkey", "DateTime"))
+
+
+def subject_pattern_search(spark, d):
+    """Python's word class, which takes in the superscript and leaves out combining marks."""
+    df = board(spark, d).select("Message-ID", "Subject")
+    marked = df.withColumn("Subject", F.concat("Subject", F.when(F.col("Subject").contains("a"), "m²").otherwise("x\u0301²")))
+    return timeline.subject_matches(marked, r"(?P<word>[^\W\d_]+)²\Z")
+
+
 def time_bounds(spark, d):
     return timeline.time_bounds(_timed(spark, d)).select(
         F.col("min_date").cast("string").alias("min_date"), F.col("max_date").cast("string").alias("max_date")
@@ -610,7 +632,7 @@ QUERIES = {
         refined_records, refined_records_all_names, corpus_to_clean, flatten_props, records_roundtrip, page_deep,
         working_set_frame, collapsed_files, cleaned_table, skip_report_file, removal_report_file, json_extra_fields,
         json_rejects, checked_records, record_key_counts, refined_records_bucketed, corpus_listing, corpus_ingest,
-        array_roundtrip, array_rejects,
+        array_roundtrip, array_rejects, date_inferred, date_inferred_mixed, subject_pattern_search,
         tied_positions, tied_rows_once, tied_page,
     )
 }
