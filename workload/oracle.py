@@ -585,6 +585,8 @@ ORACLE |= {
 ) SELECT o_orderkey, strftime(dt, '%Y-%m-%d %H:%M:%S') AS "DateTime" FROM read WHERE dt IS NOT NULL""",
     "subject_pattern_search": ON_BOARD + """SELECT "Message-ID", "Subject" || CASE WHEN contains("Subject", 'a') THEN 'm²' ELSE 'x' || chr(769) || '²' END AS "Subject"
 FROM board WHERE contains("Subject", 'a')""",
+    "committed_run": with_(*CLEAN_BOARD) + """SELECT email_number, "Message-ID", "Date", "From", "Subject", "Body"
+FROM board JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS email_number FROM mail) USING (doc_id)""",
     "array_roundtrip": ORACLE["records_roundtrip"],
     "array_rejects": """SELECT CASE WHEN doc_id % 10 = 0 THEN 'reject' ELSE 'record' END AS kind,
   CASE WHEN doc_id % 10 = 0 THEN '{"Subject": ' || doc_id || ' oops}' ELSE text END AS value FROM documents""",

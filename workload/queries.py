@@ -19,6 +19,7 @@ from postmill.operators import dedup, quality, selection, timeline, values, voca
 from postmill.operators.clean import clean_text, clean_text_audited
 from postmill.operators.ordering import spread, with_position
 from postmill.operators.parse import parse_messages
+from postmill.plans import committed
 from postmill.plans.corpus import corpus_to_records, natural_order, process_records, run_cleaning
 from postmill.schema import HEADER_FIELDS, RECORD, RECORD_FIELDS, SKIP, quoted
 from postmill.session import shared_dir
@@ -576,6 +577,15 @@ def skip_report_file(spark, d):
     return read.withColumn("validation_errors", F.coalesce(F.array_join("validation_errors", ", "), F.lit("-")))
 
 
+def committed_run(spark, d):
+    """The cleaned table of a run that was committed, after a second run was begun under the same name."""
+    place = _folder(spark, "runs")
+    records = mail(spark, d).join(mail_numbers(spark, d), "doc_id").drop("doc_id")
+    committed.commit_run(records, place, "first")
+    committed.commit_run(records.limit(0), place, "first")
+    return committed.current_run(spark, place).tables.cleaned.select("email_number", *[quoted(c) for c in ("Message-ID", "Date", "From", "Subject", "Body")])
+
+
 def removal_report_file(spark, d):
     folder = _folder(spark, "removals")
     write_removals(dedup.removed_files(_prints(spark, d)), folder)
@@ -632,7 +642,7 @@ QUERIES = {
         refined_records, refined_records_all_names, corpus_to_clean, flatten_props, records_roundtrip, page_deep,
         working_set_frame, collapsed_files, cleaned_table, skip_report_file, removal_report_file, json_extra_fields,
         json_rejects, checked_records, record_key_counts, refined_records_bucketed, corpus_listing, corpus_ingest,
-        array_roundtrip, array_rejects, date_inferred, date_inferred_mixed, subject_pattern_search,
+        array_roundtrip, array_rejects, committed_run, date_inferred, date_inferred_mixed, subject_pattern_search,
         tied_positions, tied_rows_once, tied_page,
     )
 }
