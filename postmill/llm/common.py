@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill.operators.ordering import materialize
+from postmill.schema import quoted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,26 @@ def with_columns(
     return base.mapInArrow(run, schema)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The given names, each behind as many underscores as it takes to clash with no column, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def whole_row(df: DataFrame):
+    """All columns as one struct, under names of its own; :func:`unpacked` gives them back whatever they are called."""
+    return F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
+
+
+def unpacked(df: DataFrame, columns: Sequence[str], whole: str = "whole") -> DataFrame:
+    return df.select(*[F.col(f"{whole}.c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, seed: int = 0, splits: int = 1024, ties: Sequence[str] = ()) -> DataFrame:
     """Number the rows of each group of equal ``keys`` (not null) from 0, in a seeded random order of ``order``.
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.bitmaps import bitmaps, filter_bits, probed
+from postmill.llm.common import unpacked, whole_row
 from postmill.operators.ordering import materialize
 from postmill.schema import quoted
 
@@ -55,17 +56,17 @@ def duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
 def drop_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without those that :func:`duplicate_groups` drops; of rows that repeat text and
-    id, one.
+    id, one. Null texts count as empty, null ids come before all others, and columns of any name pass through.
 
     The decisions are made on (id, hash); then one pass over the texts sends the unique rows straight through, while rows
     that may repeat meet their group's survivor in a shuffle. An empty table stays empty.
     """
-    key = F.unhex(text_hash(F.col(quoted(text))))
-    hashed = materialize(docs.select(F.col(quoted(id)).alias("_id"), key.alias("_key")), "hashes")
+    key, own = F.unhex(text_hash(F.col(quoted(text)))).alias("_key"), F.col(quoted(id)).alias("_id")
+    hashed = materialize(docs.select(own, key), "hashes")
     bits = filter_bits(hashed.count())
     repeats = materialize(bitmaps(hashed, "_key", bits, least=2), "bitmaps")
     keep = probed(hashed, "_key", repeats, bits, "_maybe").filter("_maybe").groupBy("_key").agg(F.max("_id").alias("_keep"))
-    flagged = probed(docs.withColumn("_key", key), "_key", repeats, bits, "_maybe")
-    survives = (F.col("m._key") == F.col("k._key")) & F.col(f"m.{quoted(id)}").eqNullSafe(F.col("k._keep"))
-    found = flagged.filter("_maybe").alias("m").join(keep.alias("k"), survives, "left_semi").dropDuplicates(["_key", id])
-    return flagged.filter(~F.col("_maybe")).unionByName(found).select(*[quoted(c) for c in docs.columns])
+    flagged = probed(docs.select(whole_row(docs).alias("whole"), own, key), "_key", repeats, bits, "_maybe")
+    survives = (F.col("m._key") == F.col("k._key")) & F.col("m._id").eqNullSafe(F.col("k._keep"))
+    found = flagged.filter("_maybe").alias("m").join(keep.alias("k"), survives, "left_semi").dropDuplicates(["_key", "_id"])
+    return unpacked(flagged.filter(~F.col("_maybe")).unionByName(found), docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill.llm.bitmaps import likely_in, without
-from postmill.llm.common import components, with_columns
+from postmill.llm.common import components, unpacked, whole_row, with_columns
 from postmill.operators.ordering import materialize
 from postmill.schema import quoted
 
@@ -306,7 +306,12 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one document of each class of similar ones stays: the smallest id."""
+    """The rows of ``docs``, all columns, of which one document of each class of similar ones stays: the smallest id.
+
+    Rows without an id, without words or alone in their class all stay; rows that repeat the id that stays do too. Columns
+    of any name pass through. An empty table stays empty.
+    """
     classes = similar_classes(docs, id, text, width, percent)
-    gone = materialize(classes.filter(F.col("component_id") < F.col(quoted(id))).select(quoted(id)).distinct(), "gone")
-    return without(docs, id, gone)
+    gone = materialize(classes.filter(F.col("component_id") < F.col(quoted(id))).select(F.col(quoted(id)).alias("key")).distinct(), "gone")
+    rows = docs.select(whole_row(docs).alias("whole"), F.col(quoted(id)).alias("key"))
+    return unpacked(without(rows, "key", gone), docs.columns)

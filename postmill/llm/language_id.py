@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.common import ranked, sized, with_columns
+from postmill.llm.common import free_names, ranked, sized, with_columns
 from postmill.operators.ordering import materialize
 
 UNKNOWN = "und"
@@ -188,12 +188,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
 def lettered(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, that :func:`identify` does not call ``und``: those whose text holds a letter.
 
-    A model that learned no language tells texts with a letter from the others all the same.
+    A model that learned no language tells texts with a letter from the others all the same. Null and empty texts go,
+    repeated rows share their fate, and columns of any name pass through. An empty table stays empty.
     """
     if not model.languages:
         model = Model(("any",), _empty_filter(0, 1), np.zeros(1), 0)
-    out = identify(docs, model, text, "_lang_pred", "_score")
-    return out.filter(F.col("_lang_pred") != UNKNOWN).drop("_lang_pred", "_score")
+    pred, score = free_names(docs, "_lang_pred", "_score")
+    return identify(docs, model, text, pred, score).filter(F.col(pred) != UNKNOWN).drop(pred, score)
 
 
 def known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

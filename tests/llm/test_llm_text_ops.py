@@ -174,6 +174,31 @@ def test_exact_dedup_against_brute_force(spark):
     assert exact_dedup.drop_duplicates(frame(spark, [])).collect() == []
 
 
+INTERNAL = [
+    "_key", "_id", "_keep", "_maybe", "_word", "_bit", "_bits", "_likely", "whole", "key", "c", "c0", "n", "sig", "profile", "label", "node", "component", "component_id",
+    "n_shingles", "_lang_pred", "_score", "__score", "lang_pred", "score", "row", "copies", "copy", "size", "target", "id", "_KEY2",
+]
+
+
+def test_stages_return_rows_as_they_are_whatever_their_columns_are_called(spark):
+    text = " ".join(f"t{i}" for i in range(50))
+    texts = [text, text.upper(), text + " more", "other words here", None, "", "1 2 3", "und so weiter"]
+    rows = [(i, t, "en", "s", 1, *[f"{name}{i}" for name in INTERNAL]) for i, t in enumerate([*texts, *texts])]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{name}` string" for name in INTERNAL)
+    docs = spark.createDataFrame(rows, kinds).repartition(4)
+    given = {tuple(r) for r in docs.collect()}
+    model = language_id.fit(docs)
+    for stage, kept in (
+        (exact_dedup.drop_duplicates, {9, 10, 11, 13, 14, 15}), (jaccard_join.keep_one, {0, 3, 4, 5, 6, 7, 12, 13}),
+        (lambda d: language_id.lettered(d, model), {0, 1, 2, 3, 7, 8, 9, 10, 11, 15}), (mixing.apply_mix, None),
+    ):
+        out = stage(docs)
+        found = [tuple(r) for r in out.collect()]
+        assert out.columns == docs.columns and set(found) <= given
+        assert kept is None or sorted(r[0] for r in found) == sorted(kept)
+        assert stage(docs.filter("doc_id < 0")).collect() == []
+
+
 def test_exact_dedup_filter_lets_unique_rows_through(spark):
     df = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("key"))
     df = df.union(df.limit(1))
