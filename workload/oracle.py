@@ -77,7 +77,7 @@ mail AS (
       WHEN d.doc_id % 10 = 6 THEN '    ' || d.text || repeat(chr(9), 3) || 'z'
       WHEN d.doc_id % 10 = 7 THEN '__ >' || d.text || {NL} || '>' || {NL} || 'tail'
       WHEN d.doc_id % 10 = 8 THEN d.text || {NL} || 'a!!!!!!!!!' || {NL} || '-'
-      WHEN d.doc_id % 10 = 9 THEN 'a' || chr(7) || 'b ' || d.text || ' it' || chr(226) || chr(8364) || chr(8482) || 's'
+      WHEN d.doc_id % 10 = 9 THEN 'a' || chr(7) || 'b ' || d.text || ' itâ€™s'
       ELSE d.text END AS "Body",
     d.doc_id || '.' AS "SourceFile"
   FROM documents d LEFT JOIN dated e ON d.doc_id = e.event_id)"""
