@@ -7,9 +7,13 @@ one element deleted, so that these segments match up to one difference and count
 needed is slack: a set stops probing with the signatures that meet most others, which are counted for that. The number of segments depends on the size band of a pair: bands double, and a pair lies in one band or in two
 neighbouring ones, each case with its own bound H.
 
+Before that, sets that share too little with any other to link are set aside: of each set the smallest elements, a
+head of the length that linking sets must share some of, are counted over all sets.
+
 Links are needed between different sets only, and for classes one path of links is enough. So a bucket of equal
-signatures first compares each member with the smallest; only buckets whose members then still belong to different
-classes compare members across classes. All candidates are verified on whole texts.
+signatures first compares each member with the one that meets most others; only buckets whose members then still belong
+to different classes compare members across classes, by size and profile inside the tasks. All candidates are verified
+on whole texts.
 """
 
 from __future__ import annotations
@@ -30,13 +34,19 @@ from postmill.llm.common import components, unpacked, whole_row, with_columns
 from postmill.operators.ordering import materialize
 from postmill.schema import quoted
 
-BINS = 128
+BINS, BITS = 128, 1024
 #: One segment in so many publishes one-deletion signatures.
 DELETION_EVERY = 12
 #: Fingerprints of sets that a task has published, to publish copies once; a full table starts anew.
 SEEN = 200_000
 #: Buckets up to this size are probed without counting the cost.
 CHEAP = 8
+#: Heads of sets: the part of a set's size that linking sets share of them, bytes of an element, elements sorted in one task.
+HEAD_PART, HEAD_BYTES, CUT_TOKENS = 20, 6, 1 << 20
+#: Owner of the elements that a task has settled; no fingerprint is odd.
+NOBODY = 1
+#: Members of a bucket that are compared in one piece.
+BLOCK = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,8 +77,23 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def profile(hashes: np.ndarray) -> bytes:
-    """Elements per bin; the sum of differences of two profiles never exceeds the number of differing elements."""
-    return np.minimum(np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """Elements per bin, then the parity of elements per bit of a finer sketch; what :func:`apart` compares."""
+    bins = np.minimum(np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+    parity = np.bincount(((hashes >> np.uint64(16)) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) % 2
+    return bins.tobytes() + np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def profiles(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS + BITS // 8)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of two arrays of profiles, how many elements differ at least.
+
+    A differing element changes one bin by one and turns one bit. Bins tell large sets apart, bits small ones.
+    """
+    bins = np.abs(a[:, :BINS].astype(np.int16) - b[:, :BINS]).sum(axis=1)
+    return np.maximum(bins, np.bitwise_count(a[:, BINS:] ^ b[:, BINS:]).sum(axis=1, dtype=np.int64))
 
 
 def schemes(size: int, percent: int) -> list[tuple[int, int, int]]:
@@ -121,23 +146,147 @@ def signatures(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(out), np.concatenate(probe), np.concatenate(room)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``id, n, c, profile``: set size, fingerprint (null for empty sets) and profile of each document."""
-    fields = [T.StructField("n", T.LongType()), T.StructField("c", T.LongType()), T.StructField("profile", T.BinaryType())]
+def overlap(size: int, percent: int) -> int:
+    """Elements that a set of ``size`` has in common with any set it links with."""
+    return -(-percent * size // 100)
+
+
+def shared_least(size: int, percent: int) -> int:
+    """Head elements (see :func:`head`) that a set which links with some other one shares with heads of other sets."""
+    return -(-overlap(size, percent) // HEAD_PART)
+
+
+def head(hashes: np.ndarray, percent: int) -> bytes:
+    """The smallest elements of a set, 6 bytes each: all but ``overlap`` of them, and ``1 / HEAD_PART`` of the size more.
+
+    Of two sets that link, the heads have ``1 / HEAD_PART`` of the smaller one's size in common: both leave out no more than
+    the overlap, and all that they share of smaller elements is in both heads.
+    """
+    size = len(hashes)
+    longest = size - overlap(size, percent) - (-size // HEAD_PART)
+    return np.ascontiguousarray(hashes[:longest]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HEAD_BYTES].tobytes()
+
+
+def _tokens(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // HEAD_BYTES, 8), np.uint8)
+    out[:, :HEAD_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, HEAD_BYTES)
+    return out.view("<u8").reshape(-1)
+
+
+def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``id, n, c, profile, head``: set size, fingerprint (null for empty sets), profile and head of each document."""
+    fields = [T.StructField("n", T.LongType()), T.StructField("c", T.LongType()), T.StructField("profile", T.BinaryType()), T.StructField("head", T.BinaryType())]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            n, c, profiles = [], [], []
+            n, c, profiles, heads = [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text, width)
                 n.append(len(own))
                 c.append(fingerprint(own) if len(own) else None)
                 profiles.append(profile(own) if len(own) else None)
-            yield [pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(profiles, pa.binary())]
+                heads.append(head(own, percent) if len(own) else None)
+            yield [pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(profiles, pa.binary()), pa.array(heads, pa.binary())]
 
     return with_columns(docs, fields, compute).drop("text")
 
 
+def _linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """``c`` of the sets of ``c, n, head`` that may link with another one: enough of their head is in heads of other sets.
+
+    Heads move as packed bytes, cut by token. What several sets of one task share is settled there and sent on once, so
+    that a passage of very many sets is as many tokens as there are tasks.
+    """
+    tokens = sets.agg(F.coalesce(F.sum(F.octet_length("head")), F.lit(0)).alias("n")).first().n // HEAD_BYTES
+    cuts = max(1, -(-tokens // CUT_TOKENS))
+    names = ["cut", "owners", "counts", "tokens", "known", "known_counts"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        owners: list[int] = []
+        heads: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            every, sizes = np.concatenate(heads), np.array([len(h) for h in heads])
+            own = np.repeat(np.arange(len(owners)), sizes)
+            order = np.argsort(every, kind="stable")
+            every, own = every[order], own[order]
+            starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            counts = np.diff(np.append(starts, len(every)))
+            several = np.repeat(counts > 1, counts)
+            found = np.bincount(own[several], minlength=len(owners))
+            # Tokens of several sets go on once, under no owner.
+            every = np.concatenate((every[~several], every[starts[counts > 1]]))
+            own = np.concatenate((own[~several], np.full(int((counts > 1).sum()), len(owners))))
+            cut = (every % np.uint64(cuts)).astype(np.int64)
+            order = np.lexsort((own, cut))
+            every, own, cut = every[order], own[order], cut[order]
+            ids = np.array([*owners, NOBODY], np.int64)
+            home = ids[:-1] // 2 % cuts
+            rows = []
+            for k in range(cuts):
+                low, high = np.searchsorted(cut, (k, k + 1))
+                mine = np.flatnonzero((home == k) & (found > 0))
+                if low == high and not len(mine):
+                    continue
+                who, amounts = np.unique(own[low:high], return_counts=True)
+                packed = every[low:high].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HEAD_BYTES].tobytes()
+                rows.append((k, ids[who].tobytes(), amounts.astype(np.int32).tobytes(), packed, ids[mine].tobytes(), found[mine].astype(np.int32).tobytes()))
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]], names=names)
+
+        for batch in batches:
+            for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if c in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(c)
+                owners.append(c)
+                heads.append(_tokens(data))
+                held += len(heads[-1])
+                if held > 4 * CUT_TOKENS:
+                    yield flush()
+                    owners, heads, held = [], [], 0
+        if owners:
+            yield flush()
+
+    def met(table: pa.Table) -> pa.Table:
+        packed = {n: b"".join(table.column(n).to_pylist()) for n in names[1:]}
+        own = np.repeat(np.frombuffer(packed["owners"], np.int64), np.frombuffer(packed["counts"], np.int32))
+        every = _tokens(packed["tokens"])
+        order = np.argsort(every, kind="stable")
+        every, own = every[order], own[order]
+        same = every[1:] == every[:-1]
+        several = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        who, amounts = np.unique(own[several & (own != NOBODY)], return_counts=True)
+        known, settled = np.frombuffer(packed["known"], np.int64), np.frombuffer(packed["known_counts"], np.int32)
+        return by_home(np.concatenate((who, known)), np.concatenate((amounts, settled)).astype(np.int64))
+
+    def by_home(who: np.ndarray, amounts: np.ndarray) -> pa.Table:
+        """A row per cut, which counts the sets whose home it is."""
+        home = who // 2 % cuts
+        order = np.argsort(home, kind="stable")
+        bounds = np.searchsorted(home[order], np.arange(cuts + 1))
+        full = np.flatnonzero(np.diff(bounds))
+        parts = [order[bounds[k] : bounds[k + 1]] for k in full]
+        return pa.table({
+            "home": pa.array(full, pa.int32()), "owners": pa.array([who[x].tobytes() for x in parts], pa.binary()),
+            "counts": pa.array([amounts[x].tobytes() for x in parts], pa.binary()),
+        })
+
+    def summed(table: pa.Table) -> pa.Table:
+        who, amounts = (np.frombuffer(b"".join(table.column(x).to_pylist()), np.int64) for x in ("owners", "counts"))
+        names, at = np.unique(who, return_inverse=True)
+        return pa.table({"c": names, "k": np.bincount(at, amounts, minlength=len(names)).astype(np.int64)})
+
+    dealt = sets.select("c", "head").mapInArrow(deal, "cut int, owners binary, counts binary, tokens binary, known binary, known_counts binary")
+    found = dealt.groupBy("cut").applyInArrow(met, "home int, owners binary, counts binary").groupBy("home").applyInArrow(summed, "c long, k long")
+    needed = F.ceil(F.ceil(F.col("n") * percent / 100) / HEAD_PART)
+    return found.join(sets.select("c", "n").dropDuplicates(["c"]), "c").filter(F.col("k") >= needed).select("c")
+
+
 def _published(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``sig, c, room``: signatures of all sets; the lowest bit of ``c`` marks rows that probe. A task publishes copies once."""
 
@@ -172,7 +321,7 @@ def _published(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _allocated(rows: DataFrame) -> DataFrame:
-    """``sig, c, probe, least``: the buckets of several sets, one row per signature and set, probed where that is cheapest.
+    """``sig, c, probe, pivot``: the buckets of several sets, one row per signature and set, probed where that is cheapest.
 
     What a signature costs is the size of its bucket. A set stops probing with its costliest ones, in each scheme as many
     as its slack allows; small buckets are not worth it. Whoever does not probe can still be found.
@@ -188,15 +337,73 @@ def _allocated(rows: DataFrame) -> DataFrame:
     grouped = grouped.groupBy("sig", "c").agg(F.bool_or("probe").alias("probe"), F.max("room").alias("room"), F.min("least").alias("least"))
     grouped = grouped.withColumn("cost", F.expr("count(*) over (partition by sig)"))
     grouped = materialize(grouped.select("sig", "c", "probe", "room", "least", "cost"), "grouped")
-    columns = ("sig", "c", "probe", "least")
+    columns = ("sig", "c", "probe", "pivot")
     dear = F.col("probe") & (F.col("cost") > CHEAP)
     scheme, slack = F.shiftright("room", 32), F.shiftright("room", 2).bitwiseAND(F.lit((1 << 30) - 1))
     costliest = W.partitionBy("c", "scheme").orderBy(F.desc("cost"), "sig").rowsBetween(W.unboundedPreceding, W.currentRow)
     chosen = grouped.filter(dear).withColumns({"scheme": scheme, "slack": slack, "worth": F.col("room").bitwiseAND(F.lit(3))})
-    chosen = chosen.withColumn("probe", F.sum("worth").over(costliest) > F.col("slack"))
-    large = grouped.filter(~dear & (F.col("cost") > CHEAP)).select(*columns).union(chosen.select(*columns))
-    large = large.withColumn("asked", F.expr("bool_or(probe) over (partition by sig)")).filter("asked").drop("asked")
-    return grouped.filter(F.col("cost") <= CHEAP).select(*columns).union(large)
+    chosen = chosen.withColumn("probe", F.sum("worth").over(costliest) > F.col("slack")).select("sig", "c", "probe")
+    large = chosen.union(grouped.filter(~dear & (F.col("cost") > CHEAP)).select("sig", "c", "probe"))
+    # The set that meets most others is likely near all of a group of copies: it is what the others are compared with.
+    central = grouped.filter(F.col("cost") > CHEAP).groupBy("c").agg(F.sum("cost").alias("score"))
+    large = large.join(central, "c").withColumns({
+        "asked": F.expr("bool_or(probe) over (partition by sig)"), "pivot": F.expr("max(struct(score, c)) over (partition by sig)")["c"],
+    }).filter("asked").select(*columns)
+    return grouped.filter(F.col("cost") <= CHEAP).select("sig", "c", "probe", F.col("least").alias("pivot")).union(large)
+
+
+def _across(split: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of probing members of ``split`` (``sig, c, n, label, probe, profile``) with members of other labels.
+
+    Pairs of other sizes than can link, or with profiles too far apart, are passed over inside the tasks, which take
+    many small buckets or one square of two blocks of a large one: nothing is listed that need not be verified.
+    """
+    counted = split.withColumn("blocks", F.expr(f"cast(ceil(count(*) over (partition by sig) / {BLOCK}) as int)"))
+    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
+    yes, no = F.lit(True), F.lit(False)
+
+    def cell(i, j, left, right):
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), left.alias("left"), right.alias("right"))
+
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    squares = F.concat(
+        F.when(F.col("probe"), F.transform(every, lambda k: cell(own, k, yes, no))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean,right:boolean>>")),
+        F.transform(every, lambda k: cell(k, own, no, yes)),
+    )
+    cells = F.when(F.col("blocks") == 1, F.array(cell(F.lit(0), F.lit(0), F.col("probe"), yes))).otherwise(squares)
+    placed = counted.withColumn("cell", F.explode(cells)).select("sig", "cell.*", "c", "n", "label", "probe", "profile")
+    rows = placed.count()
+    task = F.pmod(F.xxhash64("sig", "i", "j"), F.lit(max(1, rows // (4 * BLOCK))))
+
+    def compare(table: pa.Table) -> pa.Table:
+        sig, i, j, c, n, label = (table.column(x).to_numpy() for x in ("sig", "i", "j", "c", "n", "label"))
+        left, right, probe = (table.column(x).to_numpy() for x in ("left", "right", "probe"))
+        sketch = profiles(table.column("profile"))
+        order = np.lexsort((j, i, sig))
+        same = (sig[order][1:] == sig[order][:-1]) & (i[order][1:] == i[order][:-1]) & (j[order][1:] == j[order][:-1])
+        bounds = np.flatnonzero(np.concatenate(([True], ~same, [True])))
+        firsts, seconds = [], []
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            members = order[low:high]
+            others = members[right[members]]
+            asking = members[left[members]]
+            for at in range(0, len(asking), 256):
+                some = asking[at : at + 256]
+                both = n[some][:, None] + n[others]
+                smaller, larger = np.minimum(n[some][:, None], n[others]), np.maximum(n[some][:, None], n[others])
+                fits = (label[some][:, None] != label[others]) & (100 * smaller >= percent * larger)
+                fits &= (c[some][:, None] > c[others]) | ~probe[others]
+                x, y = np.nonzero(fits)
+                for part in range(0, len(x), 1 << 16):
+                    p, q = x[part : part + (1 << 16)], y[part : part + (1 << 16)]
+                    near = apart(sketch[some[p]], sketch[others[q]]) <= both[p, q] * (100 - percent) // (100 + percent)
+                    firsts.append(c[some[p[near]]])
+                    seconds.append(c[others[q[near]]])
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (firsts, seconds))
+        pairs = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b))), axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return placed.withColumn("task", task).groupBy("task").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -214,9 +421,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for x in ("profile_a", "profile_b"))
             both = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (100 - percent) // (100 + percent)
-            keep = pa.array(np.abs(a - b).sum(axis=1) <= both)
+            keep = pa.array(apart(profiles(batch.column("profile_a")), profiles(batch.column("profile_b"))) <= both)
             yield pa.RecordBatch.from_arrays([batch.column(x).filter(keep) for x in ("a", "b", "id_a", "id_b")], names=["a", "b", "id_a", "id_b"])
 
     kind = sets.schema["id"].dataType.simpleString()
@@ -267,32 +473,31 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
     docs = docs.select(F.col(quoted(id)).alias("id"), F.col(quoted(text)).alias("text"))
-    all_sets = materialize(_sets(docs, width), "sets")
+    all_sets = materialize(_sets(docs, width, percent), "sets")
     sets = all_sets.filter(F.col("id").isNotNull() & F.col("c").isNotNull())
+    linkable = _linkable(sets, percent)
+    all_sets, sets = all_sets.drop("head"), sets.drop("head")
     classes = sets.groupBy("c").agg(F.min("id").alias("id"))
     one_each = sets.join(classes, ["c", "id"]).dropDuplicates(["c"])
     docs = docs.filter(F.col("id").isNotNull())
 
-    buckets = materialize(_allocated(_published(docs, width, percent)), "buckets")
-    stars = buckets.filter("probe and c > least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct()
-    stars = materialize(stars, "stars")
+    # One text of each set that may link at all.
+    asking = materialize(one_each.join(linkable, "c", "left_semi").select("id"), "asking")
+    buckets = materialize(_allocated(_published(likely_in(docs, "id", asking), width, percent)), "buckets")
+    stars = buckets.filter("probe and c <> pivot").select(F.greatest("c", "pivot").alias("a"), F.least("c", "pivot").alias("b"))
+    stars = materialize(stars.distinct(), "stars")
     links = materialize(_verified(stars, one_each, docs, width, percent), "links")
     label = materialize(components(links, "a", "b"), "labels")
 
-    known = one_each.select("c", "n").join(label, F.col("c") == F.col("node"), "left").select("c", "n", F.coalesce("component", "c").alias("label"))
-    split = buckets.join(known, "c").select("sig", "c", "n", "probe", "label").withColumns({
+    known = one_each.select("c", "n", "profile").join(label, F.col("c") == F.col("node"), "left").select("c", "n", "profile", F.coalesce("component", "c").alias("label"))
+    split = buckets.join(known.drop("profile"), "c").select("sig", "c", "n", "probe", "label").withColumns({
         "low": F.expr("min(label) over (partition by sig)"), "high": F.expr("max(label) over (partition by sig)"),
         "asked": F.expr("bool_or(probe) over (partition by sig)"), "members": F.expr("bit_xor(xxhash64(c)) over (partition by sig)"),
     }).filter("low < high and asked")
     # Buckets with the same members, such as those of one shared passage, are one.
     split = split.groupBy(F.col("members").alias("sig"), "c", "n", "label").agg(F.bool_or("probe").alias("probe"))
-    split = materialize(split, "split")
-    # Only probing members look for others, among those of a size that can reach the threshold.
-    left, right = split.filter("probe").alias("l"), split.alias("r")
-    fits = f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"
-    across = left.join(right, F.expr(f"l.sig = r.sig and l.label <> r.label and {fits} and (l.c > r.c or not r.probe)"))
-    across = across.select(F.greatest("l.c", "r.c").alias("a"), F.least("l.c", "r.c").alias("b")).distinct()
-    across = across.join(stars, ["a", "b"], "left_anti")
+    split = materialize(split.join(known.select("c", "profile"), "c"), "split")
+    across = _across(split, percent).join(stars, ["a", "b"], "left_anti")
     more = materialize(_verified(across, one_each, docs, width, percent), "links")
     final = components(links.union(more), "a", "b")
 

@@ -195,9 +195,3 @@ def lettered(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         model = Model(("any",), _empty_filter(0, 1), np.zeros(1), 0)
     pred, score = free_names(docs, "_lang_pred", "_score")
     return identify(docs, model, text, pred, score).filter(F.col(pred) != UNKNOWN).drop(pred, score)
-
-
-def known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, whose language can be told: those not ``und`` with at least one known n-gram."""
-    out = identify(docs, model, text, "_lang_pred", "_score")
-    return out.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") > 0)).drop("_lang_pred", "_score")
