@@ -14,6 +14,7 @@ from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -51,11 +52,12 @@ def permuted(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, tokenizer: WordTokenizer, length: int, id: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
+def sequences(docs: DataFrame, tokenizer: WordTokenizer, length: int, id: str = "doc_id", text: str = "text", width: int = 2, packed: bool = False) -> DataFrame:
     """``block, place, doc_id, start, n_tokens, ids``: the documents of a task, one behind the other, cut to ``length``.
 
     ``doc_id`` and ``start`` tell which document, and which of its ids, comes first. ``ids`` are unsigned integers of
-    ``width`` bytes; only the last sequence of a block is shorter. Null texts are empty and only add their end id.
+    ``width`` bytes, compressed one by one if ``packed``; only the last sequence of a block is shorter. Null texts are
+    empty and only add their end id.
     """
     kind = docs.schema[id].dataType
     fields = [
@@ -67,14 +69,15 @@ def sequences(docs: DataFrame, tokenizer: WordTokenizer, length: int, id: str =
         block, place = TaskContext.get().partitionId(), 0
         held, first, arrow_kind = b"", None, None
         rows: list[tuple] = []
+        compress = zstandard.ZstdCompressor().compress if packed else bytes
 
         def add(data: bytes, origin: tuple) -> None:
             nonlocal place
             ids = np.frombuffer(data, "<u4").astype(f"<u{width}").tobytes()
-            rows.append((block, place, *origin, len(data) // 4, ids))
+            rows.append((block, place, *origin, len(data) // 4, compress(ids)))
             place += 1
 
-        def packed() -> pa.RecordBatch:
+        def batch_of_rows() -> pa.RecordBatch:
             types = (pa.int32(), pa.int64(), arrow_kind, pa.int64(), pa.int32(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.name for f in fields])
 
@@ -93,12 +96,12 @@ def sequences(docs: DataFrame, tokenizer: WordTokenizer, length: int, id: str =
                             add(held, first)
                             held = b""
                 if len(rows) >= 1000:
-                    yield packed()
+                    yield batch_of_rows()
                     rows.clear()
         if held:
             add(held, first)
         if rows:
-            yield packed()
+            yield batch_of_rows()
 
     return docs.select(quoted(id), quoted(text)).mapInArrow(cut, T.StructType(fields))
 
@@ -111,10 +114,10 @@ def write_shards(
 
     A shard holds ``shard_rows`` slots of ``length * width`` bytes each, short sequences padded with zeros. Sequences are
     numbered by block, so equal files read under equal split settings give equal shards; each order is a permutation of
-    all sequences under ``key``. Texts are encoded once; ids are written, and shuffled once by shard. Repeated and null
+    all sequences under ``key``. Texts are encoded once; ids are written, and shuffled once by shard, compressed. Repeated and null
     ids of documents are carried along. An empty table writes no shard.
     """
-    made = materialize(sequences(docs, tokenizer, length, id, text, width), "sequences")
+    made = materialize(sequences(docs, tokenizer, length, id, text, width, packed=True), "sequences")
     total = made.count()
     shard_rows = shard_rows or min(LARGEST_SHARD, max(SMALLEST_SHARD, 1 << (max(1, total // SHARDS) - 1).bit_length()))
     earlier = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # one row per task that read the documents
@@ -133,13 +136,14 @@ def write_shards(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, stream = None, None
+        decompress = zstandard.ZstdDecompressor().decompress
         with ExitStack() as stack:
             for batch in batches:
                 for own, ids in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                     if own != shard:
                         stack.close()
                         shard, stream = own, stack.enter_context(committed(folder, f"shard-{own:06d}.bin"))
-                    stream.write(ids.ljust(length * width, b"\0"))
+                    stream.write(decompress(ids).ljust(length * width, b"\0"))
                 keep = [n for n in batch.schema.names if n != "ids"]
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep], names=keep)
 
