@@ -246,7 +246,7 @@ def _linkable(sets: DataFrame, percent: int) -> DataFrame:
                 owners.append(c)
                 heads.append(_tokens(data))
                 held += len(heads[-1])
-                if held > 4 * CUT_TOKENS:
+                if held > CUT_TOKENS:
                     yield flush()
                     owners, heads, held = [], [], 0
         if owners:
