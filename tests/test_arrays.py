@@ -3,11 +3,13 @@
 import json
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from postmill.schema import RECORD, RECORD_FIELDS
+from postmill.session import run_scope
 from postmill.sources import arrays
 from postmill.sources.records import read_json
 
@@ -88,3 +90,36 @@ def test_round_trip_as_arrays(spark, tmp_path):
     assert bad.isEmpty() and canonical(good.collect()) == canonical(df.collect())
     arrays.write_json_array(df.filter(F.lit(False)), str(tmp_path / "none"))
     assert not list((tmp_path / "none").glob("part=*"))
+
+
+def test_records_over_many_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrays, "CHUNK", 40)
+    from pyspark.sql.types import StructType
+
+    rows = records_of(150, seed=2) + [{"Subject": "long", "Body": "{}\\}\"" * 200, "inner": {"a": "}", "list": [{"b": i} for i in range(300)]}}]
+    texts = {"whole": json.dumps(rows + rows[:3]), "cut": json.dumps(rows)[:-40], "quote": json.dumps(rows[:9])[:-1] + ', {"Subject": "x}' + ' {"a": 1},' * 90}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    good, bad = arrays.read_json_array(spark, str(tmp_path), StructType.fromDDL(NESTED), number="n")
+    found = Counter((r.n, json.dumps({k: v for k, v in r.asDict(True).items() if k != "n"}, sort_keys=True)) for r in good.collect())
+    lists = [rows + rows[:3], rows[:-1], rows[:9]]
+    assert found == Counter((i + 1, json.dumps(r, sort_keys=True)) for part in lists for i, r in enumerate(part))
+    rejects = {r.path.rsplit("/", 1)[1]: r.text for r in bad.collect()}
+    assert rejects.keys() == {"cut", "quote"} and rejects["quote"] == ', {"Subject": "x' and rejects["cut"].startswith(', {"Subject": "long"')
+
+
+def folder_sizes(folder):
+    return {place.name: sum(f.stat().st_size for f in place.rglob("*") if f.is_file()) for place in Path(folder.removeprefix("file:")).iterdir()}
+
+
+def test_texts_are_written_once_on_the_way(spark, tmp_path):
+    pick = random.Random(3)
+    rows = [(f"s{i}", "".join(pick.choice("abcdefgh ") for _ in range(20_000))) for i in range(60)]
+    df = spark.createDataFrame(rows, "Subject string, Body string").repartition(3)
+    with run_scope(spark) as folder:
+        arrays.write_json_array(df, str(tmp_path / "out"))
+        good, bad = arrays.read_json_array(spark, str(tmp_path / "out"), df.schema)
+        assert bad.isEmpty() and canonical(good.collect()) == canonical(df.collect())
+        sizes = folder_sizes(folder)
+    chunks = sum(n for name, n in sizes.items() if name.startswith("chunks-"))
+    assert sum(sizes.values()) - chunks < chunks / 5
