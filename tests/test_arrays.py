@@ -12,6 +12,7 @@ from postmill.schema import RECORD, RECORD_FIELDS
 from postmill.session import run_scope
 from postmill.sources import arrays
 from postmill.sources.records import read_json
+from workload.queries import array_rejects
 
 NESTED = "Subject string, Body string, inner struct<a:string, list:array<struct<b:int>>>"
 
@@ -123,3 +124,21 @@ def test_texts_are_written_once_on_the_way(spark, tmp_path):
         sizes = folder_sizes(folder)
     chunks = sum(n for name, n in sizes.items() if name.startswith("chunks-"))
     assert sum(sizes.values()) - chunks < chunks / 5
+
+
+def test_rejects_are_written_by_many_tasks(spark, tmp_path):
+    docs = spark.range(0, 40, 1, 4).selectExpr("id AS doc_id", "IF(id = 7, NULL, concat('te\"}xt ', id)) AS text")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    held = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+    try:
+        with run_scope(spark) as folder:
+            found = Counter(tuple(r) for r in array_rejects(spark, str(tmp_path)).collect())
+            written = list(Path(folder.removeprefix("file:")).glob("broken-*/**/*.txt"))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", held)
+    assert len(written) == 4
+    wanted = [("reject", f'{{"Subject": {i} oops}}') if i % 10 == 0 else ("record", None if i == 7 else f'te"}}xt {i}') for i in range(40)]
+    assert found == Counter(wanted)
+    docs.filter("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert array_rejects(spark, str(tmp_path / "none")).collect() == []

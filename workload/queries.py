@@ -24,7 +24,7 @@ from postmill.plans.corpus import corpus_to_records, natural_order, process_reco
 from postmill.schema import HEADER_FIELDS, RECORD, RECORD_FIELDS, SKIP, quoted
 from postmill.session import shared_dir
 from postmill.sources import tree
-from postmill.sources.arrays import read_json_array, write_json_array
+from postmill.sources.arrays import read_json_array, write_array_lines, write_json_array
 from postmill.sources.files import HIDDEN, compact, is_hidden
 from postmill.sources.records import flatten, read_json, read_json_with_rejects, record_keys, require_columns, require_rows
 from postmill.sources.sinks import report_path, write_records, write_removals
@@ -546,12 +546,8 @@ def array_rejects(spark, d):
     folder = _folder(spark, "broken")
     docs = table(spark, d, "documents").select("doc_id", F.struct(F.col("text").alias("Subject")).alias("record"))
     value = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit('{"Subject": '), F.col("doc_id").cast("string"), F.lit(" oops}")))
-    bounds = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    whole = F.concat(
-        F.when(F.col("doc_id") == bounds[0], "[").otherwise(""), F.coalesce(value, F.to_json("record")), F.when(F.col("doc_id") == bounds[1], "]").otherwise(",")
-    )
-    # One file, so that it is the byte ranges that tasks share.
-    docs.select("doc_id", whole.alias("value")).repartition(1).sortWithinPartitions("doc_id").drop("doc_id").write.text(folder)
+    # Every task writes an array of its own; the byte ranges of these files are what tasks share afterwards.
+    write_array_lines(docs.select(F.coalesce(value, F.to_json("record")).alias("value")), folder)
     records, rejects = read_json_array(spark, folder)
     shown = records.select(F.lit("record").alias("kind"), F.col("Subject").alias("value"))
     return shown.union(rejects.select(F.lit("reject"), F.regexp_replace("text", r"\A[\s,\[]*", "")))
