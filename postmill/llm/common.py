@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -36,10 +37,43 @@ def sized(texts: Sequence[str | None], limit: int = 1 << 20) -> Iterator[range]:
         yield range(start, len(texts))
 
 
+def released(step: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], *held: Callable[[], None]):
+    """``step`` for ``mapInArrow``, after which its worker gives the memory that it no longer uses back to the machine.
+
+    A worker outlives its task and waits beside those of the next stage; what it freed would stay with it. ``held`` are
+    called first, to let go of what the step keeps.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            for let_go in held:
+                let_go()
+            release()
+
+    return run
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that few texts at a time become Python's."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
+def release() -> None:
+    """Give freed memory back, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def with_columns(
-    df: DataFrame, fields: Sequence[T.StructField], compute: Callable[[Iterator[pa.RecordBatch]], Iterator[list]]
+    df: DataFrame, fields: Sequence[T.StructField], compute: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], rows: int = 1 << 31
 ) -> DataFrame:
-    """Add columns worked out batch by batch; ``compute`` yields one list of Arrow arrays per batch it takes.
+    """Add columns worked out batch by batch; ``compute`` yields one list of Arrow arrays per batch it takes,
+    of at most ``rows`` rows.
 
     Columns of the input with one of the new names are replaced.
     """
@@ -51,7 +85,7 @@ def with_columns(
         seen: list[pa.RecordBatch] = []
 
         def noted() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches, rows):
                 seen.append(batch)
                 yield batch
 
@@ -59,7 +93,7 @@ def with_columns(
             batch = seen.pop()
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(released(run), schema)
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

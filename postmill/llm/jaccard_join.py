@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill.llm.bitmaps import likely_in, without
-from postmill.llm.common import components, unpacked, whole_row, with_columns
+from postmill.llm.common import components, released, unpacked, whole_row, with_columns
 from postmill.operators.ordering import materialize
 from postmill.schema import quoted
 
@@ -188,7 +188,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 heads.append(head(own, percent) if len(own) else None)
             yield [pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(profiles, pa.binary()), pa.array(heads, pa.binary())]
 
-    return with_columns(docs, fields, compute).drop("text")
+    return with_columns(docs, fields, compute, 1 << 10).drop("text")
 
 
 def _linkable(sets: DataFrame, percent: int) -> DataFrame:
@@ -281,7 +281,7 @@ def _linkable(sets: DataFrame, percent: int) -> DataFrame:
         names, at = np.unique(who, return_inverse=True)
         return pa.table({"c": names, "k": np.bincount(at, amounts, minlength=len(names)).astype(np.int64)})
 
-    dealt = sets.select("c", "head").mapInArrow(deal, "cut int, owners binary, counts binary, tokens binary, known binary, known_counts binary")
+    dealt = sets.select("c", "head").mapInArrow(released(deal), "cut int, owners binary, counts binary, tokens binary, known binary, known_counts binary")
     found = dealt.groupBy("cut").applyInArrow(met, "home int, owners binary, counts binary").groupBy("home").applyInArrow(summed, "c long, k long")
     needed = F.ceil(F.ceil(F.col("n") * percent / 100) / HEAD_PART)
     return found.join(sets.select("c", "n").dropDuplicates(["c"]), "c").filter(F.col("k") >= needed).select("c")
@@ -317,7 +317,7 @@ def _published(docs: DataFrame, width: int, percent: int) -> DataFrame:
         if sigs:
             yield flush()
 
-    return docs.select("text").mapInArrow(publish, "sig long, c long, room long")
+    return docs.select("text").mapInArrow(released(publish), "sig long, c long, room long")
 
 
 def _allocated(rows: DataFrame) -> DataFrame:
@@ -426,7 +426,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
             yield pa.RecordBatch.from_arrays([batch.column(x).filter(keep) for x in ("a", "b", "id_a", "id_b")], names=["a", "b", "id_a", "id_b"])
 
     kind = sets.schema["id"].dataType.simpleString()
-    close = sized.select("a", "b", "id_a", "id_b", "n_a", "n_b", "profile_a", "profile_b").mapInArrow(near, f"a long, b long, id_a {kind}, id_b {kind}")
+    close = sized.select("a", "b", "id_a", "id_b", "n_a", "n_b", "profile_a", "profile_b").mapInArrow(released(near), f"a long, b long, id_a {kind}, id_b {kind}")
     close = materialize(close, "close")
     asked = materialize(close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "asked")
     texts = likely_in(docs.select("id", "text"), "id", asked)
@@ -459,7 +459,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(released(check), "a long, b long").distinct()
 
 
 def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:

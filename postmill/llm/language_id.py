@@ -19,12 +19,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.common import free_names, ranked, sized, with_columns
+from postmill.llm.common import free_names, ranked, released, sized, with_columns
 from postmill.operators.ordering import materialize
 
 UNKNOWN = "und"
 SIZES = (3, 4)
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Texts and characters that are worked on at a time; a character takes some hundred bytes on the way.
+_ROWS, _CHARACTERS = 1 << 10, 1 << 17
 _BOUNDARY = 32  # any run of characters other than letters
 
 
@@ -133,7 +135,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), np.array(batch.column("lang").to_pylist(), object)
-            for part in sized(texts):
+            for part in sized(texts, _CHARACTERS):
                 hashes, owners = _grams([texts[i] for i in part])
                 names = langs[part.start : part.stop]
                 for name in sorted(set(names)):
@@ -143,7 +145,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
                         names=["lang", "gram", "n"],
                     )
 
-    counts = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.select("text", "lang").mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     kept = counts.withColumn("place", place).filter(F.col("place") <= top).select("lang", "gram").collect()
     shares = {r.lang: r.rows for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
@@ -176,13 +178,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
             texts = batch.column(text).to_pylist()
             names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             usable = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-            for part in sized([texts[i] for i in usable]):
+            for part in sized([texts[i] for i in usable], _CHARACTERS):
                 own = [usable[i] for i in part]
                 for i, name, value in zip(own, *model.decide([texts[i] for i in own]), strict=True):
                     names[i], scores[i] = name, value
             yield [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
-    return with_columns(docs, fields, compute)
+    return with_columns(docs, fields, compute, _ROWS)
 
 
 def lettered(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

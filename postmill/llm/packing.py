@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.common import ranked, sized, with_columns
+from postmill.llm.common import ranked, released, sized, sliced, with_columns
 from postmill.llm.tokens import WordTokenizer
 from postmill.operators.ordering import materialize
 from postmill.schema import quoted
@@ -42,9 +42,9 @@ def pieces(docs: DataFrame, tokenizer: WordTokenizer, capacity: int, id: str = "
         fields.append(T.StructField(ids, T.BinaryType()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1 << 10):
             texts = batch.column(1).to_pylist()
-            for part in sized(texts, 1 << 22):
+            for part in sized(texts):
                 rows, starts, data = [], [], []
                 for i, own in zip(part, tokenizer.encode([texts[i] for i in part]), strict=True):
                     for at in range(0, max(len(own), 1), 4 * capacity):
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, tokenizer: WordTokenizer, capacity: int, id: str = "
                 ]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(data, pa.binary())] if ids else []), names=[f.name for f in fields])
 
-    return docs.select(quoted(id), quoted(text)).mapInArrow(cut, T.StructType(fields))
+    return docs.select(quoted(id), quoted(text)).mapInArrow(released(cut, tokenizer.forget), T.StructType(fields))
 
 
 @dataclass

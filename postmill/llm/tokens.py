@@ -76,6 +76,10 @@ class WordTokenizer:
     def __reduce__(self):
         return WordTokenizer, (self.path, self.end_id)
 
+    def forget(self) -> None:
+        """Let go of the table of words."""
+        self._words = None
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, then the end id; null counts as empty."""
         if self._words is None:
