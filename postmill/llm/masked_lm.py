@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from postmill.operators.ordering import materialize
 from postmill.schema import quoted
 
 WORDS = re.compile(r"\w+|[^\w\s]")
+#: The same for texts of ASCII in lower case, where a plain set of characters is found faster than a class of Unicode.
+_ASCII_WORDS = re.compile(r"[a-z0-9_]+|[^a-z0-9_ \t-\r\x1c-\x1f]")
 CLASSES, HASHED, SIDE, WIDTH = 256, 63, 2, 16
 #: Words this far apart are masked and predicted together; the rounds of training share out all places.
 MASK_EVERY, ROUNDS = 16, 3
@@ -34,7 +37,10 @@ KNOWN = 1 << 14
 #: Steps of the grid of counts per power of two.
 _GRID = 8
 _EDGE = 0  # class that stands beyond the ends of a document
-_BATCH = 2048
+#: Words of one training step, and those whose predictions are worked on at a time.
+_BATCH, _PIECE = 2048, 512
+#: Number of each hidden unit of each class.
+_CELLS = np.arange(CLASSES * WIDTH).reshape(CLASSES, WIDTH)
 
 
 @dataclass(frozen=True)
@@ -64,45 +70,66 @@ class Network:
         return Network(*parts)
 
     def hidden(self, window: np.ndarray) -> np.ndarray:
-        total = self.hidden_bias + self.context[0][window[0]]
+        """Values of the hidden units, and a last column of ones that stands for the bias of each class."""
+        words = window.astype(np.intp)
+        units = self.hidden_bias + self.context[0].take(words[0], axis=0)
         for place in range(1, 2 * SIDE):
-            total += self.context[place][window[place]]
-        return np.tanh(total, out=total)
+            units += self.context[place].take(words[place], axis=0)
+        total = np.ones((len(units), WIDTH + 1), np.float32)
+        total[:, :WIDTH] = np.tanh(units, out=units)
+        return total
 
     def log_probability(self, window: np.ndarray, target: np.ndarray) -> np.ndarray:
-        out = np.empty(len(target), np.float32)
-        for at in range(0, len(target), _BATCH):
-            part = slice(at, at + _BATCH)
-            logits = self.hidden(window[:, part]) @ self.out
-            logits += self.bias
-            own = logits[np.arange(len(logits)), target[part]]
-            np.exp(logits, out=logits)
-            out[part] = own - np.log(logits.sum(axis=1))
-        return out
+        found, logits = np.empty(len(target), np.float32), np.empty((_PIECE, CLASSES), np.float32)
+        weights, ones, rows = np.vstack((self.out, self.bias)), np.ones(CLASSES, np.float32), np.arange(_PIECE)
+        for at in range(0, len(target), _PIECE):
+            wanted = target[at : at + _PIECE]
+            part = np.matmul(self.hidden(window[:, at : at + _PIECE]), weights, out=logits[: len(wanted)])
+            own = part[rows[: len(wanted)], wanted]
+            np.exp(part, out=part)
+            found[at : at + _PIECE] = own - np.log(part @ ones)
+        return found
 
     def trained(self, window: np.ndarray, target: np.ndarray, rate: float) -> Network:
-        """A copy after one pass of gradient steps with per-parameter rates over the given words."""
-        context, hidden_bias, out, bias = (x.copy() for x in (self.context, self.hidden_bias, self.out, self.bias))
-        seen = [np.full(x.shape, 1e-2, np.float32) for x in (context, hidden_bias, out, bias)]
-        net = Network(context, hidden_bias, out, bias)
-        for at in range(0, len(target), _BATCH):
-            words, wanted = window[:, at : at + _BATCH], target[at : at + _BATCH]
-            hidden = net.hidden(words)
-            logits = hidden @ out + bias
-            error = np.exp(logits - logits.max(axis=1, keepdims=True))
-            error /= error.sum(axis=1, keepdims=True)
-            error[np.arange(len(wanted)), wanted] -= 1
-            error /= len(wanted)
-            back = (error @ out.T) * (1 - hidden * hidden)
-            steps = [np.zeros_like(context), back.sum(axis=0), hidden.T @ error, error.sum(axis=0)]
-            for place in range(2 * SIDE):
-                cell = words[place].astype(np.int64)[:, None] * WIDTH + np.arange(WIDTH)
-                steps[0][place] = np.bincount(cell.ravel(), back.ravel(), minlength=CLASSES * WIDTH).reshape(CLASSES, WIDTH)
-            for value, step, total in zip((context, hidden_bias, out, bias), steps, seen, strict=True):
-                total += step * step
-                value -= rate * step / np.sqrt(total)
-        np.clip(out, -3, 3, out=out)  # logits stay far below what single precision can exponentiate
-        np.clip(bias, -20, 20, out=bias)
+        """A copy after one pass of gradient steps with per-parameter rates over the given words.
+
+        A step takes ``_BATCH`` words. Their predictions are worked out in pieces that stay in the processor's cache and are
+        never divided by their sums: the hidden values are, which are far fewer.
+        """
+        context, hidden_bias = self.context.copy(), self.hidden_bias.copy()
+        weights = np.vstack((self.out, self.bias))  # the bias is the weight of the hidden units' last column
+        summing = np.ones_like(weights)
+        net = Network(context, hidden_bias, weights[:WIDTH], weights[WIDTH])
+        seen = [np.full(x.shape, 1e-2, np.float32) for x in (context, hidden_bias, weights)]
+        logits, rows = np.empty((_PIECE, CLASSES), np.float32), np.arange(_PIECE)
+        for start in range(0, len(target), _BATCH):
+            end = min(start + _BATCH, len(target))
+            back, step = np.empty((end - start, WIDTH), np.float32), np.zeros_like(weights)
+            summing[:WIDTH] = weights[:WIDTH]
+            columns = np.ascontiguousarray(weights[:WIDTH].T)
+            for at in range(start, end, _PIECE):
+                wanted = target[at : min(at + _PIECE, end)]
+                hidden = net.hidden(window[:, at : at + len(wanted)])
+                error = np.matmul(hidden, weights, out=logits[: len(wanted)])
+                np.exp(error, out=error)
+                both = error @ summing.T
+                total = both[:, WIDTH:]
+                units = hidden[:, :WIDTH]
+                back[at - start : at - start + len(wanted)] = (both[:, :WIDTH] / total - columns[wanted]) * (1 - units * units)
+                error[rows[: len(wanted)], wanted] -= total[:, 0]
+                hidden /= total
+                step += (error.T @ hidden).T
+            step /= end - start
+            back /= end - start
+            moved = back.ravel().astype(np.float64)
+            sums = [np.bincount(_CELLS.take(word, axis=0).ravel(), moved, minlength=CLASSES * WIDTH) for word in window[:, start:end].astype(np.intp)]
+            places = np.stack(sums).reshape(context.shape)
+            for value, change, past in zip((context, hidden_bias, weights), (places.astype(np.float32), back.sum(axis=0), step), seen, strict=True):
+                past += change * change
+                value -= rate * change / np.sqrt(past)
+            # Logits stay far below what single precision can exponentiate.
+            np.clip(weights[:WIDTH], -3, 3, out=weights[:WIDTH])
+            np.clip(weights[WIDTH], -20, 20, out=weights[WIDTH])
         return net
 
 
@@ -129,6 +156,12 @@ def _parts(texts: list[bytes], limit: int = 1 << 18) -> Iterator[list[int]]:
         yield held
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text in lower case and its single punctuation marks, as :data:`WORDS` finds them."""
+    lower = (text or "").lower()
+    return (_ASCII_WORDS if lower.isascii() else WORDS).findall(lower)
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, n`` over all documents: words in lower case and single punctuation marks."""
 
@@ -140,7 +173,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                found.update(WORDS.findall((value or "").lower()))
+                found.update(words_of(value))
                 if len(found) > 300_000:
                     yield packed()
                     found.clear()
@@ -163,8 +196,8 @@ class Coder:
 
     def coded(self, text: str | None) -> tuple[bytes, float, Counter[str]]:
         """One class per word, the sum of the known words' shares, and how often each other word occurs."""
-        words, get = WORDS.findall((text or "").lower()), self.number.get
-        number = np.array([get(w, -1) for w in words], np.int64)
+        words = words_of(text)
+        number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         codes, other = self.classes[number], np.flatnonzero(number < 0)
         rare = [words[i] for i in other]
         codes[other] = [_hashed(w) for w in rare]
@@ -228,9 +261,11 @@ def encoded(docs: DataFrame, words: Vocabulary, id: str = "doc_id", text: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             found = [coder.coded(t) for t in batch.column(1).to_pylist()]
-            rare = [[{"word": w, "times": n} for w, n in f[2].items()] for f in found]
-            pairs = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
-            yield [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.float64()), pa.array(rare, pairs)]
+            rare = [f[2] for f in found]
+            times = pa.array(list(chain.from_iterable(r.values() for r in rare)), pa.int64())
+            pairs = pa.StructArray.from_arrays([pa.array(list(chain.from_iterable(rare)), pa.string()), times], names=["word", "times"])
+            ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+            yield [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.float64()), pa.ListArray.from_arrays(ends, pairs)]
 
     plain = docs.select(F.col(quoted(id)).alias("id"), F.col(quoted(text)).alias("text"))
     coded = with_columns(plain, fields, encode).drop("text").withColumn("row", F.monotonically_increasing_id())
@@ -278,9 +313,9 @@ def train(classes: DataFrame, rounds: int = ROUNDS, mask_every: int = MASK_EVERY
                 for part in _parts(texts):
                     window, target, _ = _windows([texts[i] for i in part])
                     for place in places:
-                        masked = np.arange(place, len(target), mask_every)
+                        masked = target[place::mask_every]
                         if len(masked):
-                            own = own.trained(window[:, masked], target[masked], rate / (1 + turn))
+                            own = own.trained(window[:, place::mask_every], masked, rate / (1 + turn))
                             total += len(masked)
             if total:
                 values = np.append(own.flat().astype(np.float64) * total, total)
