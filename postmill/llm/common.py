@@ -6,7 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,8 +134,11 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
     return numbered.withColumn(name, F.col("_before") + F.col("_within")).drop("_hash", "_bucket", "_before", "_within")
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The table of ``edges``, written, and their number and sum of hashes, which are taken while they are written."""
+    noted = Observation()
+    table = materialize(edges.observe(noted, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes")), "edges")
+    return table, (noted.get.get("n"), noted.get.get("hashes"))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -143,12 +146,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternating large and small stars: every round hangs the neighbours of a node on the smallest of them, by one
     aggregation and one join that adaptive execution can split where a node has very many neighbours. Each round is
-    written to the shared folder, which cuts the lineage. The number of rounds grows with the logarithm of the diameter.
+    written to the shared folder, which cuts the lineage; whether it changed anything is found on the way, because every
+    job more stays in the driver's memory. The number of rounds grows with the logarithm of the diameter.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
     current = materialize(pairs, "edges")
-    before = _signature(current)
-    while before[0]:
+    before = () if current.isEmpty() else None
+    while before != ():
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -156,8 +160,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = stars.groupBy("u").agg(F.min("v").alias("m"))
         joined = stars.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        current = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = _signature(current)
+        current, after = _written(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         if after == before:
             break
         before = after

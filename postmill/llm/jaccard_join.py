@@ -477,8 +477,10 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     sets = all_sets.filter(F.col("id").isNotNull() & F.col("c").isNotNull())
     linkable = _linkable(sets, percent)
     all_sets, sets = all_sets.drop("head"), sets.drop("head")
-    classes = sets.groupBy("c").agg(F.min("id").alias("id"))
-    one_each = sets.join(classes, ["c", "id"]).dropDuplicates(["c"])
+    smallest_ids = sets.groupBy("c").agg(F.min("id").alias("id"))
+    # Asked for by most of the steps below, each of which would work it out again.
+    one_each = materialize(sets.join(smallest_ids, ["c", "id"]).dropDuplicates(["c"]), "one_each")
+    classes = one_each.select("c", "id")
     docs = docs.filter(F.col("id").isNotNull())
 
     # One text of each set that may link at all.
@@ -489,14 +491,14 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     links = materialize(_verified(stars, one_each, docs, width, percent), "links")
     label = materialize(components(links, "a", "b"), "labels")
 
-    known = one_each.select("c", "n", "profile").join(label, F.col("c") == F.col("node"), "left").select("c", "n", "profile", F.coalesce("component", "c").alias("label"))
-    split = buckets.join(known.drop("profile"), "c").select("sig", "c", "n", "probe", "label").withColumns({
+    known = one_each.select("c", "n").join(label, F.col("c") == F.col("node"), "left").select("c", "n", F.coalesce("component", "c").alias("label"))
+    split = buckets.join(known, "c").select("sig", "c", "n", "probe", "label").withColumns({
         "low": F.expr("min(label) over (partition by sig)"), "high": F.expr("max(label) over (partition by sig)"),
         "asked": F.expr("bool_or(probe) over (partition by sig)"), "members": F.expr("bit_xor(xxhash64(c)) over (partition by sig)"),
     }).filter("low < high and asked")
     # Buckets with the same members, such as those of one shared passage, are one.
     split = split.groupBy(F.col("members").alias("sig"), "c", "n", "label").agg(F.bool_or("probe").alias("probe"))
-    split = materialize(split.join(known.select("c", "profile"), "c"), "split")
+    split = materialize(split.join(one_each.select("c", "profile"), "c"), "split")
     across = _across(split, percent).join(stars, ["a", "b"], "left_anti")
     more = materialize(_verified(across, one_each, docs, width, percent), "links")
     final = components(links.union(more), "a", "b")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from postmill.llm import bitmaps, exact_dedup, jaccard_join, language_id, mixing, packing
+from postmill.llm import bitmaps, common, exact_dedup, jaccard_join, language_id, mixing, packing
 from postmill.llm.common import components, ranked
 from postmill.llm.oracle import ORACLE
 from postmill.llm.queries import QUERIES, word_tokenizer
@@ -185,6 +185,16 @@ def test_jaccard_join_nulls_and_repeats(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "3", "9", "9", "None"]
 
 
+def test_rounds_of_components_start_no_jobs_but_their_tables(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91), (7, 7)], "a long, b long")
+    tables, asked, first = [], [], type(edges).first
+    monkeypatch.setattr(common, "materialize", lambda df, label, do=common.materialize: tables.append(label) or do(df, label))
+    monkeypatch.setattr(type(edges), "first", lambda self: asked.append(1) or first(self))
+    got = components(edges, "a", "b")
+    assert not asked and set(tables) == {"edges"}
+    assert sorted(map(tuple, got.collect())) == sorted([(i, 0) for i in range(41)] + [(90, 90), (91, 90)])
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100, 140)]
     star = [(1, i) for i in range(2, 90)]
