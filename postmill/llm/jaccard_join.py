@@ -8,7 +8,7 @@ needed is slack: a set stops probing with the signatures that meet most others,
 neighbouring ones, each case with its own bound H.
 
 Before that, sets that share too little with any other to link are set aside: of each set the smallest elements, a
-head of the length that linking sets must share some of, are counted over all sets.
+head of the length that linking sets must share some of, are counted over all sets; of those left, all elements are.
 
 Links are needed between different sets only, and for classes one path of links is enough. So a bucket of equal
 signatures first compares each member with the one that meets most others; only buckets whose members then still belong
@@ -19,7 +19,7 @@ on whole texts.
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from postmill.llm.bitmaps import likely_in, without
 from postmill.llm.common import components, released, unpacked, whole_row, with_columns
 from postmill.operators.ordering import materialize
 from postmill.schema import quoted
+from postmill.session import run_scope, shared_dir
 
 BINS, BITS = 128, 1024
 #: One segment in so many publishes one-deletion signatures.
@@ -45,8 +46,8 @@ CHEAP = 8
 HEAD_PART, HEAD_BYTES, CUT_TOKENS = 20, 6, 1 << 20
 #: Owner of the elements that a task has settled; no fingerprint is odd.
 NOBODY = 1
-#: Members of a bucket that are compared in one piece.
-BLOCK = 1024
+#: Members of a bucket that are compared with as many others in one piece, and members that a task takes in small pieces.
+BLOCK, TASK_ROWS = 4096, 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -192,12 +193,40 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _linkable(sets: DataFrame, percent: int) -> DataFrame:
-    """``c`` of the sets of ``c, n, head`` that may link with another one: enough of their head is in heads of other sets.
+    """``c`` of the sets of ``c, n, head`` that may link with another one: enough of their head is in heads of other sets."""
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        yield from zip(batch.column("c").to_pylist(), map(_tokens, batch.column("head").to_pylist()), strict=True)
 
-    Heads move as packed bytes, cut by token. What several sets of one task share is settled there and sent on once, so
-    that a passage of very many sets is as many tokens as there are tasks.
-    """
     tokens = sets.agg(F.coalesce(F.sum(F.octet_length("head")), F.lit(0)).alias("n")).first().n // HEAD_BYTES
+    found = _shared(sets.select("c", "head"), read, tokens)
+    needed = F.ceil(F.ceil(F.col("n") * percent / 100) / HEAD_PART)
+    return found.join(sets.select("c", "n").dropDuplicates(["c"]), "c").filter(F.col("k") >= needed).select("c")
+
+
+def _likely_linked(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """``id`` of the sets of ``c, id, n`` (written) of which other ones of them hold as many elements as a link takes.
+
+    A passage that very many sets share lets them through :func:`_linkable`; here it would have to be most of a set.
+    """
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for text in batch.column("text").to_pylist():
+            own = shingles(text, width)
+            if len(own):
+                yield fingerprint(own), own & np.uint64((1 << 8 * HEAD_BYTES) - 1)
+
+    elements = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    found = _shared(likely_in(docs, "id", sets.select("id")).select("text"), read, elements)
+    return sets.join(found, "c").filter(F.col("k") >= F.ceil(F.col("n") * percent / 100)).select("id")
+
+
+def _shared(sets: DataFrame, read: Callable[[pa.RecordBatch], Iterable[tuple[int, np.ndarray]]], tokens: int) -> DataFrame:
+    """``c, k``: how many tokens of a set other sets have too. ``read`` gives fingerprints and tokens, ``tokens`` is about their number.
+
+    Tokens move as packed bytes, cut by token. What several sets of one task share is settled there and sent on once, so
+    that a passage of very many sets is as many tokens as there are tasks. A set that several tasks have may count too many.
+    """
     cuts = max(1, -(-tokens // CUT_TOKENS))
     names = ["cut", "owners", "counts", "tokens", "known", "known_counts"]
 
@@ -237,14 +266,14 @@ def _linkable(sets: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]], names=names)
 
         for batch in batches:
-            for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for c, own in read(batch):
                 if c in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(c)
                 owners.append(c)
-                heads.append(_tokens(data))
+                heads.append(own)
                 held += len(heads[-1])
                 if held > CUT_TOKENS:
                     yield flush()
@@ -258,8 +287,9 @@ def _linkable(sets: DataFrame, percent: int) -> DataFrame:
         every = _tokens(packed["tokens"])
         order = np.argsort(every, kind="stable")
         every, own = every[order], own[order]
-        same = every[1:] == every[:-1]
-        several = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), every[1:] != every[:-1])))
+        low, high = (f.reduceat(own, starts) if len(starts) else own for f in (np.minimum, np.maximum))
+        several = np.repeat(low < high, np.diff(np.append(starts, len(every))))
         who, amounts = np.unique(own[several & (own != NOBODY)], return_counts=True)
         known, settled = np.frombuffer(packed["known"], np.int64), np.frombuffer(packed["known_counts"], np.int32)
         return by_home(np.concatenate((who, known)), np.concatenate((amounts, settled)).astype(np.int64))
@@ -281,10 +311,8 @@ def _linkable(sets: DataFrame, percent: int) -> DataFrame:
         names, at = np.unique(who, return_inverse=True)
         return pa.table({"c": names, "k": np.bincount(at, amounts, minlength=len(names)).astype(np.int64)})
 
-    dealt = sets.select("c", "head").mapInArrow(released(deal), "cut int, owners binary, counts binary, tokens binary, known binary, known_counts binary")
-    found = dealt.groupBy("cut").applyInArrow(met, "home int, owners binary, counts binary").groupBy("home").applyInArrow(summed, "c long, k long")
-    needed = F.ceil(F.ceil(F.col("n") * percent / 100) / HEAD_PART)
-    return found.join(sets.select("c", "n").dropDuplicates(["c"]), "c").filter(F.col("k") >= needed).select("c")
+    dealt = sets.mapInArrow(released(deal), "cut int, owners binary, counts binary, tokens binary, known binary, known_counts binary")
+    return dealt.groupBy("cut").applyInArrow(met, "home int, owners binary, counts binary").groupBy("home").applyInArrow(summed, "c long, k long")
 
 
 def _published(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -352,28 +380,41 @@ def _allocated(rows: DataFrame) -> DataFrame:
     return grouped.filter(F.col("cost") <= CHEAP).select("sig", "c", "probe", F.col("least").alias("pivot")).union(large)
 
 
-def _across(split: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of probing members of ``split`` (``sig, c, n, label, probe, profile``) with members of other labels.
+def _placed(split: DataFrame) -> tuple[DataFrame, int]:
+    """The members of ``split`` (written) in cells, ``left`` if they ask and ``right`` if they are asked there, and their number.
 
-    Pairs of other sizes than can link, or with profiles too far apart, are passed over inside the tasks, which take
-    many small buckets or one square of two blocks of a large one: nothing is listed that need not be verified.
+    A small bucket is one cell. A large one is a rectangle, so many probing members by so many members in a cell: a member
+    goes to as many cells as there are blocks of probing members, and once more for each block of members if it probes.
     """
-    counted = split.withColumn("blocks", F.expr(f"cast(ceil(count(*) over (partition by sig) / {BLOCK}) as int)"))
-    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    yes, no = F.lit(True), F.lit(False)
+    large = split.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.count_if("probe").alias("probing")).filter(F.col("members") > BLOCK)
+    columns, lines = (F.ceil(F.col(x) / BLOCK).cast("int") for x in ("members", "probing"))
+    large = materialize(large.withColumns({"columns": columns, "lines": lines}), "large")
+    yes, no, first = F.lit(True), F.lit(False), F.lit(0)
 
     def cell(i, j, left, right):
         return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), left.alias("left"), right.alias("right"))
 
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    squares = F.concat(
-        F.when(F.col("probe"), F.transform(every, lambda k: cell(own, k, yes, no))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean,right:boolean>>")),
-        F.transform(every, lambda k: cell(k, own, no, yes)),
-    )
-    cells = F.when(F.col("blocks") == 1, F.array(cell(F.lit(0), F.lit(0), F.col("probe"), yes))).otherwise(squares)
-    placed = counted.withColumn("cell", F.explode(cells)).select("sig", "cell.*", "c", "n", "label", "probe", "profile")
-    rows = placed.count()
-    task = F.pmod(F.xxhash64("sig", "i", "j"), F.lit(max(1, rows // (4 * BLOCK))))
+    def own(of):
+        return F.pmod(F.xxhash64("c"), of)
+
+    none = F.array().cast("array<struct<i:int,j:int,left:boolean,right:boolean>>")
+    asking = F.transform(F.sequence(first, F.col("columns") - 1), lambda k: cell(own(F.col("lines")), k, yes, no))
+    asked = F.transform(F.sequence(first, F.col("lines") - 1), lambda k: cell(k, own(F.col("columns")), no, yes))
+    many = F.when(F.col("lines") > 0, F.concat(F.when(F.col("probe"), asking).otherwise(none), asked)).otherwise(none)
+    cells = F.when(F.col("columns").isNull(), F.array(cell(first, first, F.col("probe"), yes))).otherwise(many)
+    dealt = split.join(F.broadcast(large.select("sig", "columns", "lines")), "sig", "left")
+    more = large.agg(F.sum(F.col("probing") * F.col("columns") + F.col("members") * (F.col("lines") - 1))).first()[0]
+    return dealt.withColumn("cell", F.explode(cells)).select("sig", "cell.*", "c", "n", "label", "probe", "profile"), split.count() + (more or 0)
+
+
+def _across(split: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of probing members of ``split`` (``sig, c, n, label, probe, profile``) with members of other labels.
+
+    Pairs of other sizes than can link, or with profiles too far apart, are passed over inside the tasks, which take
+    many small cells or one large one: nothing is listed that need not be verified.
+    """
+    placed, rows = _placed(split)
+    task = F.pmod(F.xxhash64("sig", "i", "j"), F.lit(max(1, rows // TASK_ROWS)))
 
     def compare(table: pa.Table) -> pa.Table:
         sig, i, j, c, n, label = (table.column(x).to_numpy() for x in ("sig", "i", "j", "c", "n", "label"))
@@ -387,8 +428,8 @@ def _across(split: DataFrame, percent: int) -> DataFrame:
             members = order[low:high]
             others = members[right[members]]
             asking = members[left[members]]
-            for at in range(0, len(asking), 256):
-                some = asking[at : at + 256]
+            for at in range(0, len(asking), 128):
+                some = asking[at : at + 128]
                 both = n[some][:, None] + n[others]
                 smaller, larger = np.minimum(n[some][:, None], n[others]), np.maximum(n[some][:, None], n[others])
                 fits = (label[some][:, None] != label[others]) & (100 * smaller >= percent * larger)
@@ -473,19 +514,31 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
     docs = docs.select(F.col(quoted(id)).alias("id"), F.col(quoted(text)).alias("text"))
-    all_sets = materialize(_sets(docs, width, percent), "sets")
-    sets = all_sets.filter(F.col("id").isNotNull() & F.col("c").isNotNull())
-    linkable = _linkable(sets, percent)
-    all_sets, sets = all_sets.drop("head"), sets.drop("head")
-    smallest_ids = sets.groupBy("c").agg(F.min("id").alias("id"))
-    # Asked for by most of the steps below, each of which would work it out again.
-    one_each = materialize(sets.join(smallest_ids, ["c", "id"]).dropDuplicates(["c"]), "one_each")
+    outer = shared_dir(docs.sparkSession)
+    with run_scope(docs.sparkSession):
+        out = _classes(docs, width, percent)
+        return materialize(out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "classes", outer)
+
+
+def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``id, n, component`` of ``docs`` (``id, text``). Tables that only one step reads go with a scope of their own."""
+    spark = docs.sparkSession
+    folder = shared_dir(spark)
+    with run_scope(spark):
+        all_sets = materialize(_sets(docs, width, percent), "sets")
+        sets = all_sets.filter(F.col("id").isNotNull() & F.col("c").isNotNull())
+        smallest_ids = sets.groupBy("c").agg(F.min("id").alias("id"))
+        # Asked for by most of the steps below, each of which would work it out again.
+        one_each = materialize(sets.drop("head").join(smallest_ids, ["c", "id"]).dropDuplicates(["c"]), "one_each", folder)
+        members = materialize(all_sets.select("id", "n", "c"), "members", folder)
+        maybe = materialize(one_each.select("c", "id", "n").join(_linkable(sets, percent), "c", "left_semi"), "maybe", folder)
     classes = one_each.select("c", "id")
     docs = docs.filter(F.col("id").isNotNull())
 
     # One text of each set that may link at all.
-    asking = materialize(one_each.join(linkable, "c", "left_semi").select("id"), "asking")
-    buckets = materialize(_allocated(_published(likely_in(docs, "id", asking), width, percent)), "buckets")
+    asking = materialize(_likely_linked(docs, maybe, width, percent), "asking")
+    with run_scope(spark):
+        buckets = materialize(_allocated(_published(likely_in(docs, "id", asking), width, percent)), "buckets", folder)
     stars = buckets.filter("probe and c <> pivot").select(F.greatest("c", "pivot").alias("a"), F.least("c", "pivot").alias("b"))
     stars = materialize(stars.distinct(), "stars")
     links = materialize(_verified(stars, one_each, docs, width, percent), "links")
@@ -507,9 +560,8 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     smallest = named.groupBy("component").agg(F.min("id").alias("first"))
     by_class = classes.join(named.select("c", "component"), "c", "left").join(smallest, "component", "left")
     by_class = by_class.select("c", F.coalesce("first", "id").alias("component_id"))
-    out = all_sets.join(by_class, "c", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return members.join(by_class, "c", "left").select("id", "n", own.alias("component"))
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:

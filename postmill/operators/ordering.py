@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmill.schema import quoted
-from postmill.session import shared_dir
+from postmill.session import shared_dir, shuffles_freed
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row in partition below
 
@@ -27,14 +27,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
+def materialize(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, or in ``folder``, and read it back, which cuts its lineage.
 
-    Unlike a checkpoint the table is columnar: whoever reads it again reads only the columns it needs.
+    Unlike a checkpoint the table is columnar: whoever reads it again reads only the columns it needs. What was shuffled
+    for it is deleted at once.
     """
     spark = df.sparkSession
-    place = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid4().hex}"
-    df.write.parquet(place)
+    place = f"{(folder or shared_dir(spark)).rstrip('/')}/{label}-{uuid4().hex}"
+    with shuffles_freed(spark):
+        df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 

@@ -60,6 +60,24 @@ def run_scope(spark: SparkSession) -> Iterator[str]:
         remove(spark, folder)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs inside the ``with`` block go when it ends.
+
+    Else they stay until the driver happens to collect its garbage, and those of all steps of a job may lie on disk together.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: that of the run going on, else the one named by ``spark.checkpoint.dir``.
 
